@@ -1 +1,143 @@
+"""Statistics (ST)."""
 
+from pyspark.sql import functions as F
+
+from tallyglass.operators import paired, stats
+from tallyglass.plans.common import ratio
+from tallyglass.plans.registry import query
+
+LINE_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _each(cols, template):
+    return " UNION ALL ".join(template.format(c=c) for c in cols)
+
+
+@query("st_1_tukey_outliers", _each(LINE_MEASURES + ["revenue"], """
+SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n,
+  CAST(count(*) FILTER (WHERE q1 <> q3 AND ({c} < lo OR {c} > hi)) AS BIGINT) AS n_outliers,
+  round(count(*) FILTER (WHERE q1 <> q3 AND ({c} < lo OR {c} > hi)) / count({c}), 4) AS share,
+  round(lo, 4) AS lower_fence, round(hi, 4) AS upper_fence
+FROM (SELECT *, l_extendedprice * l_discount * l_tax AS revenue FROM lineitem) d,
+ (SELECT q1, q3, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
+   (SELECT quantile_cont({c}, .25) AS q1, quantile_cont({c}, .75) AS q3
+    FROM (SELECT *, l_extendedprice * l_discount * l_tax AS revenue FROM lineitem))) f GROUP BY lo, hi"""))
+def _(t):
+    li = t.lineitem.withColumn("revenue", F.expr("l_extendedprice * l_discount * l_tax"))
+    return stats.outliers(li, LINE_MEASURES + ["revenue"])
+
+
+@query("st_2_adjusted_skew", _each(["value", "cubed", "constant"], """
+SELECT '{c}' AS "column", CAST(count(*) AS BIGINT) AS n, CASE WHEN '{c}' = 'constant' THEN NULL ELSE round(skewness({c}), 4) END AS skew,
+  CASE WHEN '{c}' = 'constant' THEN 'undefined' WHEN abs(skewness({c})) < 0.5 THEN 'symmetric'
+       WHEN abs(skewness({c})) < 1 THEN 'moderate' ELSE 'high' END AS verdict
+FROM (SELECT value, value * value * value AS cubed, 7.0 AS constant FROM events)"""))
+def _(t):
+    e = t.events.select("value", F.expr("value * value * value").alias("cubed"), F.lit(7.0).alias("constant"))
+    return stats.skewness(e).select("column", "n", "skew", "verdict")
+
+
+@query("st_2_skew_test")
+def _(t):
+    return stats.skewness(t.lineitem, LINE_MEASURES).select("column", "n", "skew", ratio("p_value").alias("p_value"), "verdict")
+
+
+@query("st_3_effect_size", """
+WITH g AS (SELECT l_linestatus, count(*) FILTER (WHERE l_returnflag = 'A') AS n_a, count(*) FILTER (WHERE l_returnflag = 'R') AS n_b,
+  avg(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS ma, avg(l_extendedprice) FILTER (WHERE l_returnflag = 'R') AS mb,
+  var_samp(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS va, var_samp(l_extendedprice) FILTER (WHERE l_returnflag = 'R') AS vb
+  FROM lineitem GROUP BY 1),
+d AS (SELECT *, (ma - mb) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)) AS d FROM g)
+SELECT l_linestatus, n_a, n_b, round(ma, 4) AS mean_a, round(mb, 4) AS mean_b, round(d, 4) AS d,
+  CASE WHEN abs(d) < .2 THEN 'negligible' WHEN abs(d) < .5 THEN 'small' WHEN abs(d) < .8 THEN 'medium' ELSE 'large' END AS magnitude FROM d""")
+def _(t):
+    return stats.effect_size(t.lineitem, "l_returnflag", "l_extendedprice", "A", "R", ["l_linestatus"])
+
+
+@query("st_4_correlation_test")
+def _(t):
+    return stats.correlation_test(t.lineitem, LINE_MEASURES)
+
+
+@query("st_5_audit", _each(["value", "event_id", "user_id"], """
+SELECT '{c}' AS "column", 'outliers' AS "check",
+  'Column ''{c}'' has ' || n_out || ' outliers (' || printf('%.1f', round(n_out / n, 4) * 100) || '%) outside ['
+  || printf('%.2f', round(lo, 4)) || ', ' || printf('%.2f', round(hi, 4)) || ']' AS warning
+FROM (SELECT count({c}) AS n, count(*) FILTER (WHERE {c} < lo OR {c} > hi) AS n_out, lo, hi FROM events,
+  (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
+    (SELECT quantile_cont({c}, .25) AS q1, quantile_cont({c}, .75) AS q3 FROM events)) GROUP BY lo, hi)
+WHERE n >= 10 AND round(n_out / n, 4) >= 0.1
+UNION ALL SELECT '{c}', 'skew', 'Column ''{c}'' is highly skewed (skew=' || printf('%.2f', round(skewness({c}), 4)) ||
+  ') — consider log-scale charts or a median-based summary' FROM events HAVING abs(skewness({c})) >= 1"""))
+def _(t):
+    return stats.audit(t.events)
+
+
+def outcomes(t):
+    """Each event counts as a run of its user; errors fail."""
+    return t.events.withColumn("passed", F.col("event_type") != "error")
+
+
+@query("st_6_bootstrap_rate")
+def _(t):
+    r = paired.rates(outcomes(t), ["user_id"], "passed")
+    return r.select("user_id", "n", "passes", *[ratio(c).alias(c) for c in ("point", "lo", "hi")])
+
+
+def labelled(t):
+    """Two recorded outcomes of the same documents."""
+    q = t.labels.select("doc_id", (F.col("quality") == 1).alias("passed"))
+    x = t.labels.select("doc_id", (F.col("toxic") == 1).alias("passed"))
+    return paired.paired(q, x, ["doc_id"], "passed")
+
+
+@query("st_7_paired_delta")
+def _(t):
+    p = paired.paired_test(labelled(t))
+    return p.select("n_paired", *[ratio(c).alias(c) for c in ("delta", "delta_lo", "delta_hi")])
+
+
+@query("st_8_mcnemar", """
+SELECT l.quality * 10 + l.toxic AS cell, CAST(count(*) AS BIGINT) AS n FROM labels l GROUP BY 1""")
+def _(t):
+    pairs = labelled(t)
+    cell = F.col("base").cast("int") * 10 + F.col("this").cast("int")
+    return pairs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+
+
+@query("st_8_mcnemar_by_source")
+def _(t):
+    pairs = labelled(t).join(t.documents.select("doc_id", "lang"), "doc_id")
+    p = paired.paired_test(pairs, ["lang"])
+    return p.select("lang", "n_paired", "only_base", "only_this", F.round("mcnemar_p", 9).alias("mcnemar_p"))
+
+
+@query("st_9_percentiles", """
+SELECT event_type, round(quantile_cont(value, .5), 6) AS p50, round(quantile_cont(value, .95), 6) AS p95 FROM events GROUP BY 1""")
+def _(t):
+    return paired.percentiles(t.events, ["event_type"], "value").select(
+        "event_type", ratio("p50").alias("p50"), ratio("p95").alias("p95"))
+
+
+@query("st_10_gate")
+def _(t):
+    day = F.date_format("ts", "yyyy-MM-dd")
+    o = outcomes(t).withColumn("day", day)
+    now = paired.rates(o.where("day >= '2024-01-24'"), ["user_id"], "passed")
+    base = (o.where("day < '2024-01-24' AND user_id % 5 > 0").groupBy("user_id")
+            .agg(F.avg(F.col("passed").cast("double")).alias("baseline")))
+    g = paired.gate(now, base, ["user_id"])
+    return g.select("user_id", "n", *[ratio(c).alias(c) for c in ("point", "hi", "baseline")], "verdict")
+
+
+@query("st_11_power", """
+WITH g AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality <> toxic) / count(*) AS disc,
+  count(*) FILTER (WHERE quality = 1) / count(*) AS p FROM labels JOIN documents USING (doc_id) GROUP BY 1)
+SELECT lang, CAST(n AS BIGINT) AS n, round((1.959963984540054 + 0.8416212335729143) * sqrt(disc / n), 6) AS mde,
+  round(1.959963984540054 * sqrt(p * (1 - p) / n), 6) AS halfwidth FROM g""")
+def _(t):
+    g = labelled(t).join(t.documents.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(
+        F.count("*").alias("n"), (F.count_if(F.col("base") != F.col("this")) / F.count("*")).alias("disc"),
+        (F.count_if("base") / F.count("*")).alias("p"))
+    return g.select("lang", "n", ratio(paired.mde_paired(F.col("n"), F.col("disc"))).alias("mde"),
+                    ratio(paired.ci_halfwidth(F.col("n"), F.col("p"))).alias("halfwidth"))
