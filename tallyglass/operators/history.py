@@ -18,14 +18,15 @@ def micros(col: str):
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
-def gaps(df: DataFrame, keys: list[str], ts: str, slice_us: int = DAY_US) -> DataFrame:
+def gaps(df: DataFrame, keys: list[str], ts: str, slice_us: int = DAY_US, weight: str | None = None) -> DataFrame:
     """(keys, gap_us, copies): the consecutive differences of the sorted times.
 
     Equal times give gaps of zero, counted and not listed. Each time slice is
     sorted on its own; the gap between slices comes from their edges alone.
     """
-    t = df.where(F.col(ts).isNotNull()).select(*keys, micros(ts).alias("_t"))
-    seen = t.groupBy(*keys, "_t").agg(F.count("*").alias("_n"))
+    n = F.col(weight) if weight else F.lit(1)
+    t = df.where(F.col(ts).isNotNull()).select(*keys, micros(ts).alias("_t"), n.alias("_w"))
+    seen = t.groupBy(*keys, "_t").agg(F.sum("_w").alias("_n"))
     seen = seen.withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_us)))
     w = Window.partitionBy(*keys, "_slice").orderBy("_t")
     inner = seen.select(*keys, (F.col("_t") - F.lag("_t").over(w)).alias("gap_us")).where("gap_us IS NOT NULL")
@@ -39,9 +40,9 @@ def gaps(df: DataFrame, keys: list[str], ts: str, slice_us: int = DAY_US) -> Dat
     return moved.unionByName(zeros)
 
 
-def median_gap(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
+def median_gap(df: DataFrame, keys: list[str], ts: str, weight: str | None = None) -> DataFrame:
     """The median gap in seconds per key, exact."""
-    g = gaps(df, keys, ts)
+    g = gaps(df, keys, ts, weight=weight)
     q = weighted_median(g, keys, "gap_us", "copies")
     return q.select(*keys, (F.col("median") / 1e6).alias("median_gap_s"))
 
@@ -69,12 +70,27 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) ->
         *keys, ((F.col("_a") + F.col("_z")) / 2).alias("median"))
 
 
-def last_turns(df: DataFrame, conv: str, turn: str, text: str, k: int = 3) -> DataFrame:
-    """Each turn with the k turns before it, oldest first and numbered from 1."""
-    w = Window.partitionBy(conv).orderBy(turn).rowsBetween(-k, -1)
-    prior = F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(text).alias("text"))).over(w)
+def last_turns(df: DataFrame, conv: str, turn: str, text: str, k: int = 3, per_slice: int = 1000) -> DataFrame:
+    """Each turn with the k turns before it, oldest first and numbered from 1.
+
+    Conversations are cut into slices of turn numbers; a slice also receives the
+    last k turns of the slices before it, so a long one spreads over many tasks.
+    """
+    item = F.struct(F.col(turn).alias("turn"), F.col(text).alias("text"))
+    rows = df.select(*df.columns, item.alias("_item"), F.floor(F.col(turn) / per_slice).alias("_slice"))
+    back = Window.partitionBy(conv, "_slice").orderBy(F.desc(turn))
+    tails = (rows.withColumn("_rn", F.row_number().over(back)).where(F.col("_rn") <= k)
+             .groupBy(conv, "_slice").agg(F.array_sort(F.collect_list("_item")).alias("_tail")))
+    # k slices back hold at least k turns: the frame stays bounded.
+    ahead = Window.partitionBy(conv).orderBy("_slice").rowsBetween(-k, -1)
+    carry = F.flatten(F.collect_list("_tail").over(ahead))
+    carry = tails.select(conv, "_slice", F.when(F.size(carry) > k, F.slice(carry, -k, k)).otherwise(carry).alias("_carry"))
+    own = Window.partitionBy(conv, "_slice").orderBy(turn).rowsBetween(-k, -1)
+    rows = rows.withColumn("_own", F.collect_list("_item").over(own)).join(carry, [conv, "_slice"])
+    prior = F.concat("_carry", "_own")
+    prior = F.when(F.size(prior) > k, F.slice(prior, -k, k)).otherwise(prior)
     numbered = F.transform(prior, lambda x, i: F.struct((i + 1).alias("no"), x["turn"].alias("turn"), x["text"].alias("text")))
-    return df.select(*df.columns, numbered.alias("context"))
+    return rows.select(*df.columns, numbered.alias("context"))
 
 
 def rolling_count(df: DataFrame, key: str, ts: str, uid: str, window_us: int = DAY_US) -> DataFrame:
