@@ -38,10 +38,15 @@ def tokens(c: Column, keep_stop: bool = False) -> Column:
     return stems if keep_stop else F.filter(stems, lambda w: ~is_stopword(w))
 
 
+# Overlapping matches by look-ahead: one linear pass. The guard keeps the two halves
+# of a character outside the basic plane together.
+_TRIGRAM = r"(?s)(?![\uDC00-\uDFFF])(?=(...))"
+
+
 def trigrams(c: Column) -> Column:
     """The set of character trigrams of the trimmed, lower-cased, padded text."""
     s = F.concat(F.lit("  "), strip(F.lower(c)), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3))))
+    return F.array_distinct(F.regexp_extract_all(s, F.lit(_TRIGRAM), F.lit(1)))
 
 
 def spans(c: Column, max_words: int = 4) -> Column:

@@ -108,15 +108,17 @@ QUERY_BLOCK = 2048
 CORPUS_BLOCK = 20_000
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None = None, by: str | None = None) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None = None, by: str | None = None,
+                sizes: tuple[int, int] | None = None) -> DataFrame:
     """query, doc, score, rank: the k largest dot products per query, exact.
 
     Both sides are (id, vec), optionally with a column `by` that must agree.
     Ids are hashed into blocks of bounded size; each pair of blocks is one matrix
     product that keeps k rows per query, and the survivors meet in one window.
     No task holds more than one block of each side, however skewed the data.
+    `sizes` are the row counts of both sides where the caller has them cheaply.
     """
-    nq, nc = queries.count(), corpus.count()
+    nq, nc = sizes or (queries.count(), corpus.count())
     a, b = max(1, -(-nq // QUERY_BLOCK)), max(1, -(-nc // CORPUS_BLOCK))
     group = F.col(by).cast("string") if by else F.lit("")
     q = queries.select(F.col("id").alias("qid"), F.col("vec").cast("array<double>").alias("qvec"), group.alias("grp"),
@@ -163,7 +165,8 @@ def hybrid(docs: DataFrame, dkey: str, dtext: str, queries: DataFrame, qkey: str
     """query, doc, score: BM25 and hashed-vector rankings of `depth`, fused."""
     scores = bm25_scores(bm25_index(docs, dkey, dtext), queries, qkey, qtext)
     words = top_ranks(pad_unmatched(scores, queries, qkey, docs, dkey, depth), depth)
-    vectors = vector_topk(embed(queries, qkey, qtext), embed(docs, dkey, dtext), depth)
+    # Every text has a trigram, so the counts of the inputs are those of the vectors.
+    vectors = vector_topk(embed(queries, qkey, qtext), embed(docs, dkey, dtext), depth, sizes=(queries.count(), docs.count()))
     return rrf([words, vectors])
 
 
@@ -198,7 +201,8 @@ def guard_memory(items: DataFrame, key: str) -> DataFrame:
 def nearest_cached(questions: DataFrame, cached: DataFrame, threshold: float = 0.95) -> DataFrame:
     """questions (id, text, version) against cached (id, text, version, cost_usd): best hit of the same version."""
     vec = lambda d: embed(d, "id", "text").join(d.select("id", "version"), "id")
-    best = vector_topk(vec(questions), vec(cached), 1, floor=threshold, by="version")
+    sizes = (questions.count(), cached.count())
+    best = vector_topk(vec(questions), vec(cached), 1, floor=threshold, by="version", sizes=sizes)
     hit = best.select(F.col("query").alias("id"), F.col("doc").alias("cached_id"), F.col("score").alias("similarity"))
     cost = cached.select(F.col("id").alias("cached_id"), "cost_usd")
     return questions.select("id", "version").join(hit, "id", "left").join(cost, "cached_id", "left").select(

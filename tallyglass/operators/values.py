@@ -48,7 +48,8 @@ def similar(left: DataFrame, right: DataFrame, score: float = MIN_SCORE) -> Data
 
 def match_values(questions: DataFrame, qkey: str, qtext: str, index: DataFrame, limit: int = 8) -> DataFrame:
     """question, table, column, value, span, score, rank: at most `limit` hints per question."""
-    s = questions.select(F.col(qkey).alias("question"), F.posexplode(tx.spans(F.col(qtext))).alias("pos", "span"))
+    s = questions.select(F.col(qkey).alias("question"), F.col(qtext).alias("_text"))
+    s = s.select("question", F.posexplode(tx.spans(F.col("_text"))).alias("pos", "span"))
     s = s.withColumn("_low", F.lower("span"))
     v = index.withColumn("_low", F.lower("value"))
     exact = s.join(v, "_low").select("question", "pos", "span", "table", "column", "value", F.lit(1.0).alias("score"))

@@ -6,6 +6,7 @@ from tallyglass.operators import metrics, profile, retrieval, values
 from tallyglass.plans import sqltext as S
 from tallyglass.plans.common import money, ratio
 from tallyglass.plans.registry import query
+from tallyglass.session import cut
 from tallyglass.tables import FOREIGN_KEYS
 
 _BM25 = f"""
@@ -146,7 +147,8 @@ CATALOG_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 
 def catalog_and_questions(t):
     frames = t.frames(*CATALOG_TABLES)
-    cat = profile.catalog(frames, exact=False)
+    # The catalog is as small as the schema and is read by every step of the ranking.
+    cat = cut(profile.catalog(frames, exact=False))
     n = sum(len(d.columns) for d in frames.values())
     q = t.nation.select(F.col("n_nationkey").alias("id"), F.concat(
         F.lit("Which customer segment in "), "n_name", F.lit(" has the highest account balance and order total price?")).alias("text"))
@@ -162,12 +164,12 @@ def kept_columns(t, ks):
     cat, q, n = catalog_and_questions(t)
     ranked = retrieval.rank_columns(cat, q, "id", "text", n)
     parts = F.split("doc", r"\.")
-    top = ranked.select("query", "rank", parts[0].alias("table"), parts[1].alias("column"))
-    out = None
-    for k in ks:
-        p = retrieval.prune(top.where(F.col("rank") < k), cat, fk_frame(t)).withColumn("k", F.lit(k))
-        out = p if out is None else out.unionByName(p)
-    return out
+    cuts = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
+    top = ranked.select("query", "rank", parts[0].alias("table"), parts[1].alias("column"), cuts).where("rank < k")
+    # One pruning for all cut-offs: a question at one k is a question of its own.
+    # The selection (questions x k rows) feeds every rule of the pruning: written once.
+    both = cut(top.select(F.struct("k", F.col("query").alias("q")).alias("query"), "table", "column"))
+    return retrieval.prune(both, cat, fk_frame(t)).select("query.k", F.col("query.q").alias("query"), "table", "column")
 
 
 @query("ret_8_catalog_search")

@@ -27,8 +27,9 @@ def strip(c: str) -> str:
 
 
 def trigrams(c: str) -> str:
-    s = f"('  ' || {strip(f'lower({c})')} || ' ')"
-    return f"list_distinct(list_transform(range(1, length({s}) - 1), lambda i : substr({s}, CAST(i AS INTEGER), 3)))"
+    chars = f"string_split('  ' || {strip(f'lower({c})')} || ' ', '')"
+    return (f"(SELECT list_distinct(list_transform(range(1, len(ch) - 1), lambda i : ch[i] || ch[i + 1] || ch[i + 2])) "
+            f"FROM (SELECT {chars} AS ch))")
 
 
 def plain_decimal(v: str) -> str:
