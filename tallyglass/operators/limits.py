@@ -1,0 +1,60 @@
+"""Token buckets replayed over a log."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyglass.operators.history import DAY_US, micros
+
+
+def idle_chunks(df: DataFrame, key: str, ts: str, idle_us: int, slice_us: int = DAY_US) -> DataFrame:
+    """Adds _t and _chunk: the start time of the busy stretch a row belongs to.
+
+    A stretch begins after a pause of at least idle_us. Keys are cut into time
+    slices; only one row per slice is compared across slices.
+    """
+    d = df.withColumn("_t", micros(ts)).withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_us)))
+    e = d.groupBy(key, "_slice").agg(F.max("_t").alias("_hi"))
+    ahead = Window.partitionBy(key).orderBy("_slice")
+    d = d.join(e.select(key, "_slice", F.lag("_hi").over(ahead).alias("_before")), [key, "_slice"])
+    w = Window.partitionBy(key, "_slice").orderBy("_t")
+    prev = F.coalesce(F.lag("_t").over(w), F.col("_before"))
+    d = d.withColumn("_start", F.when(prev.isNull() | (F.col("_t") - prev >= F.lit(idle_us)), F.col("_t")))
+    own = F.max("_start").over(w.rangeBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("_own", own)
+    s = d.groupBy(key, "_slice").agg(F.max("_start").alias("_last"))
+    carry = s.select(key, "_slice", F.max("_last").over(ahead.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    d = d.join(carry, [key, "_slice"])
+    return d.withColumn("_chunk", F.coalesce("_own", "_carry")).drop("_slice", "_before", "_start", "_own", "_carry")
+
+
+def token_bucket(df: DataFrame, key: str, ts: str, uid: str, per_minute: float = 20.0, burst: int = 10) -> DataFrame:
+    """uid, key, allowed: would the limiter have let each request through?
+
+    After a pause of burst/rate the bucket is full again, so stretches between such
+    pauses are independent. A stretch is one sorted run of rows whose state is two
+    numbers: memory stays flat however long it is.
+    """
+    rate = per_minute / 60.0
+    d = idle_chunks(df, key, ts, int(burst / rate * 1e6))
+    d = d.select(F.col(key).cast("string").alias("k"), F.col("_chunk").alias("c"), F.col("_t").alias("t"), F.col(uid).alias("u"))
+    d = d.repartition("k", "c").sortWithinPartitions("k", "c", "t", "u")
+
+    def replay(batches):
+        state = None  # (key, chunk, tokens, last time), carried over batch borders
+        for b in batches:
+            allowed = []
+            for k, c, t in zip(b["k"].to_numpy(), b["c"].to_numpy(), b["t"].to_numpy()):
+                if state is None or state[0] != k or state[1] != c:
+                    state = (k, c, float(burst), t)
+                tokens = min(float(burst), state[2] + (t - state[3]) / 1e6 * rate)
+                ok = tokens >= 1
+                allowed.append(bool(ok))
+                state = (k, c, tokens - 1 if ok else tokens, t)
+            yield pd.DataFrame({"u": b["u"], "k": b["k"], "allowed": allowed})
+
+    schema = T.StructType([T.StructField("u", df.schema[uid].dataType), T.StructField("k", T.StringType()), T.StructField("allowed", T.BooleanType())])
+    return d.mapInPandas(replay, schema).select(F.col("u").alias(uid), F.col("k").cast(df.schema[key].dataType).alias(key), "allowed")

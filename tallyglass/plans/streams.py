@@ -1 +1,86 @@
+"""Streaming twins (STR), drained with availableNow and read back."""
 
+from pyspark.sql import functions as F
+
+from tallyglass.operators import limits
+from tallyglass.operators.profile import union
+from tallyglass.plans.common import ratio
+from tallyglass.plans.logs import feedback, live_runs
+from tallyglass.plans.registry import query
+from tallyglass.sources import sinks
+from tallyglass.streaming import jobs
+
+
+def stream(t, df, name):
+    """A table written as files and read as a stream: one drained batch, in which every key is put in time order."""
+    path = sinks.scratch(t.spark, name)
+    df.write.parquet(path)
+    s = t.spark.readStream.schema(df.schema).parquet(path)
+    return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else s
+
+
+@query("str_1_daily_windows", """
+WITH c AS (SELECT ts, event_id % 5 AS service, event_type <> 'error' AND event_id % 5 > 0 AND event_id % 7 > 0 AND event_id % 11 > 0 AS passed, value / 1000 AS cost FROM events)
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, service, CAST(count(*) AS BIGINT) AS runs, CAST(count(*) FILTER (WHERE passed) AS BIGINT) AS passes, round(avg(cost), 6) AS cost
+FROM c GROUP BY date_trunc('day', ts), service HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def _(t):
+    r = live_runs(t).withColumn("service", F.col("run_id") % 5).select("ts", "service", "passed", "cost_usd", "latency_s")
+    d, _q = jobs.run(jobs.daily_windows(stream(t, r, "runs"), "service"), "daily")
+    return d.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "service", "runs", "passes", ratio("cost").alias("cost"))
+
+
+@query("str_2_rolling_budget", """
+SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM events""")
+def _(t):
+    s = stream(t, t.events.select("ts", "event_id", "user_id"), "hits")
+    d, _q = jobs.run(jobs.stateful(s, "user_id", "event_id", F.unix_micros("ts"), jobs.RollingCount(), "used long"), "budget")
+    return d.select(F.col("u").alias("event_id"), "used")
+
+
+@query("str_3_token_bucket_batch")
+def _(t):
+    return limits.token_bucket(t.events, "user_id", "ts", "event_id", per_minute=0.005, burst=3)
+
+
+@query("str_3_token_bucket_stream")
+def _(t):
+    s = stream(t, t.events.select("ts", "event_id", "user_id"), "requests")
+    d, _q = jobs.run(jobs.stateful(s, "user_id", "event_id", F.unix_micros("ts"), jobs.TokenBucket(0.005, 3), "allowed boolean"), "bucket")
+    return d.select(F.col("u").alias("event_id"), F.col("k").alias("user_id"), "allowed")
+
+
+@query("str_4_run_assembly", """
+WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS start FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(start) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
+r AS (SELECT user_id AS run_id, min(ts) AS a, max(ts) AS b, count(*) AS spans, sum(value) AS d FROM s GROUP BY user_id, n)
+SELECT run_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS started, CAST(spans AS BIGINT) AS spans, round(d, 4) AS duration_ms FROM r
+WHERE b + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def _(t):
+    e = t.events.select("ts", F.col("event_id").alias("span_id"), F.col("user_id").alias("run_id"), F.col("value").alias("duration_ms"))
+    d, _q = jobs.run(jobs.assemble_runs(stream(t, e.unionAll(e), "spans"), "6 hours"), "assembled")
+    return d.select("run_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "spans", F.round("duration_ms", 4).alias("duration_ms"))
+
+
+@query("str_5_sampled_scoring", """
+SELECT event_id AS run_id, event_type <> 'error' AND event_id % 5 > 0 AND event_id % 7 > 0 AND event_id % 11 > 0 AS passed FROM events
+WHERE ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT < CAST(floor(0.1 * 4294967296) AS BIGINT)""")
+def _(t):
+    r = live_runs(t).select("ts", "run_id", "error", "n_rows", "status", "warning")
+    return jobs.scored_sink(stream(t, r, "live"), 0.1).select("run_id", "passed")
+
+
+@query("str_6_feedback_fan_out", """
+WITH f AS (SELECT CAST(event_id AS VARCHAR) AS run_id, CASE WHEN event_type = 'purchase' THEN 'up' WHEN event_type = 'error' THEN 'down' ELSE 'none' END AS rating, event_id % 3 > 0 AS has FROM events)
+SELECT 'feedback' AS sink, run_id AS id FROM f WHERE rating <> 'none' UNION ALL SELECT 'memory', 'user-' || run_id FROM f WHERE rating = 'up' AND has UNION ALL SELECT 'review', run_id FROM f WHERE rating = 'down'""")
+def _(t):
+    parts = jobs.feedback_fan_out(stream(t, feedback(t), "feedback"))
+    return union([d.select(F.lit(n).alias("sink"), F.col("id" if n == "memory" else "run_id").alias("id")) for n, d in parts.items()])
+
+
+@query("str_7_conversation_memory", """
+SELECT conv_id, turn, coalesce(string_agg(role || ':' || substr(text, 1, 40), ' | ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations""")
+def _(t):
+    said = F.concat("role", F.lit(":"), F.substring("text", 1, 40)).alias("said")
+    s = stream(t, t.conversations.select("turn", "conv_id", said), "turns")
+    d, _q = jobs.run(jobs.stateful(s, "conv_id", "turn", F.col("turn"), jobs.Memory(3), "context string", ["said"]), "memory")
+    return d.select(F.col("k").alias("conv_id"), F.col("u").alias("turn"), "context")
