@@ -60,8 +60,12 @@ def bm25_scores(index: Index, queries: DataFrame, key: str, text: str) -> DataFr
 
 
 def top_ranks(scores: DataFrame, k: int) -> DataFrame:
-    """query, doc, rank (from 0) of the k best, ties by doc."""
-    w = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc"))
+    """query, doc, rank (from 0) of the k best, ties by doc.
+
+    Copies of a document have equal scores up to the order of a float sum, so
+    scores that agree to nine places are ties.
+    """
+    w = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), F.col("doc"))
     return scores.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
@@ -137,7 +141,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, floor: float | No
         m = np.stack(left["qvec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
         docs, out = right["doc"].to_numpy(), []
         for i, qid in enumerate(left["qid"].to_numpy()):
-            row = m[i]
+            row = np.round(m[i], 9)
             if floor is not None:
                 keep = np.flatnonzero(row >= floor)
             elif len(row) > k:

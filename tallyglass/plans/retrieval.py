@@ -81,11 +81,11 @@ def _(t):
 @query("ret_6_hybrid_search", f"""
 WITH {_BM25}, {_vec_sql('dv', 'documents', 'doc_id')}, {_vec_sql('qv', 'benchmark', 'item_id')},
 every AS (SELECT item_id AS query, doc_id AS doc FROM benchmark, documents),
-r1 AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY coalesce(score, 0) DESC, doc) - 1 AS rank FROM every LEFT JOIN bm USING (query, doc)),
+r1 AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(coalesce(score, 0), 9) DESC, doc) - 1 AS rank FROM every LEFT JOIN bm USING (query, doc)),
 dot AS (SELECT qv.id AS query, dv.id AS doc, sum(qv.weight * dv.weight) AS score FROM qv JOIN dv USING (dim) GROUP BY 1, 2),
-r2 AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY coalesce(score, 0) DESC, doc) - 1 AS rank FROM every LEFT JOIN dot USING (query, doc)),
+r2 AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(coalesce(score, 0), 9) DESC, doc) - 1 AS rank FROM every LEFT JOIN dot USING (query, doc)),
 f AS (SELECT query, doc, sum(1.0 / (61 + rank)) AS score FROM (SELECT * FROM r1 WHERE rank < 200 UNION ALL SELECT * FROM r2 WHERE rank < 200) GROUP BY 1, 2),
-x AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) - 1 AS rank FROM f JOIN documents ON doc = doc_id
+x AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) - 1 AS rank FROM f JOIN documents ON doc = doc_id
  WHERE source <> 'src' || query % 20)
 SELECT query, doc, CAST(rank AS INTEGER) AS rank, round(score, 9) AS score FROM x WHERE rank < 3""")
 def _(t):
@@ -219,7 +219,7 @@ def cache_case(t):
 
 @query("ret_12_cache_hits", """
 SELECT n_regionkey AS version, CAST(count(*) FILTER (WHERE c_custkey % 3 = 0) AS BIGINT) AS hits, CAST(count(*) FILTER (WHERE c_custkey % 3 <> 0) AS BIGINT) AS misses,
- round(count(*) FILTER (WHERE c_custkey % 3 = 0) / count(*), 6) AS hit_rate, round(count(*) FILTER (WHERE c_custkey % 3 = 0) * 0.004, 4) AS usd_saved
+ round(count(*) FILTER (WHERE c_custkey % 3 = 0) / count(*), 6) AS hit_rate, round(count(*) FILTER (WHERE c_custkey % 3 = 0) * 0.004::DOUBLE, 4) AS usd_saved
 FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def _(t):
     q, cached = cache_case(t)
