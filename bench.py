@@ -53,6 +53,7 @@ def main() -> None:
     registry, tables, out = load_all(), Tables(spark, sf), {}
     for key in HEADLINE:
         out[key] = round(timed(lambda k=key: registry[k].build(tables)), 4)
+        print(key, out[key], file=sys.stderr, flush=True)
 
     folder = tempfile.mkdtemp(prefix="run-bench-")
     t0 = time.perf_counter()

@@ -8,11 +8,42 @@ from pyspark.sql import functions as F
 from tallyglass import fixed
 from tallyglass.operators.present import text_columns
 
-PATTERN = "(?isU)" + "|".join(f"(?:{p})" for p in fixed.INSTRUCTION_PATTERNS)
+FLAGS = "(?isU)"
+PATTERN = FLAGS + "|".join(f"(?:{p})" for p in fixed.INSTRUCTION_PATTERNS)
+# For each pattern, pieces of which any match must contain one. Plain substring
+# search is far cheaper than the patterns, and few texts contain a piece.
+PIECES = (
+    ("instruction", "prompt", "rule", "message", "direction"),
+    ("you are now", "act as", "pretend ", "from now on"),
+    ("system prompt", "developer message", "jailbreak", "dan mode"),
+    ("instruction",),
+    ("instead", "regardless", "no matter"),
+    ("always", "must"),
+    ("link", "url", "image", "markdown"),
+    ("http",),
+    ("<", "inst]", "#"),
+)
+
+
+def folded(c: Column) -> Column:
+    """Lower case, with the letters that case-blind matching equates to i, k and s."""
+    return F.translate(F.lower(c), "ıſİK", "isik")
+
+
+def any_pattern(c: Column) -> Column:
+    low, hit = folded(c), None
+    for pattern, pieces in zip(fixed.INSTRUCTION_PATTERNS, PIECES, strict=True):
+        has = None
+        for piece in pieces:
+            x = F.contains(low, F.lit(piece))
+            has = x if has is None else has | x
+        one = has & c.rlike(FLAGS + pattern)
+        hit = one if hit is None else hit | one
+    return hit
 
 
 def looks_like_instruction(c: Column) -> Column:
-    return F.coalesce((F.length(c) >= fixed.INSTRUCTION_MIN_LENGTH) & c.rlike(PATTERN), F.lit(False))
+    return F.coalesce((F.length(c) >= fixed.INSTRUCTION_MIN_LENGTH) & any_pattern(c), F.lit(False))
 
 
 def neutralize(c: Column) -> Column:
@@ -27,7 +58,7 @@ def neutralize_frame(df: DataFrame) -> DataFrame:
 
 def replace_spans(c: Column) -> Column:
     """Only the matching spans are replaced."""
-    return F.regexp_replace(c, PATTERN, F.lit(fixed.INSTRUCTION_PLACEHOLDER))
+    return F.when(any_pattern(c), F.regexp_replace(c, PATTERN, F.lit(fixed.INSTRUCTION_PLACEHOLDER))).otherwise(c)
 
 
 def suspicious_name(c: Column) -> Column:

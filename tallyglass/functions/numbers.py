@@ -16,29 +16,29 @@ def raw_numbers(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_PATTERN), F.lit(0))
 
 
-def parse_number(raw: Column) -> tuple[Column, Column]:
-    """(value, decimals written) of one raw number; k/M/bn scale, % does not."""
-    whole = F.regexp_replace(F.regexp_extract(raw, _WHOLE, 1), ",", "")
-    frac = F.regexp_extract(raw, _WHOLE, 2)
-    unit = F.regexp_extract(raw, _WHOLE, 3)
-    power = F.lit(0)
-    for p in sorted(set(fixed.UNIT_POWERS.values())):
-        power = F.when(unit.isin(*[u for u, q in fixed.UNIT_POWERS.items() if q == p]), p).otherwise(power)
-    scale = F.when(power == 3, F.lit(1e3)).when(power == 6, F.lit(1e6)).when(power == 9, F.lit(1e9)).otherwise(F.lit(1.0))
-    value = F.concat(whole, frac).cast("double") * scale
+def number_parts(raw: Column) -> Column:
+    """struct<raw, whole, frac, unit> of one number as written."""
+    part = lambda i: F.regexp_extract(raw, _WHOLE, i)
+    return F.struct(raw.alias("raw"), F.replace(part(1), F.lit(","), F.lit("")).alias("whole"), part(2).alias("frac"), part(3).alias("unit"))
+
+
+def number_value(p: Column) -> Column:
+    """struct<value, decimals, raw> from parts; k/M/bn scale the value, % does not."""
+    unit, frac, raw = p["unit"], p["frac"], p["raw"]
+    scales = {3: 1e3, 6: 1e6, 9: 1e9}
+    power, scale = F.lit(0), F.lit(1.0)
+    for n, x in scales.items():
+        here = unit.isin(*[u for u, q in fixed.UNIT_POWERS.items() if q == n])
+        power, scale = F.when(here, n).otherwise(power), F.when(here, x).otherwise(scale)
+    value = F.concat(p["whole"], frac).cast("double") * scale
     value = F.when(raw.startswith("-") | raw.startswith("−"), -value).otherwise(value)
     decimals = F.greatest(F.greatest(F.length(frac) - 1, F.lit(0)) - power, F.lit(-12))
-    return value, decimals
+    return F.struct(value.alias("value"), decimals.alias("decimals"), raw.alias("raw"))
 
 
 def numbers(c: Column) -> Column:
-    """array<struct<value, decimals, raw>>."""
-    def one(m):
-        raw = F.btrim(m)
-        value, decimals = parse_number(raw)
-        return F.struct(value.alias("value"), decimals.alias("decimals"), raw.alias("raw"))
-
-    return F.transform(raw_numbers(c), one)
+    """array<struct<value, decimals, raw>>; each number is taken apart once."""
+    return F.transform(F.transform(raw_numbers(c), lambda m: number_parts(F.btrim(m))), number_value)
 
 
 def plain_decimal(v: Column, places: int = 4) -> Column:

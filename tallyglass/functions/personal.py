@@ -22,7 +22,7 @@ def value_kind(value: Column) -> Column:
     phone = (rx["PHONE"] & v.rlike("(?U)" + fixed.PHONE_SEPARATOR) & digits.between(8, 15)
              & ~v.rlike("(?U)" + fixed.DATE_LIKE))
     # A value without a digit or an @ is nothing: most text stops here.
-    worth = v.rlike("[@0-9]")
+    worth = v.rlike(r"[@\p{Nd}]")
     return (F.when(~worth, F.lit(None).cast("string"))
             .when(v.rlike("(?U)" + fixed.CARD_PATTERN) & luhn_ok(v), "CARD")
             .when(rx["EMAIL"], "EMAIL").when(rx["SSN"], "SSN").when(rx["IP"], "IP").when(rx["IBAN"], "IBAN")

@@ -14,10 +14,15 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGE_SPACE, "")
 
 
+def raw_words(c: Column) -> Column:
+    """The words of an identifier or text as written; explode, then lower and stem as plain expressions."""
+    spaced = F.regexp_replace(c, fixed.CAMEL_BOUNDARY, " ")
+    return F.regexp_extract_all(spaced, F.lit(fixed.PLAIN_WORD), F.lit(0))
+
+
 def words(c: Column) -> Column:
     """'BillingCountry', 'billing_country', 'T2.Score' -> lower-case words."""
-    spaced = F.regexp_replace(c, fixed.CAMEL_BOUNDARY, " ")
-    return F.transform(F.regexp_extract_all(spaced, F.lit(fixed.PLAIN_WORD), F.lit(0)), F.lower)
+    return F.transform(raw_words(c), F.lower)
 
 
 def stem(w: Column) -> Column:

@@ -54,10 +54,11 @@ def unsupported(found: DataFrame, cands: DataFrame, rid: str) -> DataFrame:
     levels = m.select(rid, "_level").distinct()
     placed = cands.join(levels, rid).withColumn("_cell", F.floor(F.col("candidate") / F.pow(F.lit(2.0), F.col("_level"))))
     spread = m.withColumn("_cell", F.explode("_cells"))
-    near = F.abs(F.col("c.candidate") - F.abs("m.value")) <= F.col("m.tol")
-    same = (F.col(f"m.{rid}") == F.col(f"c.{rid}")) & (F.col("m._level") == F.col("c._level")) & (F.col("m._cell") == F.col("c._cell"))
-    ok = spread.alias("m").join(placed.alias("c"), same & near, "left_semi").select(rid, "pos").distinct()
-    return found.join(ok, [rid, "pos"], "left_anti")
+    near = F.abs(F.col("candidate") - F.abs("value")) <= F.col("tol")
+    j = spread.join(placed, [rid, "_level", "_cell"], "left")
+    # Hits fold to one flag per mention while the join streams.
+    g = j.groupBy(rid, *[c for c in found.columns if c != rid]).agg(F.coalesce(F.bool_or(near), F.lit(False)).alias("_ok"))
+    return g.where("NOT _ok").select(*found.columns)
 
 
 def check(texts: DataFrame, rid: str, text: str, results: DataFrame, question: str | None = None,

@@ -73,7 +73,9 @@ def mask_result(df: DataFrame, report: DataFrame | None = None) -> DataFrame:
 
 def free_text(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """key, kind, n: kinds of the whitespace-separated words of each text."""
-    words = df.select(*key, F.explode(F.split(text, r"(?U)\s+")).alias("_w"))
+    # Only words with a digit or an @ can be of a kind; they are cut out in one linear pass.
+    worth = F.regexp_extract_all(text, F.lit(r"(?U)(?<!\S)[^\s@\p{Nd}]*+[@\p{Nd}]\S*"), F.lit(0))
+    words = df.select(*key, F.explode(worth).alias("_w"))
     k = words.select(*key, personal.value_kind(F.col("_w")).alias("kind")).where("kind IS NOT NULL")
     return k.groupBy(*key, "kind").agg(F.count("*").alias("n"))
 

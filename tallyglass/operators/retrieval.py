@@ -28,7 +28,8 @@ class Index:
 
 def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, token per occurrence; stems and stop words are plain expressions after the explode."""
-    w = df.select(key, F.explode(tx.words(F.col(text))).alias("_w")).select(key, tx.stem(F.col("_w")).alias("token"))
+    w = df.select(key, F.explode(tx.raw_words(F.col(text))).alias("_w")).select(key, F.lower("_w").alias("_w"))
+    w = w.select(key, tx.stem(F.col("_w")).alias("token"))
     return w.where(~tx.is_stopword(F.col("token")))
 
 

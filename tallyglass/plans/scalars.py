@@ -118,10 +118,8 @@ def _(t):
 
 @query("fn_13_numbers_in_prose")
 def _(t):
-    n = t.documents.select("doc_id", F.posexplode(numbers.raw_numbers(F.col("text"))).alias("pos", "m"))
-    raw = F.btrim("m")
-    value, decimals = numbers.parse_number(raw)
-    return n.select("doc_id", "pos", value.alias("value"), decimals.alias("decimals"), raw.alias("raw"))
+    n = t.documents.select("doc_id", F.posexplode(numbers.numbers(F.col("text"))).alias("pos", "n"))
+    return n.select("doc_id", "pos", "n.value", "n.decimals", "n.raw")
 
 
 @query("fn_14_luhn", """

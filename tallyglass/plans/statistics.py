@@ -23,7 +23,7 @@ FROM (SELECT *, l_extendedprice * l_discount * l_tax AS revenue FROM lineitem) d
    (SELECT quantile_cont({c}, .25) AS q1, quantile_cont({c}, .75) AS q3
     FROM (SELECT *, l_extendedprice * l_discount * l_tax AS revenue FROM lineitem))) f GROUP BY lo, hi"""))
 def _(t):
-    li = t.lineitem.withColumn("revenue", F.expr("l_extendedprice * l_discount * l_tax"))
+    li = t.wide("lineitem").withColumn("revenue", F.expr("l_extendedprice * l_discount * l_tax"))
     return stats.outliers(li, LINE_MEASURES + ["revenue"])
 
 

@@ -12,6 +12,19 @@ TABLE_NAMES = (
 )
 
 
+# Tables whose rows are whole texts: regular expressions over them dominate any scan.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files give fewer splits than cores; large tables stay as they are.
+
+    Only for plain scans: the number of splits is then known without running anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 @dataclass(frozen=True)
 class ForeignKey:
     table: str
@@ -64,7 +77,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
             raise AttributeError(name)
-        return self.spark.read.parquet(self.file(name))
+        df = self.spark.read.parquet(self.file(name))
+        return spread(df) if name in TEXT_TABLES else df
+
+    def wide(self, name: str) -> DataFrame:
+        """A table for work that costs more than a shuffle of its rows."""
+        return spread(self.spark.read.parquet(self.file(name)))
 
     def frames(self, *names: str) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in (names or TABLE_NAMES)}
