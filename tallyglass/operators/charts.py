@@ -20,7 +20,7 @@ def shares(df: DataFrame, category: str, value: str, limit: int = 8) -> DataFram
     """category, total, share; nothing when there are more than `limit` categories (no pie then)."""
     g = df.groupBy(category).agg(F.sum(value).alias("total"))
     t = g.agg(F.sum("total").alias("_t"), F.count("*").alias("_n"))
-    return g.crossJoin(t).where(F.col("_n") <= limit).select(category, "total", (F.col("total") / F.col("_t")).alias("share"))
+    return g.crossJoin(t).where(F.col("_n") <= limit).select(category, "total", F.try_divide("total", "_t").alias("share"))
 
 
 def scale_spread(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -89,11 +89,11 @@ def drift(records: DataFrame, keys: list[str], now: Column | None = None, window
     age = F.col("_now") - F.col("_t")
     part = F.when((age >= 0) & (age <= window_us), "cur").when((age > window_us) & (age <= window_us + baseline_us), "base")
     r = r.withColumn("_w", part).where("_w IS NOT NULL")
-    g = r.groupBy(*keys, "_w").agg(F.count("*").alias("n"), F.count_if("passed").alias("k"), F.avg("cost_usd").alias("cost"))
-    q = exact_quantiles(r, [*keys, "_w"], "latency_s", {"p95": 0.95})
+    g = r.groupBy(*keys, "_w").agg(F.count("*").alias("_n"), F.count_if("passed").alias("_k"), F.avg("cost_usd").alias("_cost"))
+    q = exact_quantiles(r, [*keys, "_w"], "latency_s", {"_p95": 0.95})
     s = g.join(q, [*keys, "_w"])
     pick = lambda w, c: F.max(F.when(F.col("_w") == w, F.col(c)))
-    m = s.groupBy(*keys).agg(*[pick(w, c).alias(f"{w}_{c}") for w in ("cur", "base") for c in ("n", "k", "cost", "p95")])
+    m = s.groupBy(*keys).agg(*[pick(w, c).alias(w + c) for w in ("cur", "base") for c in ("_n", "_k", "_cost", "_p95")])
     m = m.withColumn("window_runs", F.coalesce("cur_n", F.lit(0))).withColumn("baseline_runs", F.coalesce("base_n", F.lit(0)))
     enough = (F.col("window_runs") >= min_runs) & (F.col("baseline_runs") >= min_runs)
     m = m.withColumn("_ci", tails.rate_interval(F.col("cur_n").cast("double"), F.col("cur_k").cast("double")))

@@ -79,6 +79,13 @@ def pairs(cols: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation over complete pairs; NULL where a side is constant (never a division by zero)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+
+
 def correlations(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """r and complete pairs of every pair of numeric columns, in one scan."""
     cols = cols or numeric_columns(df)
@@ -86,9 +93,7 @@ def correlations(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     for a, b in pairs(cols):
         x, y = F.col(a).cast("double"), F.col(b).cast("double")
         both = x.isNotNull() & y.isNotNull()
-        # A constant side has no correlation: NULL, never a verdict.
-        r = F.when((F.min(F.when(both, x)) < F.max(F.when(both, x))) & (F.min(F.when(both, y)) < F.max(F.when(both, y))),
-                   F.corr(x, y))
+        r = pearson(x, y)
         parts.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("r"),
                               F.count_if(both).alias("n")))
     return df.agg(F.array(*parts).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")

@@ -11,10 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 10_000
-# Below this many rows a group is ranked whole; above it the bracket's slack
-# (one sketch error on each side) is at least four rows.
-WHOLE_GROUP_ROWS = 4 * SKETCH_ACCURACY
+SKETCH_ACCURACY = 50_000
 
 
 def long_form(df: DataFrame, cols: list[str], keys: list[str] = ()) -> DataFrame:
@@ -34,6 +31,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
     sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", edges, accuracy).alias("_e"))
+    # Small groups are ranked whole; above, the slack on each side (one sketch error) is at least four rows.
     small = F.col("_n") < F.lit(4 * accuracy)
     spec = F.array(*[
         F.struct(F.lit(i).alias("_q"),

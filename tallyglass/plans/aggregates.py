@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyglass.operators import summary
+from tallyglass.operators import stats, summary
 from tallyglass.plans.common import REVENUE, money, ratio
 from tallyglass.plans.registry import query
 
@@ -56,7 +56,7 @@ def _(t):
     per_part = t.lineitem.groupBy("l_partkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("r"),
                                                    F.count("*").alias("n"))
     j = per_part.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    return j.groupBy("p_type").agg(ratio(100.0 * F.sum("r") / F.sum("n")).alias("pct_returned"))
+    return j.groupBy("p_type").agg(ratio(F.try_divide(100.0 * F.sum("r"), F.sum("n"))).alias("pct_returned"))
 
 
 @query("agg_6_ratio_of_aggregates_and_mean_of_ratios", """
@@ -121,7 +121,7 @@ FROM lineitem GROUP BY l_returnflag""")
 def _(t):
     p = "l_extendedprice"
     moments = t.lineitem.groupBy("l_returnflag").agg(
-        ratio(F.corr("l_quantity", p)).alias("r"), money(F.stddev_samp(p)).alias("sd"),
+        ratio(stats.pearson(F.col("l_quantity"), F.col(p))).alias("r"), money(F.stddev_samp(p)).alias("sd"),
         money(F.stddev_pop(p)).alias("sd_pop"), money(F.var_samp("l_quantity")).alias("var_qty"))
     q = summary.exact_quantiles(t.lineitem, ["l_returnflag"], p, {"median": 0.5, "p90": 0.9})
     return moments.join(q, "l_returnflag").select(*moments.columns, money("median").alias("median"), money("p90").alias("p90"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyglass.operators import eda, profile, quality
+from tallyglass.operators import eda, profile, quality, stats
 from tallyglass.plans.common import ratio
 from tallyglass.plans.registry import query
 from tallyglass.tables import FOREIGN_KEYS, PRIMARY_KEYS
@@ -183,7 +183,7 @@ def customer_claims(t):
     day = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86_400_000_000
     early = F.col("o_orderdate") < F.lit("1998-06-01").cast("timestamp_ntz")
     g = t.orders.groupBy("o_custkey").agg(
-        F.count("*").alias("sample_size"), F.corr("o_totalprice", day).alias("correlation"),
+        F.count("*").alias("sample_size"), stats.pearson(F.col("o_totalprice"), day).alias("correlation"),
         F.count_if(early).cast("double").alias("base_value"),
         (100.0 * (F.count_if(~early) - F.count_if(early)) / F.nullif(F.count_if(early), F.lit(0))).alias("pct_change"),
         (4 * F.stddev_samp("o_totalprice")).alias("ci_width"), F.avg("o_totalprice").alias("forecast"))

@@ -61,7 +61,7 @@ def _(t):
 
 @query("warehouse_percentage_of_a_code", f"SELECT round(100.0 * count(*) FILTER (WHERE event_type = 'purchase') / count(*), 6) AS purchases, round(100.0 * count(*) FILTER (WHERE event_type = 'view') / count(*), 6) AS views FROM events WHERE {_WEEK}")
 def _(t):
-    share = lambda c: ratio(100.0 * F.count_if(F.col("event_type") == c) / F.count("*"))
+    share = lambda c: ratio(F.try_divide(100.0 * F.count_if(F.col("event_type") == c), F.count("*")))
     return week(t).agg(share("purchase").alias("purchases"), share("view").alias("views"))
 
 
