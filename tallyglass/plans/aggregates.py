@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyglass.operators import stats, summary
-from tallyglass.plans.common import REVENUE, money, ratio
+from tallyglass.plans.common import money, ratio, revenue
 from tallyglass.plans.registry import query
 
 
@@ -22,7 +22,7 @@ SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 4) AS qty,
        CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2""")
 def _(t):
     return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
-        money(F.sum("l_quantity")).alias("qty"), money(F.sum(REVENUE)).alias("revenue"),
+        money(F.sum("l_quantity")).alias("qty"), money(F.sum(revenue())).alias("revenue"),
         ratio(F.avg("l_discount")).alias("avg_discount"), F.count("*").alias("n"))
 
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def money(c):

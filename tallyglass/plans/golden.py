@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyglass.plans.common import REVENUE, days, money, ratio
+from tallyglass.plans.common import days, money, ratio, revenue
 from tallyglass.plans.registry import query
 
 
@@ -13,7 +13,7 @@ def customer_nation(t):
 
 def part_sales(t):
     """Revenue, lines, quantity per part: the fact table folds before it meets the dimension."""
-    per = t.lineitem.groupBy("l_partkey").agg(F.sum(REVENUE).alias("rev"), F.count("*").alias("lines"), F.sum("l_quantity").alias("qty"))
+    per = t.lineitem.groupBy("l_partkey").agg(F.sum(revenue()).alias("rev"), F.count("*").alias("lines"), F.sum("l_quantity").alias("qty"))
     return per.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
 
 
@@ -27,7 +27,7 @@ def nation_orders(t):
 
 
 def supplier_sales(t):
-    per = t.lineitem.groupBy("l_suppkey").agg(F.sum(REVENUE).alias("rev"), F.count("*").alias("lines"))
+    per = t.lineitem.groupBy("l_suppkey").agg(F.sum(revenue()).alias("rev"), F.count("*").alias("lines"))
     return per.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
 
 
@@ -257,7 +257,7 @@ def _(t):
  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)
 SELECT r_name, p_brand FROM (SELECT *, rank() OVER (PARTITION BY r_name ORDER BY rev DESC) AS rk FROM g) WHERE rk = 1""")
 def _(t):
-    li = t.lineitem.select("l_orderkey", "l_partkey", REVENUE.alias("rev")).join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    li = t.lineitem.select("l_orderkey", "l_partkey", revenue().alias("rev")).join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     per = li.groupBy("l_orderkey", "p_brand").agg(F.sum("rev").alias("rev"))
     g = (per.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
          .join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))

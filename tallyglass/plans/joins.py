@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyglass.plans.common import REVENUE, days, money, ratio
+from tallyglass.plans.common import days, money, ratio, revenue
 from tallyglass.plans.registry import query
 
 
@@ -27,7 +27,7 @@ JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionke
 GROUP BY r_name ORDER BY revenue DESC LIMIT 3""")
 def region_revenue(t):
     # One line per order first: the fact table shrinks before it meets orders.
-    per_order = t.lineitem.groupBy("l_orderkey").agg(F.sum(REVENUE).alias("rev"))
+    per_order = t.lineitem.groupBy("l_orderkey").agg(F.sum(revenue()).alias("rev"))
     o = t.orders.select("o_orderkey", "o_custkey")
     by_nation = (per_order.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
                  .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -61,7 +61,7 @@ def _(t):
     j = (li.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
          .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
          .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-         .groupBy("c_nationkey", "s_nationkey").agg(F.sum(REVENUE).alias("rev")))
+         .groupBy("c_nationkey", "s_nationkey").agg(F.sum(revenue()).alias("rev")))
     cn = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("customer_nation"))
     sn = t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("supplier_nation"))
     return (j.join(cn, "c_nationkey").join(sn, "s_nationkey")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyglass.operators import ties
-from tallyglass.plans.common import REVENUE, money
+from tallyglass.plans.common import money, revenue
 from tallyglass.plans.registry import query
 
 
@@ -22,7 +22,7 @@ def _(t):
 SELECT s_suppkey, s_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem
 JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2 ORDER BY revenue DESC, s_suppkey LIMIT 5""")
 def _(t):
-    per = t.lineitem.groupBy("l_suppkey").agg(money(F.sum(REVENUE)).alias("revenue"))
+    per = t.lineitem.groupBy("l_suppkey").agg(money(F.sum(revenue())).alias("revenue"))
     j = per.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return j.select("s_suppkey", "s_name", "revenue").orderBy(F.desc("revenue"), "s_suppkey").limit(5)
 

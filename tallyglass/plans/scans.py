@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions.text import table_name
 from tallyglass.operators.profile import union
-from tallyglass.plans.common import REVENUE, money
+from tallyglass.plans.common import money, revenue
 from tallyglass.plans.registry import query
 from tallyglass.sources import files, layout, sinks
 
@@ -133,7 +133,7 @@ def _(t):
 @query("src_14_snapshot_sink", """SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem GROUP BY 1""")
 def _(t):
     path = sinks.scratch(t.spark, "summary")
-    s = t.lineitem.groupBy("l_returnflag").agg(money(F.sum(REVENUE)).alias("revenue"))
+    s = t.lineitem.groupBy("l_returnflag").agg(money(F.sum(revenue())).alias("revenue"))
     for _round in range(2):
         sinks.snapshot(s, path, "json")
     return sinks.newest_first(t.spark.read.schema(s.schema).json(path), "revenue")

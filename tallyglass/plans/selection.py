@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyglass.operators import present
-from tallyglass.plans.common import REVENUE, days, money, ratio
+from tallyglass.plans.common import days, money, ratio, revenue
 from tallyglass.plans.registry import query
 
 
@@ -56,7 +56,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_disco
        round(l_quantity / 7, 6) AS weeks FROM lineitem""")
 def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey",
-                             ratio(REVENUE * (1 + F.col("l_tax"))).alias("charge"),
+                             ratio(revenue() * (1 + F.col("l_tax"))).alias("charge"),
                              ratio(F.col("l_quantity") / 7).alias("weeks"))
 
 

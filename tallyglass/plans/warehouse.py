@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyglass.plans.common import REVENUE, days, money, ratio
+from tallyglass.plans.common import days, money, ratio, revenue
 from tallyglass.plans.registry import query
 
 
@@ -173,7 +173,7 @@ def _(t):
 
 @query("warehouse_revenue_by_region", "SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE " + between("l_shipdate", "1998-01-01", "1999-01-01") + " GROUP BY 1")
 def _(t):
-    per = t.lineitem.where(days("l_shipdate", "1998-01-01", "1999-01-01")).groupBy("l_suppkey").agg(F.sum(REVENUE).alias("rev"))
+    per = t.lineitem.where(days("l_shipdate", "1998-01-01", "1999-01-01")).groupBy("l_suppkey").agg(F.sum(revenue()).alias("rev"))
     j = (per.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
          .join(t.region, F.col("n_regionkey") == F.col("r_regionkey")))
     return j.groupBy("r_name").agg(money(F.sum("rev")).alias("revenue"))

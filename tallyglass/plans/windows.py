@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyglass.operators import history, pareto
-from tallyglass.plans.common import REVENUE, money, ratio
+from tallyglass.plans.common import money, ratio, revenue
 from tallyglass.plans.registry import query
 
 
@@ -36,7 +36,7 @@ WITH g AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, p_type, sum(l_exten
 r AS (SELECT *, rank() OVER (PARTITION BY year ORDER BY rev DESC) AS rk FROM g)
 SELECT year, p_type, round(rev, 4) AS revenue FROM r WHERE rk = 1""")
 def _(t):
-    per_part = t.lineitem.groupBy("l_partkey", F.year("l_shipdate").alias("year")).agg(F.sum(REVENUE).alias("rev"))
+    per_part = t.lineitem.groupBy("l_partkey", F.year("l_shipdate").alias("year")).agg(F.sum(revenue()).alias("rev"))
     g = (per_part.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
          .groupBy("year", "p_type").agg(F.sum("rev").alias("rev")))
     w = Window.partitionBy("year").orderBy(F.desc("rev"))
