@@ -23,7 +23,7 @@ HEADLINE = (
     "warehouse_range_aggregates", "warehouse_revenue_by_region", "prf_3_top_values", "st_1_tukey_outliers", "ml_5_iqr_anomalies",
     "txt_1_instruction_like", "pii_6_free_text", "fth_1_claim_check", "ret_1_bm25_index", "log_6_drift_windows", "ev_11_case_scorecard",
 )
-REPS = int(os.environ.get("BENCH_REPS", "3"))
+REPS = int(os.environ.get("BENCH_REPS", "2"))
 
 
 def timed(make, reps: int = REPS) -> float:
