@@ -6,14 +6,14 @@ from tallyglass.operators import claims
 from tallyglass.plans.registry import query
 
 # What a customer's summary says; every third overstates the total.
-_SAID = """SELECT o_custkey, printf('%.2f', sum(o_totalprice) * CASE WHEN o_custkey % 3 = 0 THEN 1.07 ELSE 1 END) AS total_text,
- printf('%.1f', max(o_totalprice) / 1000) AS top_text, printf('%.7f', avg(o_totalprice) * CASE WHEN o_custkey % 5 = 0 THEN 0.5 ELSE 1 END) AS mean_text,
+_SAID = """SELECT o_custkey, printf('%.4f', sum(o_totalprice) * CASE WHEN o_custkey % 3 = 0 THEN 1.07 ELSE 1 END) AS total_text,
+ printf('%.5f', max(o_totalprice) / 1000) AS top_text, printf('%.7f', avg(o_totalprice) * CASE WHEN o_custkey % 5 = 0 THEN 0.5 ELSE 1 END) AS mean_text,
  count(*) AS n FROM orders GROUP BY o_custkey"""
 
 _CHECK_SQL = f"""
 WITH s AS ({_SAID}),
-m AS (SELECT o_custkey, 1 AS pos, total_text AS raw, CAST(total_text AS DOUBLE) AS v, 2 AS d FROM s
- UNION ALL SELECT o_custkey, 2, top_text || 'k', CAST(top_text AS DOUBLE) * 1000, -2 FROM s
+m AS (SELECT o_custkey, 1 AS pos, total_text AS raw, CAST(total_text AS DOUBLE) AS v, 4 AS d FROM s
+ UNION ALL SELECT o_custkey, 2, top_text || 'k', CAST(top_text AS DOUBLE) * 1000, 2 FROM s
  UNION ALL SELECT o_custkey, 3, '$' || mean_text, CAST(mean_text AS DOUBLE), 7 FROM s
  UNION ALL SELECT o_custkey, 0, CAST(n AS VARCHAR), n, 0 FROM s WHERE n > 10),
 c AS (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS c FROM orders GROUP BY 1
@@ -30,7 +30,7 @@ def summaries(t):
     g = t.orders.groupBy("o_custkey").agg(
         F.count("*").alias("n"), (total * F.when(k % 3 == 0, 1.07).otherwise(1)).alias("total"),
         (F.max("o_totalprice") / 1000).alias("top"), (F.avg("o_totalprice") * F.when(k % 5 == 0, 0.5).otherwise(1)).alias("mean"))
-    said = F.format_string("Customer#%d placed %d orders worth %.2f in total; the largest was %.1fk, the mean $%.7f, rank 2nd of 12345.",
+    said = F.format_string("Customer#%d placed %d orders worth %.4f in total; the largest was %.5fk, the mean $%.7f, rank 2nd of 12345.",
                            "o_custkey", "n", "total", "top", "mean")
     return g.select("o_custkey", said.alias("text"), F.lit("Who ranks second of 12345?").alias("question"))
 
