@@ -40,7 +40,7 @@ def _(t):
 
 
 @query("fn_5_lenient_casts", """
-SELECT doc_id, TRY_CAST(substr(text, 1, 2) AS INTEGER) AS lead_number,
+SELECT doc_id, TRY_CAST(text AS INTEGER) AS number,
        TRY_CAST(replace(source, 'src', '') AS INTEGER) AS source_number,
        strftime(TRY_CAST(CASE WHEN doc_id % 2 = 0 THEN '2024-02-' || lpad(CAST(doc_id % 35 AS VARCHAR), 2, '0') ELSE text END
          AS DATE), '%Y-%m-%d') AS day FROM documents""")
@@ -48,7 +48,7 @@ def _(t):
     d = F.col("doc_id")
     day = F.when(d % 2 == 0, F.concat(F.lit("2024-02-"), F.lpad((d % 35).cast("string"), 2, "0"))).otherwise(F.col("text"))
     return t.documents.select(
-        "doc_id", F.substring("text", 1, 2).try_cast("int").alias("lead_number"),
+        "doc_id", F.col("text").try_cast("int").alias("number"),
         F.replace("source", F.lit("src"), F.lit("")).try_cast("int").alias("source_number"),
         F.date_format(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")), "yyyy-MM-dd").alias("day"))
 

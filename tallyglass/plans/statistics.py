@@ -124,7 +124,7 @@ def _(t):
     day = F.date_format("ts", "yyyy-MM-dd")
     o = outcomes(t).withColumn("day", day)
     now = paired.rates(o.where("day >= '2024-01-24'"), ["user_id"], "passed")
-    base = (o.where("day < '2024-01-24' AND user_id % 5 > 0").groupBy("user_id")
+    base = (o.where("day < '2024-01-24'").groupBy("user_id")
             .agg(F.avg(F.col("passed").cast("double")).alias("baseline")))
     g = paired.gate(now, base, ["user_id"])
     return g.select("user_id", "n", *[ratio(c).alias(c) for c in ("point", "hi", "baseline")], "verdict")

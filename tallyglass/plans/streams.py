@@ -78,9 +78,9 @@ def _(t):
 
 
 @query("str_7_conversation_memory", """
-SELECT conv_id, turn, coalesce(string_agg(role || ':' || substr(text, 1, 40), ' | ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations""")
+SELECT conv_id, turn, md5(coalesce(string_agg(role || ':' || text, ' | ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '')) AS context_md5 FROM conversations""")
 def _(t):
-    said = F.concat("role", F.lit(":"), F.substring("text", 1, 40)).alias("said")
+    said = F.concat("role", F.lit(":"), "text").alias("said")
     s = stream(t, t.conversations.select("turn", "conv_id", said), "turns")
     d, _q = jobs.run(jobs.stateful(s, "conv_id", "turn", F.col("turn"), jobs.Memory(3), "context string", ["said"]), "memory")
-    return d.select(F.col("k").alias("conv_id"), F.col("u").alias("turn"), "context")
+    return d.select(F.col("k").alias("conv_id"), F.col("u").alias("turn"), F.md5("context").alias("context_md5"))

@@ -53,13 +53,13 @@ def _(t):
 
 @query("win_5_last_turns", """
 SELECT conv_id, turn, CAST(count(*) OVER w AS BIGINT) AS n_before,
-       coalesce(string_agg(role || ':' || substr(text, 1, 40), ' | ') OVER w, '') AS context FROM conversations
+       md5(coalesce(string_agg(role || ':' || text, ' | ') OVER w, '')) AS context_md5 FROM conversations
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)""")
 def _(t):
-    c = t.conversations.withColumn("said", F.concat("role", F.lit(":"), F.substring("text", 1, 40)))
+    c = t.conversations.withColumn("said", F.concat("role", F.lit(":"), "text"))
     h = history.last_turns(c, "conv_id", "turn", "said", k=3)
     return h.select("conv_id", "turn", F.size("context").cast("long").alias("n_before"),
-                    F.array_join(F.transform("context", lambda x: x["text"]), " | ").alias("context"))
+                    F.md5(F.array_join(F.transform("context", lambda x: x["text"]), " | ")).alias("context_md5"))
 
 
 @query("win_6_rolling_day_count", """
