@@ -15,10 +15,11 @@ NAME = "op7_quality"
 BUCKETS = 1 << 16
 #: At most about so many trusted documents (quality 1) make the target counts; the corpus counts take every document.
 TRUSTED = 200_000
-#: Added to every bucket of the target, and in proportion to the corpus.
-SMOOTHING = 1.0
+#: Added to the target count of every bucket and to the count that the corpus lets expect, so that buckets seen a few
+#: times say nothing either way and documents outside the trusted set aren't held against for words of their own.
+SMOOTHING = 20.0
 #: A document stays if its mean log ratio per n-gram, in nats, is at least this.
-THRESHOLD = -0.2
+THRESHOLD = -0.15
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
@@ -65,15 +66,13 @@ def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def log_ratios(folded: DataFrame) -> np.ndarray:
-    """The weight of each bucket: log of its target share over its corpus share; 0 everywhere without trusted texts."""
+    """The weight of each bucket: log of its target count over what its corpus count lets expect, both smoothed; 0 everywhere without trusted texts."""
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in folded.collect():  # BUCKETS rows at most
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     if not target.sum():
         return np.zeros(BUCKETS)
-    prior = (raw + 1) / (raw + 1).sum()
-    share = (target + SMOOTHING * BUCKETS * prior) / (target.sum() + SMOOTHING * BUCKETS)
-    return np.log(share) - np.log(prior)
+    return np.log(target + SMOOTHING) - np.log(raw * (target.sum() / raw.sum()) + SMOOTHING)
 
 
 def repeated_words(h: np.ndarray, first: np.ndarray, k: int = 5) -> np.ndarray:
