@@ -7,7 +7,7 @@ their SQL twins where SQL can say the same.
 from importlib import import_module
 
 _MODULES = (
-    "mixing", "shards", "quality", "toxicity", "winnow", "secrets", "tokens", "warc",
+    "mixing", "shards", "quality", "toxicity", "winnow", "secrets", "tokens", "warc", "jaccard",
 )
 
 
