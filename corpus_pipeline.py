@@ -1,10 +1,25 @@
-"""From raw documents to training shards."""
+"""From raw documents to training shards: quality, near duplicates, contamination, mixture, shards."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import common, mixing, shards
+from tallyglass.llm import common, jaccard, mixing, quality, shards, winnow
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the likelihood ratio reject go."""
+    return quality.kept_documents(docs, common.table(spark, sf_dir, "labels"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays."""
+    return jaccard.one_per_component(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share too much with the benchmark go."""
+    return winnow.clean_documents(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +32,15 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shards.shard_documents(docs)
 
 
-STAGES = [("source_mixing", source_mixing), ("sharding", sharding)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("sharding", sharding),
+]
+
+#: The quality model and the connected components are iterative; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
