@@ -46,6 +46,11 @@ def fanout(spark: SparkSession) -> int:
     return max(256, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """The rows as one struct column `_row`, so that no column of theirs can clash; `select("_row.*")` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def source_key(col="source"):
     """Never null, so that it can be grouped and joined: null sources share one key, after all others."""
     c = F.col(col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import fanout, keep, running, source_key, table, unit
+from tallyglass.llm.common import fanout, keep, rows_of, running, source_key, table, unit
 
 NAME = "op2_mixing"
 SEED = 7
@@ -116,13 +116,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: each row as often as its copies, whole (the copy that crosses a target included);
     columns as before. Rows that share a doc_id are told apart by size."""
     plan = mix(docs, **options).filter("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
-    sized = docs.withColumn("_words", count_words())
-    sized = sized.withColumn("_i", F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy(F.lit(0))))
-    kept = sized.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    times = F.element_at("_copies", F.least(F.col("_i"), F.size("_copies")))
-    kept = kept.filter(F.col("_i") <= F.size("_copies")).withColumn("_e", F.explode(F.sequence(F.lit(1), times)))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = plan.groupBy("doc_id", "size").agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
+    own = rows_of(docs).withColumns({"_id": F.col("_row.doc_id"), "_words": count_words("_row.text")})
+    numbered = own.withColumn("_i", F.row_number().over(Window.partitionBy("_id", "_words").orderBy(F.lit(0))))
+    kept = numbered.join(plan, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_words") == F.col("size"))).filter(F.col("_i") <= F.size("_copies"))
+    times = F.element_at("_copies", F.col("_i"))
+    return kept.withColumn("_e", F.explode(F.sequence(F.lit(1), times))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

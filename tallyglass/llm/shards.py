@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import fanout, keep, running, source_key, table, unit
+from tallyglass.llm.common import fanout, keep, rows_of, running, source_key, table, unit
 
 NAME = "op6_shards"
 N_SHARDS = 16
@@ -61,11 +61,12 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED)
     """
     places = assign(docs, n_shards, seed).select("doc_id", F.struct("text_crc32", "shard", "slot").alias("_p"))
     places = places.groupBy("doc_id").agg(F.sort_array(F.collect_list("_p")).alias("_ps"))  # copies of one id
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    numbered = docs.drop("shard", "slot").withColumn("_i", F.row_number().over(Window.partitionBy("doc_id").orderBy(crc)))
-    joined = numbered.alias("d").join(places.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")))
+    crc = F.crc32(F.coalesce(F.col("_row.text"), F.lit("")).cast("binary"))
+    own = rows_of(docs.drop("shard", "slot")).withColumn("_id", F.col("_row.doc_id"))
+    numbered = own.withColumn("_i", F.row_number().over(Window.partitionBy("_id").orderBy(crc)))
+    joined = numbered.join(places, F.col("_id").eqNullSafe(F.col("doc_id")))
     place = F.element_at("_ps", F.col("_i"))
-    return joined.select("d.*", place["shard"].alias("shard"), place["slot"].alias("slot")).drop("_i")
+    return joined.select("_row.*", place["shard"].alias("shard"), place["slot"].alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.llm import words as W
-from tallyglass.llm.common import table
+from tallyglass.llm.common import rows_of, table
 
 NAME = "op5_winnow"
 #: Words of a window; a shorter item is one window.
@@ -185,9 +185,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents that aren't contaminated, whole and unchanged."""
-    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
     bad = decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return plain.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    return rows_of(docs).join(bad, F.col("_row.doc_id") == F.col("_bad"), "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
