@@ -14,9 +14,8 @@ SPAN_WORD = r"[\w'.&/-]+"
 QUOTED_SPAN = r"['\"‘’“”]([^'\"‘’“”]{2,60})['\"‘’“”]"
 
 # Numbers in prose and the scales of their units.
-NUMBER = (r"(?<![\w.])[-−]?\$?(\d{1,3}(?:,\d{3})+|\d+)(\.\d+)?\s*"
-          r"(%|percent|k|K|thousand|m|M|million|bn|B|billion)?(?![\w])")
-UNIT_POWERS = {"k": 3, "K": 3, "thousand": 3, "m": 6, "M": 6, "million": 6, "bn": 9, "B": 9, "billion": 9}
+NUMBER = r"(?<![\w.])[-−]?\$?(\d{1,3}(?:,\d{3})+|\d+)(\.\d+)?\s*(%|percent|k|K|thousand|m|M|million|bn|B|billion)?(?![\w])"
+UNIT_MULTIPLIERS = {"k": 1e3, "K": 1e3, "thousand": 1e3, "m": 1e6, "M": 1e6, "million": 1e6, "bn": 1e9, "B": 1e9, "billion": 1e9}
 
 # Column names that announce personal data; the first match wins.
 PII_NAME_PATTERNS = {
@@ -45,8 +44,7 @@ HIGH_RISK_KINDS = ("EMAIL", "PHONE", "SSN", "CARD", "IBAN", "IP")
 
 # Text that reads like an instruction to a model.
 INSTRUCTION_PATTERNS = (
-    r"\b(ignore|disregard|forget|override)\b.{0,40}\b(previous|prior|above|all|earlier|system|your)\b"
-    r".{0,20}\b(instruction|prompt|rule|message|direction)s?",
+    r"\b(ignore|disregard|forget|override)\b.{0,40}\b(previous|prior|above|all|earlier|system|your)\b.{0,20}\b(instruction|prompt|rule|message|direction)s?",
     r"\b(you are now|act as|pretend (to be|you are)|from now on,? you)\b",
     r"\b(system prompt|developer message|jailbreak|DAN mode)\b",
     r"\b(new|updated|real) instructions?\b",

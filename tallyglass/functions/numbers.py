@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyglass import fixed
+from tallyglass.functions.text import strip
 
 _PATTERN = "(?U)" + fixed.NUMBER
 _WHOLE = "(?U)^" + fixed.NUMBER + "$"
@@ -25,11 +26,10 @@ def number_parts(raw: Column) -> Column:
 def number_value(p: Column) -> Column:
     """struct<value, decimals, raw> from parts; k/M/bn scale the value, % does not."""
     unit, frac, raw = p["unit"], p["frac"], p["raw"]
-    scales = {3: 1e3, 6: 1e6, 9: 1e9}
-    power, scale = F.lit(0), F.lit(1.0)
-    for n, x in scales.items():
-        here = unit.isin(*[u for u, q in fixed.UNIT_POWERS.items() if q == n])
-        power, scale = F.when(here, n).otherwise(power), F.when(here, x).otherwise(scale)
+    scale = F.lit(1.0)
+    for x in sorted(set(fixed.UNIT_MULTIPLIERS.values())):
+        scale = F.when(unit.isin(*[u for u, q in fixed.UNIT_MULTIPLIERS.items() if q == x]), x).otherwise(scale)
+    power = F.round(F.log10(scale)).cast("int")
     value = F.concat(p["whole"], frac).cast("double") * scale
     value = F.when(raw.startswith("-") | raw.startswith("−"), -value).otherwise(value)
     decimals = F.greatest(F.greatest(F.length(frac) - 1, F.lit(0)) - power, F.lit(-12))
@@ -38,7 +38,7 @@ def number_value(p: Column) -> Column:
 
 def numbers(c: Column) -> Column:
     """array<struct<value, decimals, raw>>; each number is taken apart once."""
-    return F.transform(F.transform(raw_numbers(c), lambda m: number_parts(F.btrim(m))), number_value)
+    return F.transform(F.transform(raw_numbers(c), lambda m: number_parts(strip(m))), number_value)
 
 
 def plain_decimal(v: Column, places: int = 4) -> Column:
@@ -62,6 +62,19 @@ def canonical(c: Column, kind: str) -> Column:
     return c.cast("string")
 
 
+def raw(c: Column, kind: str) -> Column:
+    """One text per value such that equal values, and no others, have equal texts: 5, 5.0 and true's 1 are numbers, '5' is not."""
+    if kind in ("tinyint", "smallint", "int", "bigint", "boolean"):
+        return F.concat(F.lit("n"), c.cast("bigint").cast("string"))
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        v = c.cast("double")
+        whole = (v == F.floor(v)) & (F.abs(v) < 2.0**53)
+        return F.concat(F.lit("n"), F.when(whole, v.cast("bigint").cast("string")).otherwise(v.cast("string")))
+    if kind == "string":
+        return F.concat(F.lit("s"), c)
+    return F.concat(F.lit(kind), F.lit(":"), F.hex(c) if kind == "binary" else c.cast("string"))
+
+
 def literal(c: Column, limit: int = 40) -> Column:
     """A text value quoted for display; long ones are cut with an ellipsis."""
     cut = F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit - 1), F.lit("…"))).otherwise(c)

@@ -17,10 +17,10 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
 
 
 def shares(df: DataFrame, category: str, value: str, limit: int = 8) -> DataFrame:
-    """category, total, share; nothing when there are more than `limit` categories (no pie then)."""
+    """category, total, share, pie_ok: a pie is readable up to `limit` categories; the shares come either way."""
     g = df.groupBy(category).agg(F.sum(value).alias("total"))
     t = g.agg(F.sum("total").alias("_t"), F.count("*").alias("_n"))
-    return g.crossJoin(t).where(F.col("_n") <= limit).select(category, "total", F.try_divide("total", "_t").alias("share"))
+    return g.crossJoin(t).select(category, "total", F.try_divide("total", "_t").alias("share"), (F.col("_n") <= limit).alias("pie_ok"))
 
 
 def scale_spread(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Adds features: z-scores by the population deviation; constants stay at zero. Rows with a NULL are dropped."""
-    d = df.dropna(subset=cols)
-    one = d.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    d = d.crossJoin(one)
-    for c in cols:
-        d = d.withColumn(f"_z_{c}", (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0))
+def scale(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation of each column over the rows without a NULL: one row, two numbers per column."""
+    one = df.dropna(subset=cols).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    return {c: (one[f"m{i}"] or 0.0, one[f"s{i}"] or 1.0) for i, c in enumerate(cols)}
+
+
+def standardize(df: DataFrame, cols: list[str], scales: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Adds features: z-scores by the given scales, or the frame's own; constants stay at zero. Rows with a NULL are dropped."""
+    scales = scales or scale(df, cols)
+    d = df.dropna(subset=cols).withColumns({f"_z_{c}": (F.col(c) - scales[c][0]) / scales[c][1] for c in cols})
     v = VectorAssembler(inputCols=[f"_z_{c}" for c in cols], outputCol="features").transform(d)
     return v.select(*df.columns, "features")
 

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from tallyglass.functions import numbers
 
 
-def canonical(df: DataFrame) -> DataFrame:
-    """Columns c0..cn as text in one spelling per value; NULL stays NULL."""
-    return df.select(*[numbers.canonical(F.col(f"`{f.name}`"), f.dataType.simpleString()).alias(f"c{i}")
-                       for i, f in enumerate(df.schema.fields)])
+def spelled(df: DataFrame, lenient: bool = False) -> DataFrame:
+    """Columns c0..cn as text; NULL stays NULL.
+
+    Equal values have equal texts. With `lenient`, so have values that read alike: numeric text and numbers, to four places.
+    """
+    spell = numbers.canonical if lenient else numbers.raw
+    return df.select(*[spell(F.col(f"`{f.name}`"), f.dataType.simpleString()).alias(f"c{i}") for i, f in enumerate(df.schema.fields)])
 
 
 def _signatures(df: DataFrame) -> tuple[int, list[tuple]]:
@@ -41,14 +44,15 @@ def same_rows(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return diff.agg((F.count("*") == 0).alias("match"))
 
 
-def results_equal(gold: DataFrame, pred: DataFrame, position: str | None = None, extra_columns: bool = False) -> DataFrame:
+def results_equal(gold: DataFrame, pred: DataFrame, position: str | None = None, extra_columns: bool = False, lenient: bool = False) -> DataFrame:
     """One row `match`: equal up to the order of columns (and, with extra_columns, a choice of them).
 
-    With `position` both frames carry the row number under that name and order counts.
+    Values are compared as they are, or with `lenient` by what they read as. With `position` both frames carry the row
+    number under that name and order counts.
     """
     spark = gold.sparkSession
-    g = canonical(gold.drop(position) if position else gold)
-    p = canonical(pred.drop(position) if position else pred)
+    g = spelled(gold.drop(position) if position else gold, lenient)
+    p = spelled(pred.drop(position) if position else pred, lenient)
     ng, gs = _signatures(g)
     np_, ps = _signatures(p)
     if ng == 0 and np_ == 0:
@@ -59,11 +63,8 @@ def results_equal(gold: DataFrame, pred: DataFrame, position: str | None = None,
     for perm in pairings(gs, ps):
         names = [f"c{i}" for i in range(len(perm))]
         if position:
-            a = gold.select(F.col(position).alias("_p"), *[numbers.canonical(F.col(f"`{f.name}`"), f.dataType.simpleString()).alias(f"c{i}")
-                                                           for i, f in enumerate(x for x in gold.schema.fields if x.name != position)])
-            fields = [x for x in pred.schema.fields if x.name != position]
-            b = pred.select(F.col(position).alias("_p"), *[numbers.canonical(F.col(f"`{fields[j].name}`"), fields[j].dataType.simpleString()).alias(f"c{i}")
-                                                           for i, j in enumerate(perm)])
+            a = _placed(gold, position, lenient)
+            b = _placed(pred, position, lenient).select("_p", *[F.col(f"c{j}").alias(n) for n, j in zip(names, perm)])
             one = same_rows(a, b)
         else:
             one = same_rows(g, p.select(*[F.col(f"c{j}").alias(n) for n, j in zip(names, perm)]))
@@ -71,11 +72,17 @@ def results_equal(gold: DataFrame, pred: DataFrame, position: str | None = None,
     return _verdict(spark, False) if out is None else out.agg(F.bool_or("match").alias("match"))
 
 
+def _placed(df: DataFrame, position: str, lenient: bool) -> DataFrame:
+    fields = [f for f in df.schema.fields if f.name != position]
+    spell = numbers.canonical if lenient else numbers.raw
+    return df.select(F.col(position).alias("_p"), *[spell(F.col(f"`{f.name}`"), f.dataType.simpleString()).alias(f"c{i}") for i, f in enumerate(fields)])
+
+
 def set_equal(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """One row `match`: the same set of rows, copies ignored."""
     if len(gold.columns) != len(pred.columns):
         return _verdict(gold.sparkSession, False)
-    both = canonical(gold).withColumn("_g", F.lit(1)).unionByName(canonical(pred).withColumn("_g", F.lit(0)))
+    both = spelled(gold).withColumn("_g", F.lit(1)).unionByName(spelled(pred).withColumn("_g", F.lit(0)))
     cols = [c for c in both.columns if c != "_g"]
     lone = both.groupBy(*cols).agg(F.min("_g").alias("a"), F.max("_g").alias("b")).where("a = b")
     return lone.agg((F.count("*") == 0).alias("match"))

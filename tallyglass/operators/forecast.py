@@ -77,13 +77,16 @@ def _fold(y, m, a, b, g, keep_fit: bool):
 
 
 def holt_winters(series: DataFrame, key: str, periods: int = 12, grid=GRID) -> DataFrame:
-    """key, freq, step, period, forecast, lower, upper, mape, rmse.
+    """key, freq, step, period, forecast, lower, upper, mape, rmse, status.
+
+    A series of fewer than four points has one row with status 'too short' and no forecast.
 
     The arrays are calendar-bounded. Every parameter set is a row, so the search
     runs in parallel; the smallest squared error wins.
     """
     item = F.struct("period", "value")
-    s = series.groupBy(key, "freq").agg(F.array_sort(F.collect_list(item)).alias("_a")).where("size(_a) >= 4")
+    every = series.groupBy(key, "freq").agg(F.array_sort(F.collect_list(item)).alias("_a"))
+    s = every.where("size(_a) >= 4")
     s = s.withColumn("_y", F.transform("_a", lambda x: x["value"])).withColumn("_last", F.element_at("_a", -1)["period"])
     season = F.lit(1)
     for k, m in SEASONS.items():
@@ -109,5 +112,7 @@ def holt_winters(series: DataFrame, key: str, periods: int = 12, grid=GRID) -> D
     y = F.col("_f.l") + F.col("step") * F.col("_f.t") + F.get(F.col("_f.s"), F.pmod(F.col("step") - 1, F.size(F.col("_f.s"))))
     when = (F.when(F.col("freq") == "D", F.date_add("_last", F.col("step"))).when(F.col("freq") == "W", F.date_add("_last", F.col("step") * 7))
             .when(F.col("freq") == "MS", F.add_months("_last", F.col("step"))).otherwise(F.add_months("_last", F.col("step") * 12)))
-    return h.select(key, "freq", "step", when.alias("period"), y.alias("forecast"), (y - 1.96 * F.col("_sd")).alias("lower"),
-                    (y + 1.96 * F.col("_sd")).alias("upper"), "mape", "rmse")
+    out = h.select(key, "freq", "step", when.alias("period"), y.alias("forecast"), (y - 1.96 * F.col("_sd")).alias("lower"),
+                   (y + 1.96 * F.col("_sd")).alias("upper"), "mape", "rmse", F.lit("ok").alias("status"))
+    short = every.where("size(_a) < 4").select(key, "freq", F.lit("too short").alias("status"))
+    return out.unionByName(short, allowMissingColumns=True)

@@ -243,10 +243,8 @@ def schema_card(cat: DataFrame, max_samples: int = 3) -> DataFrame:
     return g.select("table", F.concat_ws("\n", header, F.array_join(F.transform("_l", lambda x: x["_line"]), "\n")).alias("card"))
 
 
-def basic_info(df: DataFrame, name: str) -> DataFrame:
-    """Rows, columns, types and stored bytes of one table."""
-    files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("b")).groupBy("p", "b").agg(
-        F.count("*").alias("n"))
+def basic_info(df: DataFrame, name: str, listed: DataFrame) -> DataFrame:
+    """Rows, columns, types and stored bytes of one table; `listed` has a row per file with its length."""
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return files.agg(F.sum("n").alias("rows"), F.sum("b").alias("bytes")).select(
-        F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"), "bytes", F.lit(types).alias("types"))
+    one = df.agg(F.count("*").alias("rows")).crossJoin(listed.agg(F.sum("length").alias("bytes")))  # one row each
+    return one.select(F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"), "bytes", F.lit(types).alias("types"))

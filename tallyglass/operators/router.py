@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from dataclasses import dataclass
+
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.operators.cluster import standardize
+from tallyglass.operators.cluster import scale, standardize
+
+
+@dataclass(frozen=True)
+class Router:
+    model: LogisticRegressionModel
+    features: list[str]
+    scales: dict[str, tuple[float, float]]
 
 
-def fit(df: DataFrame, features: list[str], failed: str):
-    """Balanced, ridge-penalised logistic regression on z-scores; returns (model, standardised frame)."""
-    z = standardize(df, features).withColumn("label", F.col(failed).cast("double"))
-    n = z.groupBy("label").agg(F.count("*").alias("_c"))
-    total = n.agg(F.sum("_c").alias("_n"))
-    weight = n.crossJoin(total).select("label", (F.col("_n") / (2 * F.col("_c"))).alias("weight"))
-    z = z.join(weight, "label")
-    size = df.count()
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1.0 / size, elasticNetParam=0.0,
+def fit(df: DataFrame, features: list[str], failed: str) -> Router:
+    """Balanced, ridge-penalised logistic regression on z-scores; the router keeps the scales it was fitted with."""
+    scales = scale(df, features)
+    z = standardize(df, features, scales).withColumn("label", F.col(failed).cast("double"))
+    n = {r["label"]: r["n"] for r in z.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    total = sum(n.values())
+    weight = F.lit(0.0)
+    for label, k in n.items():
+        weight = F.when(F.col("label") == label, total / (2 * k)).otherwise(weight)
+    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1.0 / total, elasticNetParam=0.0,
                             standardization=False, maxIter=200)
-    return lr.fit(z)
+    return Router(lr.fit(z.withColumn("weight", weight)), features, scales)
 
 
-def p_fail(model, df: DataFrame, features: list[str]) -> DataFrame:
-    z = standardize(df, features)
-    return model.transform(z).withColumn("p_fail", vector_to_array("probability")[1]).select(*df.columns, "p_fail")
+def p_fail(router: Router, df: DataFrame) -> DataFrame:
+    """Adds p_fail; a row's value depends on that row and the router alone."""
+    z = standardize(df, router.features, router.scales)
+    return router.model.transform(z).withColumn("p_fail", vector_to_array("probability")[1]).select(*df.columns, "p_fail")
 
 
 def replay(scored: DataFrame, keys: list[str] = ()) -> DataFrame:

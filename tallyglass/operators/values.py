@@ -9,19 +9,14 @@ from tallyglass.functions import text as tx
 from tallyglass.operators.present import text_columns
 from tallyglass.operators.profile import union
 
-MAX_VALUES_PER_COLUMN = 5000
-MAX_VALUE_LENGTH = 60
 MIN_SCORE = 0.75
 
 
-def value_index(frames: dict[str, DataFrame], max_values: int = MAX_VALUES_PER_COLUMN) -> DataFrame:
-    """table, column, value: distinct filter-like text values; columns with more are identifiers or prose."""
+def value_index(frames: dict[str, DataFrame]) -> DataFrame:
+    """table, column, value: every distinct text value of two characters or more."""
     cells = union([d.select(*text_columns(d)).unpivot([], text_columns(d), "column", "value").select(F.lit(t).alias("table"), "column", "value")
                    for t, d in frames.items() if text_columns(d)])
-    distinct = cells.where("value IS NOT NULL").distinct()
-    few = distinct.groupBy("table", "column").agg(F.count("*").alias("n")).where(F.col("n") <= max_values)
-    short = distinct.where((F.length("value") > 1) & (F.length("value") <= MAX_VALUE_LENGTH))
-    return short.join(few.select("table", "column"), ["table", "column"], "left_semi")
+    return cells.where("value IS NOT NULL AND length(value) > 1").distinct()
 
 
 def prefix(grams, score: float):
@@ -33,12 +28,20 @@ def prefix(grams, score: float):
 def similar(left: DataFrame, right: DataFrame, score: float = MIN_SCORE) -> DataFrame:
     """l, r, score of every pair with trigram Jaccard >= score, from distinct texts (l) and (r).
 
-    Grams are ordered by a hash, so the shared prefix test never depends on how
-    common a gram is; candidates are verified on the whole sets.
+    Grams are ordered by how many texts of both sides have them, rarest first, so common grams stay out of the
+    prefixes; candidates are verified on the whole sets.
     """
-    order = lambda g: F.transform(F.array_sort(F.transform(g, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("g")))), lambda s: s["g"])
-    a = left.select("l", order(tx.trigrams(F.col("l"))).alias("ga")).withColumn("gram", F.explode(prefix(F.col("ga"), score)))
-    b = right.select("r", order(tx.trigrams(F.col("r"))).alias("gb")).withColumn("gram", F.explode(prefix(F.col("gb"), score)))
+    a = left.select("l", F.array_distinct(tx.trigrams(F.col("l"))).alias("ga"))
+    b = right.select("r", F.array_distinct(tx.trigrams(F.col("r"))).alias("gb"))
+    each = a.select(F.explode("ga").alias("gram")).unionAll(b.select(F.explode("gb").alias("gram")))
+    count = each.groupBy("gram").agg(F.count("*").alias("_n"))
+
+    def ordered(d, key, grams):
+        cells = d.select(key, F.explode(grams).alias("gram")).join(count, "gram")
+        s = F.array_sort(F.collect_list(F.struct("_n", "gram")))  # the grams of one text
+        return cells.groupBy(key).agg(F.transform(s, lambda x: x["gram"]).alias(grams)).withColumn("gram", F.explode(prefix(F.col(grams), score)))
+
+    a, b = ordered(a, "l", "ga"), ordered(b, "r", "gb")
     sizes = (F.size("gb") >= F.size("ga") * score) & (F.size("ga") >= F.size("gb") * score)
     pair = a.join(b, "gram").where(sizes).dropDuplicates(["l", "r"])
     both = F.size(F.array_intersect("ga", "gb"))

@@ -15,10 +15,11 @@ def _(t):
 
 
 @query("viz_2_shares", """
-SELECT o_orderpriority, round(sum(o_totalprice), 4) AS total, round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 6) AS share FROM orders GROUP BY 1""")
+SELECT o_orderpriority, round(sum(o_totalprice), 4) AS total, round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 6) AS share,
+ (SELECT count(DISTINCT o_orderpriority) FROM orders) <= 8 AS pie_ok FROM orders GROUP BY 1""")
 def _(t):
     s = charts.shares(t.orders, "o_orderpriority", "o_totalprice")
-    return s.select("o_orderpriority", money("total").alias("total"), ratio("share").alias("share"))
+    return s.select("o_orderpriority", money("total").alias("total"), ratio("share").alias("share"), "pie_ok")
 
 
 @query("viz_3_scale_spread", "SELECT round(max(l_extendedprice) / max(l_discount), 6) AS spread, max(l_extendedprice) / max(l_discount) > 10 AS separate_panels FROM lineitem")

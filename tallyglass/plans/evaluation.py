@@ -17,18 +17,38 @@ def _cases(**frames):
     return union([f.select(F.lit(n).alias("test"), "match") for n, f in frames.items()])
 
 
-_ANY = "WHERE (SELECT count(*) FROM orders) > 0"
+_YEARLY = """g AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2),
+top AS (SELECT year, round(sum(total), 2) AS total FROM g GROUP BY 1)"""
 
 
-@query("ev_1_multiset_equality", f"""SELECT * FROM (VALUES ('permuted', true), ('copied_row', false), ('changed', false), ('both_empty', true),
- ('ordered', true), ('reordered', false)) AS r(test, match) {_ANY}""")
+def _same(test, gold, pred, every="ALL"):
+    """The rows of two selections, columns already paired, that either lacks: none if they match."""
+    return f"""SELECT '{test}' AS test, NOT EXISTS (({gold} EXCEPT {every} {pred}) UNION ALL ({pred} EXCEPT {every} {gold})) AS match"""
+
+
+_G = "SELECT o_custkey, year, total FROM g"
+_T = "SELECT row_number() OVER (ORDER BY year) AS pos, year, total FROM top"
+
+
+@query("ev_1_multiset_equality", "WITH " + _YEARLY + " UNION ALL ".join([
+    " " + _same("permuted", _G, "SELECT k, year, total FROM (SELECT total, o_custkey AS k, year FROM g)"),
+    # text never equals a number, so both sides say which they are
+    _same("text_for_number", "SELECT 'n' || o_custkey, year, total FROM g", "SELECT 's' || o_custkey, year, total FROM g"),
+    _same("fifth_decimal", _G, "SELECT o_custkey, year, total + 0.00001 FROM g"),
+    _same("copied_row", _G, f"SELECT * FROM ({_G} UNION ALL (SELECT o_custkey, year, total FROM g ORDER BY o_custkey, year LIMIT 1))"),
+    _same("changed", _G, "SELECT o_custkey, year, CASE WHEN year = 1997 THEN total + 1 ELSE total END FROM g"),
+    _same("both_empty", _G + " WHERE total < 0", _G + " WHERE total < 0"),
+    _same("ordered", _T, "SELECT row_number() OVER (ORDER BY year), year, total FROM (SELECT total, year FROM top)"),
+    _same("reordered", _T, "SELECT row_number() OVER (ORDER BY year DESC), year, total FROM top")]))
 def _(t):
     g = yearly(t)
     top = g.groupBy("year").agg(F.round(F.sum("total"), 2).alias("total"))
     w = Window.orderBy("year")  # one row per year
     num = lambda d, o: d.withColumn("pos", F.row_number().over(o))
     return _cases(
-        permuted=compare.results_equal(g, g.select("total", F.col("o_custkey").cast("string").alias("k"), "year")),
+        permuted=compare.results_equal(g, g.select("total", F.col("o_custkey").alias("k"), "year")),
+        text_for_number=compare.results_equal(g, g.withColumn("o_custkey", F.col("o_custkey").cast("string"))),
+        fifth_decimal=compare.results_equal(g, g.withColumn("total", F.col("total") + 0.00001)),
         copied_row=compare.results_equal(g, g.unionAll(g.orderBy("o_custkey", "year").limit(1))),
         changed=compare.results_equal(g, g.withColumn("total", F.when(F.col("year") == 1997, F.col("total") + 1).otherwise(F.col("total")))),
         both_empty=compare.results_equal(g.where("total < 0"), g.where("total < 0")),
@@ -36,18 +56,27 @@ def _(t):
         reordered=compare.results_equal(num(top, w), num(top, Window.orderBy(F.desc("year"))), position="pos"))
 
 
-@query("ev_2_set_equality", f"SELECT * FROM (VALUES ('copies', true), ('missing', false)) AS r(test, match) {_ANY}")
+@query("ev_2_set_equality", "WITH " + _YEARLY + " UNION ALL ".join([
+    " " + _same("copies", _G, f"SELECT * FROM ({_G} UNION ALL {_G})", ""),
+    _same("missing", _G, _G + " WHERE year <> 1998", ""),
+    _same("text_for_number", "SELECT 'n' || o_custkey, year, total FROM g", "SELECT 's' || o_custkey, year, total FROM g", "")]))
 def _(t):
     g = yearly(t)
-    return _cases(copies=compare.set_equal(g, g.unionAll(g)), missing=compare.set_equal(g, g.where("year <> 1998")))
+    return _cases(copies=compare.set_equal(g, g.unionAll(g)), missing=compare.set_equal(g, g.where("year <> 1998")),
+                  text_for_number=compare.set_equal(g, g.withColumn("o_custkey", F.col("o_custkey").cast("string"))))
 
 
-@query("ev_3_extra_columns", f"SELECT * FROM (VALUES ('extra', true), ('too_few', false)) AS r(test, match) {_ANY}")
+@query("ev_3_extra_columns", "WITH " + _YEARLY + ", more AS (SELECT year, 'x' AS note, total, total * 2 AS twice, CAST(o_custkey AS VARCHAR) AS k FROM g)" + " UNION ALL ".join([
+    " " + _same("extra", "SELECT CAST(o_custkey AS VARCHAR), year, total FROM g", "SELECT k, year, total FROM more"),
+    # a side with fewer columns than the gold one never matches
+    "SELECT 'too_few' AS test, count(*) >= 3 AS match FROM (SELECT unnest(['year', 'total']) AS c)",
+    _same("wrong_values", "SELECT CAST(o_custkey AS VARCHAR), year, total FROM g", "SELECT k, year, twice FROM more")]))
 def _(t):
     g = yearly(t)
-    more = g.select("year", F.lit("x").alias("note"), "total", (F.col("total") * 2).alias("twice"), "o_custkey")
-    return _cases(extra=compare.results_equal(g, more, extra_columns=True),
-                  too_few=compare.results_equal(g, g.select("year", "total"), extra_columns=True))
+    more = g.select("year", F.lit("x").alias("note"), "total", (F.col("total") * 2).alias("twice"), F.col("o_custkey").cast("string").alias("k"))
+    return _cases(extra=compare.results_equal(g, more, extra_columns=True, lenient=True),
+                  too_few=compare.results_equal(g, g.select("year", "total"), extra_columns=True, lenient=True),
+                  wrong_values=compare.results_equal(g, more.drop("total"), extra_columns=True, lenient=True))
 
 
 def _sample_sql(src, size, at_least=0):

@@ -33,7 +33,7 @@ def _(t):
     r = forecast.regularize(t.events, "event_type", "ts", "value")
     f = forecast.holt_winters(r, "event_type")
     return f.select("event_type", "freq", "step", F.date_format("period", "yyyy-MM-dd").alias("period"),
-                    *[money(c).alias(c) for c in ("forecast", "lower", "upper")], "mape", "rmse")
+                    *[money(c).alias(c) for c in ("forecast", "lower", "upper")], "mape", "rmse", "status")
 
 
 @query("ml_4_kmeans_elbow")
@@ -67,7 +67,7 @@ _FEATURES = ["hard", "log_len", "noise"]
 def scored(t):
     r = routed(t).withColumn("failed", ~F.col("cheap_ok"))
     model = router.fit(r.where("half = 0"), _FEATURES, "failed")
-    return router.p_fail(model, r.where("half = 1"), _FEATURES)
+    return router.p_fail(model, r.where("half = 1"))
 
 
 @query("ml_6_router_fit")

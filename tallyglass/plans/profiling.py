@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tallyglass.operators import eda, profile, quality, stats
 from tallyglass.plans.common import ratio
 from tallyglass.plans.registry import query
-from tallyglass.tables import FOREIGN_KEYS, PRIMARY_KEYS
+from tallyglass.sources import files
+from tallyglass.tables import FOREIGN_KEYS, PRIMARY_KEYS, TABLE_NAMES
 
 SMALL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels")
 
@@ -47,7 +48,7 @@ def _(t):
 
 @query("prf_1_column_profile_sketched")
 def _(t):
-    return _shown(profile.profile(t.wide("lineitem"), exact=False))
+    return _shown(profile.profile(t.lineitem, exact=False))
 
 
 _WITH_DATES = """WITH d AS (SELECT doc_id, text, lang, source, n_chars, '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS day,
@@ -159,7 +160,7 @@ def _(t):
 
 @query("prf_10_basic_info")
 def _(t):
-    return profile.union([profile.basic_info(getattr(t, n), n) for n in SMALL])
+    return profile.union([profile.basic_info(getattr(t, n), n, files.listing(t.spark, t.file(n))) for n in TABLE_NAMES])
 
 
 @query("qa_1_result_validation", """
@@ -173,7 +174,7 @@ SELECT result, CAST(rows AS BIGINT) AS rows, CAST(duplicates AS BIGINT) AS dupli
  CAST(CASE WHEN rows = 0 THEN 20 ELSE 90 - CASE WHEN rows > 500 THEN 5 ELSE 0 END - CASE WHEN duplicates > 0 THEN 5 ELSE 0 END - 5 * extra END AS INTEGER) AS confidence,
  CASE WHEN rows = 0 THEN 'rejected' ELSE 'validated' END AS status FROM r""")
 def _(t):
-    r = [quality.validate_result(t.wide("lineitem"), "lineitem"), quality.validate_result(t.labels.select("quality", "toxic"), "labels_only"),
+    r = [quality.validate_result(t.lineitem, "lineitem"), quality.validate_result(t.labels.select("quality", "toxic"), "labels_only"),
          quality.validate_result(t.orders.where("o_totalprice < 0"), "empty")]
     return profile.union([x.select("result", "rows", "duplicates", "confidence", "status") for x in r])
 
@@ -244,7 +245,7 @@ def _(t):
 
 @query("eda_1_report")
 def _(t):
-    return eda.report(t.wide("lineitem"))
+    return eda.report(t.lineitem)
 
 
 @query("eda_2_pairwise_correlation", " UNION ALL ".join(

@@ -36,7 +36,7 @@ def _(t):
 
 @query("src_4_file_listing")
 def _(t):
-    return union([files.file_tables(d) for d in (t.orders, t.lineitem, t.events)])
+    return union([files.file_tables(t.spark, t.file(n)) for n in ("orders", "lineitem", "events")])
 
 
 @query("src_5_existing_tables", "SELECT 'shop_' || n AS name, c AS rows FROM (SELECT 'orders' AS n, count(*) AS c FROM orders UNION ALL SELECT 'part', count(*) FROM part)")
@@ -47,8 +47,8 @@ def _(t):
     return seen.join(n, "name")
 
 
-def lake(t):
-    """The events as a partitioned, clustered copy; one copy per session and source."""
+def lake_paths(t):
+    """The events as a partitioned, clustered copy and a flat one; one of each per session and source."""
     cache = t.spark.__dict__.setdefault("_tallyglass_lake", {})
     if t.path not in cache:
         path = sinks.scratch(t.spark, "events-by-date")
@@ -56,8 +56,11 @@ def lake(t):
         flat = sinks.scratch(t.spark, "events-flat")
         t.events.withColumn("event_date", F.to_date("ts")).write.parquet(flat)
         cache[t.path] = (path, flat)
-    a, b = cache[t.path]
-    return t.spark.read.parquet(a), t.spark.read.parquet(b)
+    return cache[t.path]
+
+
+def lake(t):
+    return tuple(t.spark.read.parquet(p) for p in lake_paths(t))
 
 
 @query("src_6_warehouse_scan", """SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events
@@ -77,16 +80,6 @@ def _(t):
     return files.read_json_log(t.spark, path, t.events.select("event_id", "user_id", "event_type", "value").schema)
 
 
-@query("src_8_head_sample", "SELECT least(count(*), 2000) AS rows FROM lineitem")
-def _(t):
-    return files.head(t.lineitem, 2000).agg(F.count("*").alias("rows"))
-
-
-@query("src_9_ingest_cap", "SELECT least(count(*), 500000) AS rows FROM lineitem")
-def _(t):
-    return files.head(t.lineitem, 500_000).agg(F.count("*").alias("rows"))
-
-
 @query("src_11_partitioned_copy", "SELECT strftime(ts, '%Y-%m-%d') AS event_date, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events GROUP BY 1")
 def _(t):
     d, _flat = lake(t)
@@ -101,13 +94,13 @@ def _(t):
 
 
 def estimates(t):
-    d, flat = lake(t)
+    d, flat = lake_paths(t)
     week, everything = F.col("event_date").between("2024-01-08", "2024-01-14"), F.col("event_date").isNotNull()
     out = []
     for tag, p in (("date range", week), ("whole period", everything)):
         for name, frame in (("partitioned", d), ("flat", flat)):
             # A flat copy cannot skip files by date: what it reads does not depend on the predicate.
-            e = layout.scan_estimate(frame, p if name == "partitioned" else F.lit(True), confirm_bytes=200_000, max_bytes=50_000_000_000)
+            e = layout.scan_estimate(t.spark, frame, p if name == "partitioned" else F.lit(True), confirm_bytes=200_000, max_bytes=50_000_000_000)
             out.append(e.select(F.lit(tag).alias("tag"), F.lit(name).alias("layout"), "*"))
     return union(out)
 

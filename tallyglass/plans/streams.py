@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tallyglass.operators import limits
 from tallyglass.operators.profile import union
 from tallyglass.plans.common import ratio
 from tallyglass.plans.logs import feedback, live_runs
@@ -37,18 +36,6 @@ def _(t):
     return d.select(F.col("u").alias("event_id"), "used")
 
 
-@query("str_3_token_bucket_batch")
-def _(t):
-    return limits.token_bucket(t.events, "user_id", "ts", "event_id", per_minute=0.005, burst=3)
-
-
-@query("str_3_token_bucket_stream")
-def _(t):
-    s = stream(t, t.events.select("ts", "event_id", "user_id"), "requests")
-    d, _q = jobs.run(jobs.stateful(s, "user_id", "event_id", F.unix_micros("ts"), jobs.TokenBucket(0.005, 3), "allowed boolean"), "bucket")
-    return d.select(F.col("u").alias("event_id"), F.col("k").alias("user_id"), "allowed")
-
-
 @query("str_4_run_assembly", """
 WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS start FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(start) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),

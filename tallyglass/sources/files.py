@@ -38,9 +38,14 @@ def register(frames: dict[str, DataFrame]) -> str:
     return next(iter(frames))
 
 
-def file_tables(df: DataFrame) -> DataFrame:
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """path, length: one row per file of a table; names and sizes only, no content is read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+
+
+def file_tables(spark: SparkSession, path: str) -> DataFrame:
     """file_name, table: the table name each data file stands for."""
-    f = df.select(F.col("_metadata.file_name").alias("file_name")).distinct()
+    f = listing(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
     return f.select("file_name", table_name(F.regexp_replace("file_name", r"\.[^.]*$", "")).alias("table"))
 
 
@@ -60,11 +65,6 @@ def user_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "name string, is_temporary boolean")
 
 
-def head(df: DataFrame, n: int = 50_000) -> DataFrame:
-    """The first rows, where a quick look is wanted; profiles read whole tables."""
-    return df.limit(n)
-
-
 def flatten_types(df: DataFrame) -> DataFrame:
     """Dates to timestamps, decimals to doubles, times of day and intervals to text."""
     out = []

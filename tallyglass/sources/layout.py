@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.functions import numbers
@@ -30,13 +30,13 @@ def clean_dimension(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*cols).distinct()
 
 
-def scan_estimate(df: DataFrame, predicate: Column, confirm_bytes: int | None = None, max_bytes: int | None = None) -> DataFrame:
+def scan_estimate(spark: SparkSession, path: str, predicate: Column, confirm_bytes: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """bytes, files, usd, text, verdict of reading the files that survive pruning by `predicate`.
 
-    Only partition columns and file metadata are read. The predicate must be on partition columns.
+    One row per file: names and sizes only, no content. The predicate must be on partition columns.
     """
-    f = df.where(predicate).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("b"))
-    one = f.groupBy("p").agg(F.max("b").alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    one = listed.where(predicate).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
     v = F.lit("run")
     if confirm_bytes is not None:
         v = F.when(F.col("bytes") > confirm_bytes, "confirm").otherwise(v)

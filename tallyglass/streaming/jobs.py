@@ -83,26 +83,6 @@ class RollingCount(_PerKey):
         yield pd.DataFrame({"k": key[0], "u": d["u"].to_numpy(), "used": used})
 
 
-class TokenBucket(_PerKey):
-    def __init__(self, per_minute: float = 20.0, burst: int = 10):
-        self.rate, self.burst = per_minute / 60.0, float(burst)
-
-    def open(self):
-        self.bucket = self.handle.getValueState("bucket", T.StructType([T.StructField("tokens", T.DoubleType()), T.StructField("t", T.LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues):
-        d = self.ordered(rows)
-        tokens, last = self.bucket.get() if self.bucket.exists() else (self.burst, int(d["t"].iloc[0]))
-        allowed = []
-        for t in d["t"].to_numpy():
-            tokens, last = min(self.burst, tokens + (int(t) - last) / 1e6 * self.rate), int(t)
-            ok = tokens >= 1
-            tokens -= 1.0 if ok else 0.0
-            allowed.append(bool(ok))
-        self.bucket.update((float(tokens), last))
-        yield pd.DataFrame({"k": key[0], "u": d["u"].to_numpy(), "allowed": allowed})
-
-
 class Memory(_PerKey):
     """The last k turns of a conversation before each turn."""
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.functions import tails
-from tallyglass.operators import (anomaly, charts, claims, cluster, compare, evaluate, forecast, history, limits, logs, metrics, paired, pareto,
+from tallyglass.operators import (anomaly, charts, claims, cluster, compare, evaluate, forecast, history, logs, metrics, paired, pareto, router,
                                   privacy, profile, quality, retrieval, sampling, stats, summary, ties, values)
 from tallyglass.session import cut
 
@@ -89,20 +89,6 @@ def test_last_turns_over_slices(spark):
     assert got == {x: [f"t{y}" for y in turns[max(0, i - 3):i]] for i, x in enumerate(turns)}
 
 
-def test_token_bucket_against_a_plain_replay(spark):
-    rng = random.Random(1)
-    rows = sorted({(rng.choice("ab"), rng.randrange(0, 6 * 3600) * 1_000_000) for _ in range(600)})
-    d = spark.createDataFrame([(i, k, x) for i, (k, x) in enumerate(rows)], "u int, k string, us long").withColumn("ts", F.timestamp_micros("us")).repartition(7)
-    got = {r["u"]: r["allowed"] for r in limits.token_bucket(d, "k", "ts", "u", per_minute=0.5, burst=4).collect()}
-    want, state = {}, {}
-    for i, (k, x) in enumerate(rows):
-        tokens, last = state.get(k, (4.0, x))
-        tokens = min(4.0, tokens + (x - last) / 1e6 * 0.5 / 60)
-        want[i] = tokens >= 1
-        state[k] = (tokens - 1 if tokens >= 1 else tokens, x)
-    assert got == want and not all(got.values())
-
-
 def test_frontier(spark):
     rng = random.Random(2)
     pts = [("s", i, rng.randrange(50), rng.randrange(50)) for i in range(300)]
@@ -226,7 +212,10 @@ def test_compare(spark):
     same = lambda a, b, **k: compare.results_equal(a, b, **k).first()["match"]
     assert same(g, g.select("z", "x", "y")) and not same(g, g.distinct()) and compare.set_equal(g, g.distinct()).first()["match"]
     assert same(g, g.withColumn("w", F.lit(9)), extra_columns=True) and not same(g, g.withColumn("w", F.lit(9)))
-    assert same(g, g.select(F.col("x").cast("double"), "y", F.col("z").cast("string")))
+    assert same(g, g.select(F.col("x").cast("double"), "y", "z")) and not same(g, g.select("x", "y", F.col("z").cast("string")))
+    assert same(g, g.select(F.col("x").cast("double"), "y", F.col("z").cast("string")), lenient=True)
+    near = g.withColumn("z", F.col("z") + 0.00001)
+    assert not same(g, near) and same(g, near, lenient=True) and not compare.set_equal(g, near).first()["match"]
 
 
 def test_samples(spark):
@@ -285,7 +274,7 @@ def test_clusters_and_anomalies(spark):
 def test_charts_and_metrics(spark, t):
     m = spark.createDataFrame([(70000.0, 50.0), (1.0, 2.0)], "sales double, profit double")
     assert charts.scale_spread(m, ["sales", "profit"]).first()["separate_panels"]
-    broken = metrics.MetricLayer((metrics.Metric("bad", "x", "sum(nothing)"),), {"lineitem.nope": "?"})
+    broken = metrics.MetricLayer((metrics.Metric("bad", "sum(nothing)", "x"),), {"lineitem.nope": "?"})
     assert len(broken.validate(t.lineitem)) == 2 and metrics.SALES.validate(t.lineitem.crossJoin(t.orders.limit(1)).crossJoin(t.customer.limit(1))) == []
 
 
@@ -300,3 +289,29 @@ def test_scores_of_a_failed_case(spark):
 def test_cut_keeps_rows(spark):
     d = spark.range(10).withColumn("x", F.col("id") * 2)
     assert cut(d).agg(F.sum("x")).first()[0] == 90
+
+
+def test_router_scores_do_not_depend_on_other_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.random(), rng.random() * 10, rng.random() < 0.4) for i in range(300)]
+    d = spark.createDataFrame(rows, "id int, a double, b double, failed boolean")
+    r = router.fit(d, ["a", "b"], "failed")
+    every = {x["id"]: x["p_fail"] for x in router.p_fail(r, d).collect()}
+    part = {x["id"]: x["p_fail"] for x in router.p_fail(r, d.where("id < 40")).collect()}
+    assert part == {i: every[i] for i in range(40)} and len(set(every.values())) > 100
+
+
+def test_value_index_keeps_wide_columns_and_long_values(spark):
+    d = spark.range(6000).select(F.concat(F.lit("name "), F.col("id").cast("string")).alias("n")).unionAll(spark.range(1).select(F.repeat(F.lit("long "), 40).alias("n")))
+    assert values.value_index({"t": d}).count() == 6001
+
+
+def test_short_series_are_reported(spark):
+    s = spark.createDataFrame([("a", "2024-01-01", 1.0), ("a", "2024-01-02", 2.0)] + [("b", f"2024-01-{d:02d}", float(d)) for d in range(1, 12)], "k string, t string, v double")
+    got = forecast.holt_winters(forecast.regularize(s.withColumn("t", F.to_timestamp("t")), "k", "t", "v"), "k")
+    assert {(r["k"], r["status"]) for r in got.collect()} == {("a", "too short"), ("b", "ok")}
+
+
+def test_shares_come_for_any_number_of_categories(spark):
+    d = spark.range(12).select(F.col("id").alias("c"), F.lit(1.0).alias("v"))
+    assert {(round(r["share"], 6), r["pie_ok"]) for r in charts.shares(d, "c", "v").collect()} == {(round(1 / 12, 6), False)}
