@@ -10,7 +10,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,22 +126,25 @@ def encoder(path: str) -> Encoder:
     return held.encoder
 
 
-def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) with ids as packed 16 or 32 bit integers, the end id last."""
+def tokenize(docs: DataFrame, path: str, cuts: list[int]) -> DataFrame:
+    """(part, doc_id, ids): ids as packed 16 or 32 bit integers, the end id last; part counts the cuts up to doc_id."""
+    edges = np.array(cuts, np.int64)
+
     def run(batches):
         enc = encoder(path)
         for batch in batches:
             start, size, lens = 0, 0, batch.column(1)
             texts: list = []
+            part = np.where(batch.column(0).is_valid(), np.searchsorted(edges, batch.column(0).fill_null(0).to_numpy(), "right"), 0).astype(np.int32)
             for i in range(batch.num_rows):
                 t = lens[i].as_py() or ""
                 texts.append(t)
                 size += len(t)
                 if size >= CHUNK_CHARS or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(enc.encode(texts), pa.binary())], ["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part[start : i + 1]), batch.column(0).slice(start, len(texts)), pa.array(enc.encode(texts), pa.binary())], ["part", "doc_id", "ids"])
                     start, size, texts = i + 1, 0, []
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, doc_id long, ids binary")
 
 
 class Writer:
@@ -213,30 +215,33 @@ class Reader:
 def write(docs: DataFrame, path: str) -> DataFrame:
     """Tokenizes, writes the files in ascending doc_id order, and returns their list: (part, file, uri, n_docs, n_ids).
 
-    Ids are written out once before they are sorted, so texts are encoded once. Null doc_ids come first.
+    Ranges of doc_id are cut first, from that column alone, so texts are encoded once and only ids are shuffled; each
+    range is sorted and written by itself. Null doc_ids come first.
     """
     spark = docs.sparkSession
-    ids = keep(tokenize(docs, path), "ids")
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), F.lit([i / n for i in range(1, n)]), F.lit(100_000))).first()[0]  # n numbers
     folder = scratch(spark, "tokens")
 
     def run(batches):
         enc = encoder(path)
-        w, k, part = None, 0, TaskContext.get().partitionId()
+        w, k, at = None, 0, None
         done = []
         for batch in batches:
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                w = w or Writer(folder, enc.bits)
-                w.add(doc_id, np.frombuffer(data.as_buffer(), enc.dtype).astype(np.uint32))
-                if w.n >= FILE_IDS:
-                    done.append((part, k, *w.close()))
+            for part, doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if w and (part != at or w.n >= FILE_IDS):
+                    done.append((at, k, *w.close()))
                     w, k = None, k + 1
+                w, at = w or Writer(folder, enc.bits), part
+                w.add(doc_id, np.frombuffer(data.as_buffer(), enc.dtype).astype(np.uint32))
         if w:
-            done.append((part, k, *w.close()))
+            done.append((at, k, *w.close()))
         if done:
             yield pa.RecordBatch.from_pylist([dict(zip(("part", "file", "uri", "n_docs", "n_ids"), x, strict=True)) for x in done], pa.schema([("part", pa.int32()), ("file", pa.int32()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     # ties of doc_id by their ids, so that reruns agree
-    ordered = ids.withColumn("_c", F.crc32("ids")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_c").select("doc_id", "ids")
+    ids = tokenize(docs, path, sorted(set(cuts or []))).withColumn("_c", F.crc32("ids"))
+    ordered = ids.repartition("part").sortWithinPartitions("part", "doc_id", "_c").select("part", "doc_id", "ids")
     return keep(ordered.mapInArrow(run, "part int, file int, uri string, n_docs long, n_ids long"), "files")
 
 
