@@ -179,7 +179,8 @@ def repeated_anchors(packs: DataFrame, n: int) -> DataFrame:
         parts = [np.frombuffer(x, np.uint32) for x in rows["data"]]
         every = np.sort(np.concatenate(parts))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
-        bits = [np.packbits(np.isin(x, twice)).tobytes() for x in parts]
+        place = [np.searchsorted(twice, x) if len(twice) else np.zeros(len(x), np.int64) for x in parts]
+        bits = [np.packbits(twice[np.minimum(i, len(twice) - 1)] == x if len(twice) else np.zeros(len(x), bool)).tobytes() for i, x in zip(place, parts, strict=True)]
         return pd.DataFrame({"uri": rows["uri"], "bucket": rows["bucket"], "data": bits})
 
     schema = "uri string, bucket int, data binary"
