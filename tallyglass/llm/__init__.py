@@ -7,7 +7,7 @@ their SQL twins where SQL can say the same.
 from importlib import import_module
 
 _MODULES = (
-    "suffixes", "mixing", "shards", "quality", "toxicity", "winnow", "secrets", "tokens", "warc", "jaccard",
+    "suffixes", "mixing", "shards", "quality", "toxicity", "winnow", "credentials", "tokens", "warc", "jaccard",
 )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyglass import llm
-from tallyglass.llm import common, jaccard, mixing, quality, secrets, shards, suffixes, tokens, toxicity, warc, winnow
+from tallyglass.llm import common, credentials, jaccard, mixing, quality, shards, suffixes, tokens, toxicity, warc, winnow
 
 SMALL = "/root/testdata/sf0.001"
 QUERIES, SQL = llm.load()
@@ -54,7 +54,7 @@ OPERATORS = {
     "kept": lambda d, lb, bm: quality.kept_documents(d, lb),
     "jaccard": lambda d, lb, bm: jaccard.join(d),
     "one": lambda d, lb, bm: jaccard.one_per_component(d),
-    "secrets": lambda d, lb, bm: secrets.scan(d),
+    "secrets": lambda d, lb, bm: credentials.scan(d),
 }
 ODD = [(1, "", None), (2, None, None), (None, None, "a"), (None, "password=abcdef x y z", None), (3, "a b c d e f", "a"), (3, "a b c d e f", "a"), (3, "another text", "b"), (4, "é" * 5000, "b"), (5, "\x00\n\t ", "b")]
 

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tallyglass.llm import jaccard, quality, secrets, suffixes, toxicity, winnow
+from tallyglass.llm import credentials, jaccard, quality, suffixes, toxicity, winnow
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -255,7 +255,7 @@ def test_secrets_by_kind(make):
         (7, "user=bob " + "- " * 400 + "A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6Q7r8"),
         (8, "password: token:abcdefgh"),
     ]
-    got = {r.doc_id: r for r in secrets.scan(make(rows)).collect()}
+    got = {r.doc_id: r for r in credentials.scan(make(rows)).collect()}
     texts = dict(rows)
 
     def base(t):
@@ -277,7 +277,7 @@ def test_interval_join_of_parts():
     for _ in range(100):
         a, b = (np.sort(rng.integers(0, 500, (int(rng.integers(0, 20)), 2)), axis=1) for _ in range(2))
         want = [any(s <= x[1] + 30 and e >= x[0] - 30 for s, e in b) for x in a]
-        assert secrets.near(a, b, 30).tolist() == want
+        assert credentials.near(a, b, 30).tolist() == want
 
 
 def test_toxicity_is_learned_and_held_out(spark, make):
