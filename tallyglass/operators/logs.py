@@ -26,7 +26,7 @@ def with_cost(spans: DataFrame) -> DataFrame:
 
 
 def run_summary(spans: DataFrame) -> DataFrame:
-    """One row per run over records with a span id. `agents` lists each agent once, in order of first use."""
+    """One row per run over records with a span id. `distinct_agents` lists each agent once, in order of first use."""
     s = spans.where("span_id IS NOT NULL")
     # Agents of a run fold before anything is listed: the list is as long as there are agents.
     a = s.groupBy("run_id", "agent_name").agg(
@@ -35,7 +35,7 @@ def run_summary(spans: DataFrame) -> DataFrame:
     return a.groupBy("run_id").agg(
         F.sum("n").alias("n_spans"), F.round(F.sum("ms"), 2).alias("total_duration_ms"), F.sum("ti").alias("total_tokens_in"),
         F.sum("to").alias("total_tokens_out"), F.round(F.sum("c"), 6).alias("total_cost_usd"), F.sum("e").alias("errors"),
-        F.transform(F.array_sort(F.collect_list(F.struct("t0", "agent_name"))), lambda x: x["agent_name"]).alias("agents"))
+        F.transform(F.array_sort(F.collect_list(F.struct("t0", "agent_name"))), lambda x: x["agent_name"]).alias("distinct_agents"))
 
 
 def agent_sequence(spans: DataFrame, slice_us: int = DAY_US) -> DataFrame:

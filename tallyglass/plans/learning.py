@@ -99,6 +99,6 @@ def _(t):
     return c.select("p_type", "threshold", *[ratio(x).alias(x) for x in ("ex", "cost_mean", "share_strong")])
 
 
-@query("ml_8_half_split")
+@query("ml_8_half_split", """SELECT CAST(('0x' || substr(md5(o_orderkey || ':0'), 1, 1))::INTEGER % 2 AS INTEGER) AS half, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1""")
 def _(t):
     return t.orders.groupBy(sampling.half("o_orderkey").alias("half")).agg(F.count("*").alias("n"))

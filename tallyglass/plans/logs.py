@@ -35,11 +35,11 @@ def _(t):
 @query("log_1_run_summary", f"""WITH {_SPANS},
 a AS (SELECT run_id, agent_name, min(started_at) AS t0 FROM s GROUP BY 1, 2), l AS (SELECT run_id, string_agg(agent_name, ',' ORDER BY t0) AS agents FROM a GROUP BY 1)
 SELECT run_id, CAST(count(*) AS BIGINT) AS n_spans, round(sum(duration_ms), 2) AS total_duration_ms, CAST(sum(tokens_in) AS BIGINT) AS total_tokens_in,
- CAST(sum(tokens_out) AS BIGINT) AS total_tokens_out, round(sum(cost), 5) AS total_cost_usd, CAST(count(*) FILTER (WHERE agent_name = 'error') AS BIGINT) AS errors, any_value(agents) AS agents
+ CAST(sum(tokens_out) AS BIGINT) AS total_tokens_out, round(sum(cost), 5) AS total_cost_usd, CAST(count(*) FILTER (WHERE agent_name = 'error') AS BIGINT) AS errors, any_value(agents) AS distinct_agents
 FROM s JOIN l USING (run_id) GROUP BY 1""")
 def _(t):
     r = logs.run_summary(spans(t))
-    return r.withColumn("agents", F.array_join("agents", ",")).withColumn("total_cost_usd", F.round("total_cost_usd", 5))
+    return r.withColumn("distinct_agents", F.array_join("distinct_agents", ",")).withColumn("total_cost_usd", F.round("total_cost_usd", 5))
 
 
 @query("log_1_agent_sequence", f"WITH {_SPANS} SELECT run_id, span_id, row_number() OVER (PARTITION BY run_id ORDER BY started_at, span_id) AS position, agent_name FROM s")
