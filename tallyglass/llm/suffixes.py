@@ -468,3 +468,26 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
+# Texts as hex digits, two a byte: a string of SPAN bytes is 2 * SPAN of them.
+SQL = f"""
+WITH base AS (
+    SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS hx, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+starts AS (
+    SELECT rid, doc_id, p, s FROM (
+        SELECT rid, doc_id, p, substr(hx, 2 * p + 1, {2 * SPAN}) AS s
+        FROM (SELECT *, unnest(range(0, greatest(n - {SPAN - 1}, 0))) AS p FROM base WHERE doc_id IS NOT NULL))),
+firsts AS (SELECT s, min(doc_id) AS first FROM starts GROUP BY s),
+marked AS (SELECT rid, p FROM starts JOIN firsts USING (s) WHERE doc_id > first),
+runs AS (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS k
+         FROM (SELECT rid, p, CASE WHEN p - lag(p) OVER (PARTITION BY rid ORDER BY p) <= {SPAN} THEN 0 ELSE 1 END AS fresh FROM marked)),
+gone AS (SELECT rid, min(p) AS a, max(p) + {SPAN} AS e FROM runs GROUP BY rid, k),
+edges AS (
+    SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY a), 0) AS lo, a AS hi FROM gone
+    UNION ALL SELECT rid, coalesce(max(e), 0), any_value(n) FROM base LEFT JOIN gone USING (rid) GROUP BY rid),
+kept AS (SELECT rid, string_agg(substr(hx, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS hx FROM edges JOIN base USING (rid) GROUP BY rid),
+counts AS (SELECT rid, count(*) AS spans, sum(e - a) AS removed FROM gone GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.hx)) AS kept_sha256
+FROM base JOIN kept USING (rid) LEFT JOIN counts USING (rid)
+"""
