@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.llm import words as W
-from tallyglass.llm.common import keep, table
+from tallyglass.llm.common import keep, rows_of, table
 from tallyglass.llm.graph import components
 
 NAME = "op8_jaccard"
@@ -25,7 +25,9 @@ MAX_MATCHES = 12
 #: Cost of verifying a pair, in posting entries read.
 VERIFY_COST = 30.0
 #: Rounds in which each document tries one partner, before all that is left is tried.
-PROBES = 3
+PROBES = 2
+#: The lists of shingles whose sets are in more components than this are hot: pivots thin their pairs out.
+HOT_ROOTS = 16
 
 
 def shingle_sets(column):
@@ -106,16 +108,18 @@ def prefix(s: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, int]:
 def postings(docs: DataFrame, ranked: np.ndarray, buckets: int) -> DataFrame:
     """(token, node, n, matches) for all prefix shingles that stand in two sets or more, or are ranked as frequent.
 
-    Entries travel packed by bucket of the shingle; a bucket drops what only one set has. Ranked shingles need no such
-    test and go past the buckets, so none fills up with one shingle.
+    Entries travel packed by bucket of the shingle, with half of its hash (the bucket adds bits of the other half; two
+    shingles that fall together only let a pair through to be verified). A bucket drops what one set alone has. Ranked
+    shingles need no such test: their entries are dealt by set, so no bucket fills up with one shingle.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranked)  # RANKED entries at most
+    entry = [("token", "<u4"), ("node", "<i8"), ("ask", "<u4"), ("part", "<i4")]
 
     def run(batches):
         known = shared.value
         for batch in batches:
-            done, out = set(), []
+            done, light, hot = set(), [], []
             for _, s in shingle_sets(batch.column(0)):
                 node = set_id(s) if len(s) else None
                 if node is None or node in done:
@@ -124,45 +128,74 @@ def postings(docs: DataFrame, ranked: np.ndarray, buckets: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(known["token"], s), max(0, len(known) - 1))
                 seen = np.where(known["token"][at] == s, known["seen"][at], 0) if len(known) else np.zeros(len(s), np.int64)
                 p, take = prefix(s, seen)
-                e = np.zeros(len(p), [("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("matches", "<i4"), ("ranked", "?")])
-                e["token"], e["node"], e["n"], e["matches"], e["ranked"] = s[p], node, len(s), take, seen[p] > 0
-                out.append(e)
-            if not out:
-                continue
-            e = np.concatenate(out)
-            e = np.concatenate([e[~e["ranked"]], e[e["ranked"]]])
-            cut = np.count_nonzero(~e["ranked"])
-            part = (e["token"][:cut] % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            edge = np.searchsorted(part[order], np.arange(buckets + 1))
-            packed = e[:cut][order][["token", "node"]].copy()
-            sizes = e[:cut][order]
-            rows = [(b, packed["token"][lo:hi].tobytes(), packed["node"][lo:hi].tobytes(), (sizes["n"][lo:hi].astype("<u4") * 16 + sizes["matches"][lo:hi]).astype("<u4").tobytes()) for b, lo, hi in zip(range(buckets), edge[:-1], edge[1:], strict=True) if hi > lo]
-            hot = e[cut:]
-            none = lambda k, t: pa.nulls(k, t)
-            names = ["bucket", "tokens", "nodes", "asks", "token", "node", "ask"]
-            if rows:
-                b, t, d, a = zip(*rows, strict=True)
-                k = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(t, pa.binary()), pa.array(d, pa.binary()), pa.array(a, pa.binary()), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64())], names)
-            if len(hot):
-                k = len(hot)
-                yield pa.RecordBatch.from_arrays([none(k, pa.int32()), none(k, pa.binary()), none(k, pa.binary()), none(k, pa.binary()), pa.array(hot["token"].view(np.int64).copy()), pa.array(hot["node"].copy()), pa.array(hot["n"].astype(np.int64) * 16 + hot["matches"])], names)
-
-    def shared_only(_, rows: pd.DataFrame) -> pd.DataFrame:
-        t = np.concatenate([np.frombuffer(x, "<u8") for x in rows["tokens"]])
-        d = np.concatenate([np.frombuffer(x, "<i8") for x in rows["nodes"]])
-        a = np.concatenate([np.frombuffer(x, "<u4") for x in rows["asks"]])
-        order = np.argsort(t)
-        same = t[order][1:] == t[order][:-1]
-        keep_at = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        return pd.DataFrame({"token": t[keep_at].view(np.int64), "node": d[keep_at], "ask": a[keep_at].astype(np.int64)})
-
-    flat = keep(docs.select("text").mapInArrow(run, "bucket int, tokens binary, nodes binary, asks binary, token long, node long, ask long"), "prefixes")
-    light = flat.filter("bucket is not null").select("bucket", "tokens", "nodes", "asks").groupBy("bucket").applyInPandas(lambda k, p: shared_only(k, p), "token long, node long, ask long")
-    hot = flat.filter("bucket is null").select("token", "node", "ask")
-    both = light.union(hot).groupBy("token", "node").agg(F.min("ask").alias("ask"))  # the same set in several batches
-    return keep(both.select("token", "node", F.floor(F.col("ask") / 16).cast("int").alias("n"), (F.col("ask") % 16).cast("int").alias("matches")), "postings")
+                t = s[p]
+                e = np.zeros(len(p), entry)
+                e["token"], e["node"], e["ask"] = t & np.uint64(0xFFFFFFFF), node, len(s) * 16 + take
+                e["part"] = (t >> np.uint64(32)) % np.uint64(buckets)
+                light.append(e[seen[p] == 0])
+                hot.append(e[seen[p] > 0])
+            for kind, parts in ((False, light), (True, hot)):
+                e = np.concatenate([np.zeros(0, entry), *parts])
+                if not len(e):
+                    continue
+                deal = e["node"] % buckets if kind else e["part"]
+                order = np.argsort(deal.astype(np.int32), kind="stable")
+                e, deal = e[order], deal[order]
+                edge = np.searchsorted(deal, np.arange(buckets + 1))
+                some = np.flatnonzero(edge[1:] > edge[:-1])
+                cut = lambda c: pa.array([e[c][edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([kind] * len(some)), cut("token"), cut("node"), cut("ask"), cut("part") if kind else pa.nulls(len(some), pa.binary())], ["bucket", "hot", "tokens", "nodes", "asks", "parts"])
+
+    def shared_only(bucket: int, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for kind, own in rows.groupby("hot"):
+            get = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in own[c]])  # noqa: B023, E731
+            part = get("parts", "<i4") if kind else np.int64(bucket)
+            t = (part.astype(np.int64) << 32) | get("tokens", "<u4").astype(np.int64)
+            d, a = get("nodes", "<i8"), get("asks", "<u4").astype(np.int64)
+            order = np.lexsort((d, t))
+            t, d, a = t[order], d[order], a[order]
+            new = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])  # a set may come from several batches
+            t, d, a = t[new], d[new], a[new]
+            if not kind:
+                same = t[1:] == t[:-1]
+                some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+                t, d, a = t[some], d[some], a[some]
+            out.append(pd.DataFrame({"token": t, "node": d, "n": (a // 16).astype(np.int32), "matches": (a % 16).astype(np.int32)}))
+        return pd.concat(out)
+
+    packed = docs.select("text").mapInArrow(run, "bucket int, hot boolean, tokens binary, nodes binary, asks binary, parts binary")
+    lists = packed.groupBy("bucket").applyInPandas(lambda k, p: shared_only(int(k[0]), p), "token long, node long, n int, matches int")
+    return keep(lists, "postings")
+
+
+def asked(nu, mu, nv, mv):
+    """Shared prefix shingles without which two sets of nu and nv shingles can't link.
+
+    Of the two prefixes one ends first; all that both sets share up to there stands in both prefixes, and beyond it the
+    set has T - l shingles left. So the shared ones plus the larger rest must reach the overlap that PERCENT asks for.
+    The multi-match rule, at least the smaller l, holds besides.
+    """
+    rest = lambda n, m: F.ceil(F.col(n) * PERCENT / 100) - F.col(m)
+    overlap = F.ceil((F.col(nu) + F.col(nv)) * PERCENT / (100 + PERCENT))
+    return F.greatest(F.least(mu, mv).cast("long"), overlap - F.greatest(rest(nu, mu), rest(nv, mv)))
+
+
+def promising(lists: DataFrame) -> DataFrame:
+    """Posting entries of the sets that may still link, with `share`, the part of a set's shingles that are in lists.
+
+    Whoever links with a set is in a list with it, so its size lies between the least and the largest of that list. What
+    `asked` asks for rises up to equal sizes and falls from there, so its least value is at the ends of that range; a set
+    that has fewer entries in all can't reach it with anyone. (Rounding moves the ends by less than two.)
+    """
+    of_token = lists.groupBy("token").agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"), F.min("matches").alias("_m"))
+    each = lists.join(of_token, "token")
+    each = each.withColumn("_lo", F.greatest("_lo", F.ceil(F.col("n") * PERCENT / 100).cast("int"))).withColumn("_hi", F.least("_hi", F.floor(F.col("n") * 100 / PERCENT).cast("int")))
+    need = F.least(asked("n", "matches", "_lo", "_m"), asked("n", "matches", "_hi", "_m")) - 2
+    sets = each.groupBy("node").agg(F.count("*").alias("_has"), F.min(need).alias("_need"), F.min("n").alias("_n")).filter("_has >= _need")
+    left = lists.join(sets.select("node", (F.col("_has") / F.col("_n")).alias("share")), "node")
+    two = left.groupBy("token").agg(F.count("*").alias("_k")).filter("_k > 1").select("token")
+    return keep(left.join(two, "token"), "promising")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -178,48 +211,122 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Posting entries with their component, without shingles whose sets are all in one."""
+    if labels is None:  # no links yet
+        return lists.withColumn("root", F.col("node"))
     named = lists.join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = named.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("token")
-    return named.join(mixed, "token")
+    return keep(named.join(mixed, "token"), "open")
+
+
+def rivals(open_: DataFrame) -> DataFrame:
+    """Posting entries of the sets that may link outside their component, with the size classes `ok` of such partners.
+
+    For each set and class of sizes (steps of 2 %) the shingles are counted whose lists hold a set of that class in
+    another component. Fewer than `asked` for any size of the class met there, and no set of the class can link. A list
+    gives a set one row per class, so this stays linear where pairs would not.
+    """
+    each = open_.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.02))).cast("int"))
+    classes = each.groupBy("token", F.col("size").alias("_s")).agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.min("n").alias("_lo"), F.max("n").alias("_hi"), F.min("matches").alias("_m"))
+    met = each.join(classes, "token").filter((100 * F.col("_hi") >= PERCENT * F.col("n")) & (PERCENT * F.col("_lo") <= 100 * F.col("n")) & ((F.col("_a") != F.col("root")) | (F.col("_b") != F.col("root"))))
+    need = F.least(asked("n", "matches", "_lo", "_m"), asked("n", "matches", "_hi", "_m")) - 2
+    ok = met.groupBy("node", "_s").agg(F.count("*").alias("_c"), F.min(need).alias("_need")).filter("_c >= _need").groupBy("node").agg(F.collect_set("_s").alias("ok"))  # some 30 classes at most
+    left = each.join(ok, "node")
+    mixed = left.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("token")
+    return keep(left.join(mixed, "token"), "rivals")
+
+
+def needed(nu, nv):
+    """Shared shingles with which two sets of nu and nv shingles link."""
+    return F.ceil((F.col(nu) + F.col(nv)) * PERCENT / (100 + PERCENT))
+
+
+def past_pivots(left: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Posting entries with `cap`, and the pairs (u, v) that caps leave out of hot lists but that may link.
+
+    Large families hold many sets that fall just short of a link, too near for prefixes to tell. So each set x of a hot
+    list is held against one pivot c, the set with the largest shared part that it meets most often there. With any y it
+    shares at most what it shares with c, and what y has of x's other shingles. Where y is so large (beyond `cap`) that
+    the former can't be enough, y must have some of the latter: these few shingles, looked up among all shingles of the
+    sets in hot lists, find every such y, and the hot lists themselves need not pair the two.
+    """
+    hot = left.groupBy("token").agg(F.count_distinct("root").alias("_k")).filter(F.col("_k") > HOT_ROOTS).select("token")
+    entries = keep(left.join(hot, "token").select("token", "node", "root", "n", "share"), "hot")
+    lead = entries.groupBy("token").agg(F.max(F.struct("share", "node")).alias("_l")).select("token", F.col("_l.node").alias("pivot"))
+    met = entries.join(lead, "token").filter("node <> pivot").groupBy("node", "root", "n", "pivot").agg(F.count("*").alias("_c"))
+    chosen = met.groupBy("node", "root", "n").agg(F.max(F.struct("_c", "pivot")).alias("_p")).select("node", "root", "n", F.col("_p.pivot").alias("pivot"))
+
+    def rest(batches):
+        for batch in batches:
+            out = []
+            for (r, x), (_, c) in zip(shingle_sets(batch.column(3)), shingle_sets(batch.column(4)), strict=True):
+                other = np.setdiff1d(x, c, assume_unique=True).view(np.int64)
+                out.append(([batch.column(i)[r].as_py() for i in range(3)], len(x) - len(other), other))
+            if out:
+                k = [len(o) + 1 for _, _, o in out]  # one row without a shingle, for sets that have no others
+                own = [np.repeat([h[i] for h, _, _ in out], k) for i in range(3)]
+                tokens = pa.array([t for _, _, o in out for t in (None, *o.tolist())], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), pa.array(own[2].astype(np.int32)), pa.array(np.repeat([v for _, v, _ in out], k).astype(np.int32)), tokens], ["u", "ru", "nu", "both", "token"])
+
+    def whole(batches):
+        for batch in batches:
+            for r, s in shingle_sets(batch.column(3)):
+                n = len(s)
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(batch.column(i)[r], n) for i in range(3)], pa.array(s.view(np.int64))], ["v", "rv", "nv", "token"])
+
+    pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("_t"))
+    probes = keep(chosen.join(texts, "node").join(pivots, "pivot").select("node", "root", "n", "text", "_t").mapInArrow(rest, "u long, ru long, nu int, both int, token long"), "probes")
+    index = entries.select("node", "root", "n").distinct().join(texts, "node").select("node", "root", "n", "text").mapInArrow(whole, "v long, rv long, nv int, token long")
+    near = 100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")
+    pairs = probes.filter("token is not null").join(index, "token").filter((F.col("ru") != F.col("rv")) & near)
+    pairs = pairs.groupBy("u", "nu", "both", "v", "nv").agg(F.count("*").alias("_c")).filter(F.col("_c") + F.col("both") >= needed("nu", "nv")).select("u", "v")
+    # the largest partner that the shingles shared with the pivot may be enough for
+    caps = probes.filter("token is null").select(F.col("u").alias("node"), (F.floor(F.col("both") * (100 + PERCENT) / PERCENT) - F.col("nu")).cast("int").alias("cap"))
+    listed = left.join(hot.withColumn("_hot", F.lit(True)), "token", "left").join(caps, "node", "left")
+    return listed.withColumn("cap", F.when(F.col("_hot"), F.col("cap"))).drop("_hot"), pairs
 
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(u, v) with v the smallest node of u's component, over set ids.
 
     Large groups of near copies would make pairs of all with all. So each set first tries one partner: of the leaders
-    of its shingles (each shingle's set with the smallest salted hash) the one met most often. What links falls into
-    components, and shingles whose sets are all in one component need no more pairs. What is left after some rounds is
-    tried in full, by the multi-match rule.
+    of its shingles the one met most often, if that is often enough to be worth a try. The leader of a shingle is first
+    the set with the largest part of its shingles shared, which is nearest to what the group was copied from, then one
+    picked by a hash. What links falls into components, and shingles whose sets are all in one component need no more
+    pairs. What is left after these rounds is tried in full, by the multi-match rule.
     """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = postings(docs, ranked_tokens(found), buckets)
+    lists = promising(postings(docs, ranked_tokens(found), buckets))
     # one text for each set in the lists
     first = found.filter("set is not null").groupBy(F.col("set").alias("node")).agg(F.min("doc_id").alias("_id"))
     wanted = first.join(lists.select("node").distinct(), "node", "left_semi")
     texts = keep(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id")).select("node", "text"), "texts")
+    near = 100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")
     links = spark.createDataFrame([], "u long, v long")
-    labels = links
+    labels = None
     for round_ in range(PROBES):
-        open_ = keep(_labelled(lists, labels), "open")
-        if open_.isEmpty():
-            return labels
-        order = F.struct(F.xxhash64("node", F.lit(round_)).alias("_h"), "node", "root", "n")
+        open_ = _labelled(lists, labels)
+        rank = F.xxhash64("node", F.lit(round_)) if round_ % 2 else -F.col("share")
+        order = F.struct(rank.alias("_h"), "node", "root", "n", "matches")
         leader = open_.groupBy("token").agg(F.min(order).alias("_l"))
-        near = 100 * F.least("n", "_l.n") >= PERCENT * F.greatest("n", "_l.n")
-        tries = open_.join(leader, "token").filter((F.col("root") != F.col("_l.root")) & near).groupBy(F.col("node").alias("u"), F.col("_l.node").alias("v")).agg(F.count("*").alias("_c"))
+        tries = open_.join(leader, "token").filter(F.col("root") != F.col("_l.root"))
+        tries = tries.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("matches").alias("mu"), F.col("_l.node").alias("v"), F.col("_l.n").alias("nv"), F.col("_l.matches").alias("mv")).filter(near)
+        tries = tries.groupBy("u", "nu", "mu", "v", "nv", "mv").agg(F.count("*").alias("_c")).filter(2 * F.col("_c") >= asked("nu", "mu", "nv", "mv"))
         pairs = tries.groupBy("u").agg(F.max(F.struct("_c", "v")).alias("_b")).select("u", F.col("_b.v").alias("v"))
         links = keep(links.union(verify(pairs, texts)), "links")
         labels = components(links)
-    open_ = keep(_labelled(lists, labels), "open")
-    a = open_.select("token", F.col("node").alias("u"), F.col("root").alias("_ru"), F.col("n").alias("_nu"), F.col("matches").alias("_mu"))
-    b = open_.select("token", F.col("node").alias("v"), F.col("root").alias("_rv"), F.col("n").alias("_nv"), F.col("matches").alias("_mv"))
-    near = 100 * F.least("_nu", "_nv") >= PERCENT * F.greatest("_nu", "_nv")
-    pairs = a.join(b, "token").filter((F.col("u") < F.col("v")) & (F.col("_ru") != F.col("_rv")) & near)
-    pairs = pairs.groupBy("u", "v").agg(F.count("*").alias("_c"), F.min(F.least("_mu", "_mv")).alias("_m")).filter("_c >= _m")
-    return components(links.union(verify(pairs, texts)))
+    left, more = past_pivots(rivals(rivals(_labelled(lists, labels)).drop("size", "ok")), texts)
+    ends = ("node", "root", "n", "matches", "size", "ok", "cap")
+    a, b = (left.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ends]) for x in "uv")
+    a, b = (d.withColumnsRenamed({f"node_{x}": x, f"n_{x}": f"n{x}", f"matches_{x}": f"m{x}"}) for d, x in ((a, "u"), (b, "v")))
+    may = F.array_contains("ok_u", F.col("size_v")) & F.array_contains("ok_v", F.col("size_u"))
+    may &= F.coalesce(F.col("nv") <= F.col("cap_u"), F.lit(True)) & F.coalesce(F.col("nu") <= F.col("cap_v"), F.lit(True))
+    pairs = a.join(b, "token").filter((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & near & may)
+    pairs = pairs.groupBy("u", "nu", "mu", "v", "nv", "mv").agg(F.count("*").alias("_c")).filter(F.col("_c") >= asked("nu", "mu", "nv", "mv")).select("u", "v")
+    both = pairs.union(more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
+    return components(links.union(verify(both, texts)))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -245,7 +352,7 @@ def join(docs: DataFrame) -> DataFrame:
 def one_per_component(docs: DataFrame) -> DataFrame:
     """Of each component the document with the smallest doc_id, once; documents without words or id stay."""
     gone = join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    left = rows_of(docs).join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti").select("_row.*")
     return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))
 
 
