@@ -101,8 +101,9 @@ def linked(rows):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-@pytest.mark.parametrize(("often", "probes"), [(2, 3), (5, 0), (1, 1)])
-def test_near_copies_join(make, monkeypatch, often, probes):
+@pytest.mark.parametrize(("often", "probes", "hot"), [(2, 3, 16), (5, 0, 1), (1, 1, 2)])
+def test_near_copies_join(make, monkeypatch, often, probes, hot):
+    monkeypatch.setattr(jaccard, "HOT_ROOTS", hot)
     monkeypatch.setattr(jaccard, "FREQUENT", often)
     monkeypatch.setattr(jaccard, "PROBES", probes)
     rows = corpus(5)
