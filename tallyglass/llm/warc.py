@@ -152,15 +152,20 @@ def _id(uri: str) -> int:
     return int(uri.removeprefix("<urn:page:").removesuffix(">"))
 
 
+def mark():
+    """Payloads are equal if their lengths, SHA-1 and 64-bit hashes are."""
+    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    return F.struct(F.length(html).alias("n"), F.sha1(html).alias("a"), F.xxhash64(html).alias("b"))
+
+
 def roles(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """(_id, refers_to): the pages that revisit another. Payloads are equal if their lengths, SHA-1 and 64-bit hashes are.
+    """(_id, _of, refers_to): the pages that revisit another, once for each page_id and mark of a payload.
 
     Only digests are shuffled; groups of equal payloads are folded to their smallest page_id map-side.
     """
-    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    marks = pages.filter("page_id is not null").select("page_id", F.struct(F.length(html).alias("n"), F.sha1(html).alias("a"), F.xxhash64(html).alias("b")).alias("_mark")).filter(F.col("_mark.n") >= least)
+    marks = pages.filter("page_id is not null").select("page_id", mark().alias("_mark")).filter(F.col("_mark.n") >= least)
     first = marks.groupBy("_mark").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("_n")).filter("_n > 1")
-    return marks.join(first, "_mark").filter("page_id > refers_to").select(F.col("page_id").alias("_id"), "refers_to")
+    return marks.join(first, "_mark").filter("page_id > refers_to").select(F.col("page_id").alias("_id"), F.col("_mark").alias("_of"), "refers_to").distinct()
 
 
 def write(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
@@ -201,8 +206,8 @@ def write(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(done)], ["uri"])
 
-    known = pages.filter("page_id is not null").select("page_id", "url", "html")
-    joined = known.join(roles(pages, least), F.col("page_id") == F.col("_id"), "left")
+    known = pages.filter("page_id is not null").select("page_id", "url", "html", mark().alias("_mark"))
+    joined = known.join(roles(pages, least), (F.col("page_id") == F.col("_id")) & (F.col("_mark") == F.col("_of")), "left")
     text = joined.select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"))
     return keep(text.mapInArrow(run, "uri string"), "archives")
 
@@ -262,7 +267,7 @@ def archive_pages(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """Pages written to archives and read back, see `read`.
 
     A null html is an empty payload, and empty payloads are equal; a null url becomes about:blank; rows without a
-    page_id can't be named and aren't written; repeated rows are written each, all as responses or revisits alike; an
+    page_id can't be named and aren't written; repeated rows are written each, as responses or revisits by their own payload; an
     empty table gives no archives and no rows. Other columns are ignored, whatever their names.
     """
     return read(write(pages, least))

@@ -181,6 +181,13 @@ def test_small_payloads_are_never_revisits(spark):
     assert {r.page_id: r.refers_to for r in got} == {1: None, 2: None, 3: None, 4: 3}
 
 
+def test_repeated_page_ids_have_roles_by_payload(spark):
+    rows = [(1, "u", "a"), (2, "u", "a"), (2, "u", "a"), (2, "v", "a"), (2, "u", "b"), (3, "u", "a"), (3, "u", "b"), (3, "u", None), (4, "u", "")]
+    got = Counter((r.page_id, r.payload, r.payload_digest, r.refers_to) for r in warc.archive_pages(pages(spark, rows)).collect())
+    d = {x: warc.digest32(x.encode()) for x in ("a", "b", "")}
+    assert got == {(1, b"a", d["a"], None): 1, (2, None, d["a"], 1): 3, (2, b"b", d["b"], None): 1, (3, None, d["a"], 1): 1, (3, None, d["b"], 2): 1, (3, b"", d[""], None): 1, (4, None, d[""], 3): 1}
+
+
 def test_archives_open_with_a_common_library(spark):
     uris = [r.uri for r in warc.write(pages(spark, [(i, "http://h/", f"page {i}") for i in range(9)])).collect()]
     n = 0
