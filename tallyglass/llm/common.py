@@ -51,6 +51,11 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
 
+def row_key():
+    """A 64-bit hash of doc_id and text, never null: rows of one doc_id with different texts, or without one, stay apart."""
+    return F.xxhash64("doc_id", "text")
+
+
 def source_key(col="source"):
     """Never null, so that it can be grouped and joined: null sources share one key, after all others."""
     c = F.col(col)

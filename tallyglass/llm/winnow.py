@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.llm import words as W
-from tallyglass.llm.common import rows_of, table
+from tallyglass.llm.common import row_key, rows_of, table
 
 NAME = "op5_winnow"
 #: Words of a window; a shorter item is one window.
@@ -75,7 +75,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def document_fingerprints(docs: DataFrame, spans: list[int]) -> DataFrame:
-    """(row, fp, span) of all documents, without repeats within a text; `row` identifies the document row."""
+    """(row, fp, span) of all documents, without repeats within a text; `row` is the row's key."""
     def run(batches):
         for batch in batches:
             for i, h, first in _hashes(batch.column(1)):
@@ -83,9 +83,9 @@ def document_fingerprints(docs: DataFrame, spans: list[int]) -> DataFrame:
                     fp, at = fingerprints(h, first, span)
                     if len(fp):
                         row = i + np.searchsorted(first, at, "right") - 1
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(fp.astype(np.int64)), pa.array(np.full(len(fp), span, np.int32))], ["doc_id", "fp", "span"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(fp.astype(np.int64)), pa.array(np.full(len(fp), span, np.int32))], ["row", "fp", "span"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, span int")
+    return docs.select(row_key().alias("row"), "text").mapInArrow(run, "row long, fp long, span int")
 
 
 def covered(h: np.ndarray, items: list[tuple]) -> tuple[np.ndarray, list[str]]:
@@ -121,14 +121,14 @@ def covered(h: np.ndarray, items: list[tuple]) -> tuple[np.ndarray, list[str]]:
     return np.cumsum(hit[:-1]) > 0, sorted(set(found))
 
 
-def _judge(batch, at_items, at_text):
+def _judge(candidates, texts):
     """For every row: words, words hit, items found. Rows without candidates cost a count only."""
     n_words, n_hit, found = [], [], []
-    for i, h, first in _hashes(batch.column(at_text)):
+    for i, h, first in _hashes(texts):
         n_words.append(np.diff(first))
         hits = np.zeros(len(first) - 1, np.int64)
         for r in range(len(first) - 1):
-            own = batch.column(at_items)[i + r].as_py()
+            own = candidates[i + r].as_py()
             names = []
             if own:
                 items = [(x["item_id"], np.frombuffer(x["item_words"], np.uint64), x["span"], np.array([y["fp"] for y in x["at"]], np.int64).astype(np.uint64), np.array([y["item_at"] for y in x["at"]], np.int64)) for x in own]
@@ -141,15 +141,15 @@ def _judge(batch, at_items, at_text):
 
 
 def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(_id, items): for each doc_id that shares a fingerprint with the benchmark, the items it shares any with."""
+    """(_id, items): for each row key that shares a fingerprint with the benchmark, the items it shares any with."""
     known = item_windows(benchmark)
     spans = sorted(r.span for r in known.select("span").distinct().collect())  # 13 values at most
     if not spans:
-        return docs.sparkSession.createDataFrame([], f"_id {docs.schema['doc_id'].dataType.simpleString()}, items array<struct<item_id:string,item_words:binary,span:int,at:array<struct<fp:bigint,item_at:int>>>>")
+        return docs.sparkSession.createDataFrame([], "_id bigint, items array<struct<item_id:string,item_words:binary,span:int,at:array<struct<fp:bigint,item_at:int>>>>")
     per_item = known.groupBy("item_id", "item_words", "span").agg(F.sort_array(F.collect_list(F.struct("fp", "item_at"))).alias("at"))
     # prints are joined without a hint: Spark broadcasts the benchmark's side where its measured size allows
-    pairs = document_fingerprints(docs.filter("doc_id is not null"), spans).join(known.select("fp", "span", "item_id", "item_words").distinct(), ["fp", "span"])
-    pairs = pairs.groupBy(F.col("doc_id").alias("_id"), "item_id", "item_words", "span").agg(F.lit(1).alias("_"))
+    pairs = document_fingerprints(docs, spans).join(known.select("fp", "span", "item_id", "item_words").distinct(), ["fp", "span"])
+    pairs = pairs.groupBy(F.col("row").alias("_id"), "item_id", "item_words", "span").agg(F.lit(1).alias("_"))
     items = F.struct("item_id", "item_words", "span", "at")
     return pairs.join(per_item, ["item_id", "item_words", "span"]).groupBy("_id").agg(F.sort_array(F.collect_list(items)).alias("items"))
 
@@ -161,13 +161,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     run of at least 13 equal words (or a whole shorter item) is an occurrence of its windows. Winnowing picks a print
     from every run of that length, so none is missed.
 
-    Null and empty texts have no words and no hits; items without words or id match nothing; repeated rows are judged
-    each; a null doc_id is never found contaminated; empty tables give no rows, or rows without hits. Other columns are
-    ignored, whatever their names.
+    Null and empty texts have no words and no hits; items without words or id match nothing; rows are judged
+    each by their own text, also those that repeat a doc_id or have none; empty tables give no rows, or rows without
+    hits. Other columns are ignored, whatever their names.
     """
     def run(batches):
         for batch in batches:
-            n_words, n_hit, found = _judge(batch, 2, 1)
+            n_words, n_hit, found = _judge(batch.column(2), batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(n_words.astype(np.int64)), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()),
@@ -178,15 +178,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = docs.select("doc_id", "text").join(candidates(docs, benchmark), F.col("doc_id") == F.col("_id"), "left")
+    joined = docs.select("doc_id", "text", row_key().alias("_key")).join(candidates(docs, benchmark), F.col("_key") == F.col("_id"), "left")
     schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
     return joined.select("doc_id", "text", "items").mapInArrow(run, schema)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents that aren't contaminated, whole and unchanged."""
-    bad = decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return rows_of(docs).join(bad, F.col("_row.doc_id") == F.col("_bad"), "left_anti").select("_row.*")
+    def run(batches):
+        for batch in batches:
+            n_words, n_hit, _ = _judge(batch.column(1), batch.column(0).field("text"))
+            yield batch.select(["_row"]).filter(pa.array((n_hit == 0) | (ONE_IN * n_hit < n_words)))
+
+    rows = rows_of(docs)
+    joined = rows.select("_row", F.xxhash64("_row.doc_id", "_row.text").alias("_key")).join(candidates(docs, benchmark), F.col("_key") == F.col("_id"), "left").select("_row", "items")
+    return joined.mapInArrow(run, joined.select("_row").schema).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

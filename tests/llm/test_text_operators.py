@@ -237,6 +237,17 @@ def test_benchmark_passages_are_hit(spark, make, clash):
     assert all(r.n_hit == 0 and not r.contaminated for r in none)
 
 
+def test_rows_are_judged_by_their_own_text(spark, make, clash):
+    passage = " ".join(f"b{k}" for k in range(15))
+    benchmark = spark.createDataFrame([(1, passage), (2, "short item")], "item_id long, text string")
+    texts = [(None, passage), (None, f"x {passage} y"), (None, "clean words"), (7, passage), (7, "other clean words"), (7, "a short item"), (8, None), (None, None)]
+    want = contamination(enumerate(t for _, t in texts), [(1, passage), (2, "short item")])
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in winnow.decontaminate(make(texts), benchmark).collect())
+    assert got == Counter((i, *want[k]) for k, (i, _) in enumerate(texts))
+    clean = winnow.clean_documents(clash(texts), benchmark)
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter([(None, "clean words"), (7, "other clean words"), (8, None), (None, None)])
+
+
 def test_every_long_enough_span_shares_a_fingerprint():
     rng = np.random.default_rng(3)
     for span in range(1, 14):
