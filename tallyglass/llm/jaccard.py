@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.llm import words as W
-from tallyglass.llm.common import keep, rows_of, table
+from tallyglass.llm.common import keep, row_key, rows_of, table
 from tallyglass.llm.graph import components
 
 NAME = "op8_jaccard"
@@ -53,7 +53,7 @@ def set_id(s: np.ndarray) -> int:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """Two kinds of rows: (doc_id, n_shingles, set) per document row, and (token, seen) for frequent shingles of a batch."""
+    """Two kinds of rows: (doc_id, n_shingles, set, key) per document row, and (token, seen) for frequent shingles of a batch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -67,15 +67,15 @@ def profile(docs: DataFrame) -> DataFrame:
                     sets.add(ids[-1])
                     tokens.append(s)
             none = lambda k, t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(ids, pa.int64()), none(n, pa.int64()), none(n, pa.int64())], ["doc_id", "n_shingles", "set", "token", "seen"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(ids, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), batch.column(2)], ["doc_id", "n_shingles", "set", "token", "seen", "key"])
             t = np.sort(np.concatenate([np.zeros(0, np.uint64), *tokens]))
             edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
             seen = np.diff(np.append(edge, len(t)))
             often = edge[seen >= FREQUENT]
             k = len(often)
-            yield pa.RecordBatch.from_arrays([none(k, batch.schema.field(0).type), none(k, pa.int64()), none(k, pa.int64()), pa.array(t[often].view(np.int64)), pa.array(seen[seen >= FREQUENT])], ["doc_id", "n_shingles", "set", "token", "seen"])
+            yield pa.RecordBatch.from_arrays([none(k, batch.schema.field(0).type), none(k, pa.int64()), none(k, pa.int64()), pa.array(t[often].view(np.int64)), pa.array(seen[seen >= FREQUENT]), none(k, pa.int64())], ["doc_id", "n_shingles", "set", "token", "seen", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set long, token long, seen long")
+    return docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set long, token long, seen long, key long")
 
 
 def ranked_tokens(found: DataFrame) -> np.ndarray:
@@ -299,10 +299,11 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = promising(postings(docs, ranked_tokens(found), buckets))
-    # one text for each set in the lists
-    first = found.filter("set is not null").groupBy(F.col("set").alias("node")).agg(F.min("doc_id").alias("_id"))
+    # one text for each set in the lists; rows that share a doc_id have each their own
+    first = found.filter("set is not null").groupBy(F.col("set").alias("node")).agg(F.min("key").alias("_wanted"))
     wanted = first.join(lists.select("node").distinct(), "node", "left_semi")
-    texts = keep(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id")).select("node", "text"), "texts")
+    texts = docs.select(row_key().alias("_key"), "text").join(wanted, F.col("_key") == F.col("_wanted"))
+    texts = keep(texts.dropDuplicates(["_key"]).select("node", "text"), "texts")
     near = 100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")
     links = spark.createDataFrame([], "u long, v long")
     labels = None
@@ -350,10 +351,23 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """Of each component the document with the smallest doc_id, once; documents without words or id stay."""
-    gone = join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = rows_of(docs).join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti").select("_row.*")
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))
+    """Of each component of rows the one with the smallest doc_id; rows without words stay, once for each doc_id and text.
+
+    Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, stay or go each by their own text.
+    Ids come before null ones; of equal ids that with the smallest hash of its row stays, in every run the same.
+    """
+    found = keep(profile(docs), "sets")
+    me = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "key").alias("_me")
+    rows = found.filter("set is not null").select("set", "key", me)
+    named = rows.groupBy("set").agg(F.min("_me").alias("_me")).join(links(docs, found), F.col("set") == F.col("u"), "left")
+    stay = named.groupBy(F.coalesce("v", "set").alias("root")).agg(F.min("_me").alias("_me")).select(F.col("_me.key").alias("key"))
+    gone = rows.select("key").join(stay, "key", "left_anti").distinct().select(F.col("key").alias("_gone"))
+    # nothing tells rows apart that have neither words nor an id
+    bare = F.col("_row.doc_id").isNull() & (F.translate(F.coalesce("_row.text", F.lit("")), " \t\n\x0b\f\r", "") == "")
+    every = rows_of(docs)
+    left = every.filter(~bare).withColumn("_key", F.xxhash64("_row.doc_id", "_row.text")).join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    once = left.groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return once.select("_row").union(every.filter(bare)).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,29 @@ def test_one_document_of_each_component_stays(clash):
     assert sorted(r.doc_id for r in got.collect()) == sorted(want) and "_gone" in got.columns
 
 
+def test_rows_without_an_id_of_their_own_stay_or_go_by_their_texts(make, clash):
+    base = {x: [f"{x}{k}" for k in range(60)] for x in "abcdef"}
+    text = lambda x, end="": " ".join([*base[x], end]).strip()
+    rows = [
+        (1, text("a"), "p"), (2, text("a", "near"), "p"), (2, text("b"), "p"), (2, text("c"), "q"), (2, text("c"), "p"), (None, text("a", "other"), "p"), (None, text("b"), "p"),
+        (None, text("d"), "p"), (None, text("d"), "p"), (3, text("e"), "p"), (4, text("e", "x"), "p"), (4, None, "p"), (4, "", "p"), (4, "", "p"), (None, None, "p"), (None, " \n", "p"), (None, None, "p"),
+    ]
+    want = Counter([(1, text("a")), (2, text("b")), (2, text("c")), (None, text("d")), (3, text("e")), (4, None), (4, ""), (None, None), (None, " \n"), (None, None)])
+    some = [[(r.doc_id, r.text, r.source) for r in jaccard.one_per_component(d).collect()] for d in (clash(rows), make(rows[::-1], 7))]
+    assert Counter(r[:2] for r in some[0]) == Counter(r[:2] for r in some[1]) == want
+    again = jaccard.one_per_component(make(rows, 2)).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in again) == Counter(some[1])
+
+
+def test_texts_of_one_id_link_by_their_own_words(make):
+    words_ = [f"w{k}" for k in range(60)]
+    half = words_[:30] + [f"z{k}" for k in range(30)]
+    rows = [(1, " ".join(half)), (1, " ".join(words_)), (2, " ".join([*words_, "x"])), (3, " ".join([*half, "y"]))]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.join(make(rows)).collect())
+    assert got == {(1, 1): 2, (2, 1): 1, (3, 1): 1}
+    assert Counter(r.text for r in jaccard.one_per_component(make(rows)).collect()) == Counter(t for i, t in rows if i == 1)
+
+
 def base_figures(t):
     w = WORD.findall(t or "")
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
