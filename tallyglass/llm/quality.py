@@ -13,8 +13,6 @@ from tallyglass.llm.common import table
 NAME = "op7_quality"
 #: Buckets of the two multinomials; the model is two arrays of this length.
 BUCKETS = 1 << 16
-#: At most about so many trusted documents (quality 1) make the target counts; the corpus counts take every document.
-TRUSTED = 200_000
 #: Added to the target count of every bucket and to the count that the corpus lets expect, so that buckets seen a few
 #: times say nothing either way and documents outside the trusted set aren't held against for words of their own.
 SMOOTHING = 20.0
@@ -33,11 +31,9 @@ def _hashed(buf, offs):
     return (h % np.uint64(BUCKETS)).astype(np.int32), first, (pairs % np.uint64(BUCKETS)).astype(np.int32), pair_first
 
 
-def trusted(labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
-    """Ids of documents labelled 1, thinned by a hash of the id where there are more than `bound`."""
-    ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_trusted")).distinct()
-    share = min(1.0, 0.95 * bound / max(1, ids.count()))
-    return ids if share == 1.0 else ids.filter(F.pmod(F.xxhash64("_trusted"), F.lit(1 << 30)) < int(share * (1 << 30)))
+def trusted(labels: DataFrame) -> DataFrame:
+    """Ids of documents labelled 1."""
+    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_trusted")).distinct()
 
 
 def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -58,10 +54,10 @@ def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    ids = trusted(labels)
-    # the side is bounded by TRUSTED ids, some MB
-    marked = docs.select("text", "doc_id").join(F.broadcast(ids), F.col("doc_id") == F.col("_trusted"), "left")
-    parts = marked.select("text", F.col("_trusted").isNotNull().alias("good")).mapInArrow(fold, "bucket int, raw long, target long")
+    # merged at every size, so no side must fit in memory; rows without an id match nothing and would all meet in one task
+    marked = docs.filter("doc_id is not null").select("text", "doc_id").join(trusted(labels).hint("merge"), F.col("doc_id") == F.col("_trusted"), "left")
+    marked = marked.select("text", F.col("_trusted").isNotNull().alias("good")).union(docs.filter("doc_id is null").select("text", F.lit(False)))
+    parts = marked.mapInArrow(fold, "bucket int, raw long, target long")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 

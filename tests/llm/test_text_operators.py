@@ -211,6 +211,13 @@ def test_ratios_follow_their_definition(make, spark):
         assert r.log_ratio == pytest.approx(np.mean([weight[c] for c in cells[r.doc_id]]), abs=1e-8)
 
 
+def test_every_trusted_document_counts(make, spark):
+    labels = spark.range(250_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    rows = [(i * 800, "some words of this kind") for i in range(300)] + [(None, "no id here"), (None, None)]
+    got = quality.counts(make(rows), labels).agg({"raw": "sum", "target": "sum"}).collect()[0]
+    assert (got["sum(target)"], got["sum(raw)"]) == (300 * 9, 300 * 9 + 5)
+
+
 AN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
