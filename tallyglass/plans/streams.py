@@ -10,11 +10,20 @@ from tallyglass.sources import sinks
 from tallyglass.streaming import jobs
 
 
-def stream(t, df, name):
-    """A table written as files and read as a stream: one drained batch, in which every key is put in time order."""
+#: Rows of a file, and files of a batch, of a stream in time order: what one key may bring into a task at once.
+FILE_ROWS, BATCH_FILES = 100_000, 8
+
+
+def stream(t, df, name, order=None):
+    """A table written as files and read as a stream: one drained batch, or, with `order`, several that follow each other in it."""
     path = sinks.scratch(t.spark, name)
-    df.write.parquet(path)
-    s = t.spark.readStream.schema(df.schema).parquet(path)
+    reader = t.spark.readStream.schema(df.schema)
+    if order:
+        jobs.write_ordered(df, path, order, FILE_ROWS)
+        reader = reader.option("maxFilesPerTrigger", BATCH_FILES)
+    else:
+        df.write.parquet(path)
+    s = reader.parquet(path)
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else s
 
 
@@ -31,7 +40,7 @@ def _(t):
 @query("str_2_rolling_budget", """
 SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM events""")
 def _(t):
-    s = stream(t, t.events.select("ts", "event_id", "user_id"), "hits")
+    s = stream(t, t.events.select("ts", "event_id", "user_id"), "hits", ["ts"])
     d, _q = jobs.run(jobs.stateful(s, "user_id", "event_id", F.unix_micros("ts"), jobs.RollingCount(), "used long"), "budget")
     return d.select(F.col("u").alias("event_id"), "used")
 
@@ -68,6 +77,6 @@ def _(t):
 SELECT conv_id, turn, md5(coalesce(string_agg(role || ':' || text, ' | ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '')) AS context_md5 FROM conversations""")
 def _(t):
     said = F.concat("role", F.lit(":"), "text").alias("said")
-    s = stream(t, t.conversations.select("turn", "conv_id", said), "turns")
+    s = stream(t, t.conversations.select("turn", "conv_id", said), "turns", ["turn", "conv_id"])
     d, _q = jobs.run(jobs.stateful(s, "conv_id", "turn", F.col("turn"), jobs.Memory(3), "context string", ["said"]), "memory")
     return d.select(F.col("k").alias("conv_id"), F.col("u").alias("turn"), F.md5("context").alias("context_md5"))

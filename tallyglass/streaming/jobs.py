@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from tallyglass.sources import sinks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_US = 86_400_000_000
+#: Times in one entry of a key's state.
+PACKED = 1 << 16
 
 
 def source(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 8) -> DataFrame:
@@ -22,6 +27,25 @@ def source(spark: SparkSession, path: str, schema: T.StructType, files_per_batch
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def write_ordered(df: DataFrame, path: str, order: list[str], rows: int) -> None:
+    """Writes a table as files of about `rows` rows that a stream takes in the given order; equal keys share a file.
+
+    Streams take files by modification time, so the files get times a second apart; a file system that doesn't keep them
+    is refused.
+    """
+    jvm = df.sparkSession._jvm
+    df.repartitionByRange(max(1, -(-df.count() // rows)), *order).write.parquet(path)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    listed = lambda: sorted((s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda s: int(s.getPath().getName().split("-")[1]))
+    files = listed()
+    start = (int(time.time()) - len(files)) * 1000
+    for i, s in enumerate(files):
+        fs.setTimes(s.getPath(), start + 1000 * i, -1)
+    if [s.getModificationTime() for s in listed()] != [start + 1000 * i for i in range(len(files))]:
+        raise RuntimeError("the file system doesn't keep modification times, which order a stream's files")
+
+
 def run(df: DataFrame, name: str, mode: str = "append") -> tuple[DataFrame, object]:
     """Drain the stream into Parquet and read it back: (frame, query)."""
     spark = df.sparkSession
@@ -63,23 +87,25 @@ class _PerKey(StatefulProcessor):
 
 
 class RollingCount(_PerKey):
-    """How many hits of the key lie within the window that ends at each hit."""
+    """How many hits of the key lie within the window that ends at each hit; hits of one instant see each other.
+
+    The state is the times of the last window, packed.
+    """
 
     def __init__(self, window_us: int = DAY_US):
         self.window_us = window_us
 
     def open(self):
-        self.hits = self.handle.getListState("hits", T.StructType([T.StructField("t", T.LongType())]))
+        self.hits = self.handle.getListState("hits", T.StructType([T.StructField("times", T.BinaryType())]))
 
     def handleInputRows(self, key, rows, timerValues):
         d = self.ordered(rows)
-        live = [h[0] for h in self.hits.get()] if self.hits.exists() else []
-        used, new = [], []
-        for t in d["t"].to_numpy():
-            live = [h for h in live if t - h < self.window_us]
-            live.append(int(t))
-            used.append(len(live))
-        self.hits.put([(h,) for h in live])
+        past = [np.frombuffer(h[0], np.int64) for h in self.hits.get()] if self.hits.exists() else []
+        t = d["t"].to_numpy(np.int64)
+        every = np.sort(np.concatenate([*past, t]), kind="stable")
+        used = np.searchsorted(every, t, "right") - np.searchsorted(every, t - self.window_us, "right")
+        live = every[np.searchsorted(every, every[-1] - self.window_us, "right") :]
+        self.hits.put([(live[i : i + PACKED].tobytes(),) for i in range(0, len(live), PACKED)])
         yield pd.DataFrame({"k": key[0], "u": d["u"].to_numpy(), "used": used})
 
 

@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from tallyglass.operators import history
+from tallyglass.plans import streams
 from tallyglass.sources import sinks
 from tallyglass.streaming import jobs
 
@@ -46,3 +47,14 @@ def test_late_rows_are_dropped_and_counted(spark, t):
     got, q = jobs.run(jobs.daily_windows(s, "service"), "t-daily")
     days = {r["day"].day for r in got.collect()}
     assert jobs.rows_dropped(q) > 0 and 5 in days and not days & set(range(12, 20))
+
+
+def test_a_table_is_streamed_in_order_and_in_parts(spark, t, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 300)
+    monkeypatch.setattr(streams, "BATCH_FILES", 1)
+    e = t.events.select("ts", "event_id", "user_id")
+    e = e.unionAll(e.where("event_id % 3 = 0").withColumn("event_id", -F.col("event_id") - 1))  # hits of one instant
+    s = streams.stream(t, e, "t-ordered", ["ts"])
+    got, q = jobs.run(jobs.stateful(s, "user_id", "event_id", F.unix_micros("ts"), jobs.RollingCount(), "used long"), "t-ordered-budget")
+    want = {r["event_id"]: r["used"] for r in history.rolling_count(e, "user_id", "ts", "event_id").collect()}
+    assert {r["u"]: r["used"] for r in got.collect()} == want and len([p for p in q.recentProgress if p.numInputRows]) > 2
