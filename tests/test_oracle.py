@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
 
 from check import duck, rows_of  # noqa: E402
-from conftest import SMALL  # noqa: E402
+from tests_data import SMALL  # noqa: E402
 
 from tallyglass.plans import load_all  # noqa: E402
 
@@ -36,3 +36,13 @@ def test_entry_and_contract(spark):
     import __spark_entry__ as e
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_no_test_imports_conftest():
+    """The name conftest resolves to whichever of several files pytest met last."""
+    import ast
+    import pathlib
+    for path in pathlib.Path(__file__).parent.rglob("test_*.py"):
+        for node in ast.walk(ast.parse(path.read_text())):
+            names = [node.module] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
+            assert "conftest" not in names, path
