@@ -8,6 +8,7 @@ from importlib import import_module
 
 _MODULES = (
     "suffixes", "mixing", "shards", "quality", "toxicity", "winnow", "credentials", "tokens", "warc", "jaccard",
+    "metric", "spelling", "negatives",
 )
 
 

@@ -18,15 +18,16 @@ QUERIES, SQL = llm.load()
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     got = QUERIES[name](spark, SMALL).toPandas()
-    n = spark.read.parquet(f"{SMALL}/{'pages' if 'warc' in name else 'documents'}.parquet").count()
-    assert len(got) == n
+    if name not in ("op12_spelling", "op13_negatives"):  # these return one row per word, and per anchor and pair
+        n = spark.read.parquet(f"{SMALL}/{'pages' if 'warc' in name else 'embeddings' if 'metric' in name else 'documents'}.parquet").count()
+        assert len(got) == n
     if name in SQL:
         con = duckdb.connect()
-        for t in ("documents", "pages", "benchmark", "labels"):
+        for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
         want = con.sql(SQL[name]).df()
         assert sorted(want.columns) == sorted(got.columns)
-        key = got.columns[0]
+        key = [c for c in ("anchor_id", "positive_id", "rank") if c in got.columns] or got.columns[0]
         a, b = (x[sorted(got.columns)].sort_values(key).reset_index(drop=True).astype(object) for x in (got, want))
         pd.testing.assert_frame_equal(a.where(a.notna(), None), b.where(b.notna(), None), check_dtype=False)
 
