@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.operators import retrieval
+from tallyglass.operators import lexical
 
 
 @dataclass(frozen=True)
@@ -60,8 +60,8 @@ class MetricLayer:
         docs = spark.createDataFrame([(i, m.terms) for i, m in enumerate(self.metrics)],
                                      "id int, text string")
         names = spark.createDataFrame([(i, m.name) for i, m in enumerate(self.metrics)], "doc int, metric string")
-        scores = retrieval.bm25_scores(retrieval.bm25_index(docs, "id", "text"), questions, qkey, qtext)
-        return retrieval.top_ranks(scores.where("score > 0"), k).join(names, "doc").select("query", "metric", "rank")
+        best = lexical.top_k(lexical.build(docs, "id", "text"), questions, qkey, qtext, k)
+        return best.join(names, "doc").select("query", "metric", "rank")
 
 
 SALES = MetricLayer(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,52 +10,9 @@ from pyspark.sql import types as T
 
 from tallyglass import fixed
 from tallyglass.functions import text as tx
+from tallyglass.operators import lexical
 
-K1, B = 1.5, 0.75
 DIM = 512
-# Postings of one token are spread over this many tasks.
-SALTS = 16
-
-
-@dataclass(frozen=True)
-class Index:
-    postings: DataFrame  # doc, token, tf, dl, salt
-    terms: DataFrame  # token, idf
-    shape: DataFrame  # one row: n_docs, avgdl
-
-
-def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, token per occurrence; stems and stop words are plain expressions after the explode."""
-    w = df.select(key, F.explode(tx.raw_words(F.col(text))).alias("_w")).select(key, F.lower("_w").alias("_w"))
-    w = w.select(key, tx.stem(F.col("_w")).alias("token"))
-    return w.where(~tx.is_stopword(F.col("token")))
-
-
-def bm25_index(docs: DataFrame, key: str, text: str) -> Index:
-    """Term counts per document. Documents without a token count in N and in the mean length."""
-    tf = token_rows(docs, key, text).groupBy(F.col(key).alias("doc"), "token").agg(F.count("*").alias("tf"))
-    dl = tf.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    n = docs.agg(F.count("*").alias("n_docs"))
-    shape = n.crossJoin(dl.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("_sum"))).select(
-        "n_docs", (F.col("_sum") / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # The shape is a single row.
-    terms = df.crossJoin(shape).select("token", "df", idf.alias("idf"), "avgdl")
-    postings = tf.join(dl, "doc").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    return Index(postings, terms, shape)
-
-
-def bm25_scores(index: Index, queries: DataFrame, key: str, text: str) -> DataFrame:
-    """query, doc, score of every matching pair; repeated query words count repeatedly."""
-    q = token_rows(queries, key, text).groupBy(F.col(key).alias("query"), "token").agg(F.count("*").alias("qtf"))
-    q = q.join(index.terms, "token")
-    # A frequent token's postings sit in SALTS slices; the short query side is repeated for each.
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    j = index.postings.join(q, ["token", "salt"])
-    tf = F.col("tf").cast("double")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return j.groupBy("query", "doc").agg(F.sum(F.col("qtf") * part).alias("score"))
 
 
 def top_ranks(scores: DataFrame, k: int) -> DataFrame:
@@ -70,20 +25,30 @@ def top_ranks(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
-def pad_unmatched(scores: DataFrame, queries: DataFrame, qkey: str, docs: DataFrame, dkey: str, k: int) -> DataFrame:
-    """Add zero scores so that every query has k documents.
+def pad_unmatched(scores: DataFrame, queries: DataFrame, qkey: str, docs: DataFrame, dkey: str, k: int, db: str | None = None) -> DataFrame:
+    """Add zero scores so that every query has k documents, where there are so many outside its own database.
 
     A query with m matches lacks k - m, and at most m of the k lowest ids are
-    matched: the k lowest ids always suffice.
+    matched: the k lowest ids of other databases always suffice.
     """
-    first = docs.select(F.col(dkey).alias("doc")).orderBy("doc").limit(k).agg(F.collect_list("doc").alias("_ids"))
-    zero = queries.select(F.col(qkey).alias("query")).crossJoin(first).select("query", F.explode("_ids").alias("doc"))
-    return scores.unionByName(zero.withColumn("score", F.lit(0.0))).groupBy("query", "doc").agg(F.max("score").alias("score"))
+    own = lambda: F.col(db).cast("string") if db else F.lit(None).cast("string")
+    d = docs.select(F.col(dkey).alias("doc"), own().alias("_db")).where("doc IS NOT NULL")
+    low = lambda of: F.row_number().over(Window.partitionBy(of).orderBy("doc"))
+    # k rows of each database, and of these k for each database that asks
+    first = d.withColumn("_r", low("_db")).where(F.col("_r") <= k).drop("_r")
+    q = queries.select(F.col(qkey).alias("query"), own().alias("_own"))
+    askers = q.select("_own").distinct()
+    pairs = askers.crossJoin(first)
+    if db:
+        pairs = pairs.where(~F.col("_db").eqNullSafe(F.col("_own")))
+    lists = pairs.withColumn("_r", low("_own")).where(F.col("_r") <= k).groupBy(F.col("_own").alias("_o")).agg(F.collect_list("doc").alias("_ids"))
+    zero = q.join(lists, F.col("_own").eqNullSafe(F.col("_o"))).select("query", F.explode("_ids").alias("doc"), F.lit(0.0).alias("score"))
+    return scores.select("query", "doc", "score").unionByName(zero).groupBy("query", "doc").agg(F.max("score").alias("score"))
 
 
 def hashed_weights(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     """id, dim, weight: signed hashed words (each time) and trigrams (once), unit length."""
-    w = token_rows(df, key, text).select(F.col(key).alias("id"), F.concat(F.lit("w:"), "token").alias("f"))
+    w = lexical.token_rows(df, [key], text).select(F.col(key).alias("id"), F.concat(F.lit("w:"), "token").alias("f"))
     g = df.select(F.col(key).alias("id"), F.explode(tx.trigrams(F.col(text))).alias("_g")).select(
         "id", F.concat(F.lit("c:"), "_g").alias("f"))
     h = F.md5("f")
@@ -114,10 +79,11 @@ CORPUS_BLOCK = 20_000
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None = None, by: str | None = None,
-                sizes: tuple[int, int] | None = None) -> DataFrame:
-    """query, doc, score, rank: the k largest dot products per query, exact.
+                sizes: tuple[int, int] | None = None, apart: str | None = None) -> DataFrame:
+    """query, doc, score, rank: the k largest dot products per query, exact: every pair of blocks is multiplied.
 
-    Both sides are (id, vec), optionally with a column `by` that must agree.
+    The choice for small corpora and for measuring; `vectors.search` reads an index instead.
+    Both sides are (id, vec), optionally with a column `by` that must agree, or `apart` that must not.
     Ids are hashed into blocks of bounded size; each pair of blocks is one matrix
     product that keeps k rows per query, and the survivors meet in one window.
     No task holds more than one block of each side, however skewed the data.
@@ -126,11 +92,12 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, floor: float | No
     nq, nc = sizes or (queries.count(), corpus.count())
     a, b = max(1, -(-nq // QUERY_BLOCK)), max(1, -(-nc // CORPUS_BLOCK))
     group = F.col(by).cast("string") if by else F.lit("")
+    other = F.coalesce(F.concat(F.lit("="), F.col(apart).cast("string")), F.lit("")) if apart else F.lit("")
     q = queries.select(F.col("id").alias("qid"), F.col("vec").cast("array<double>").alias("qvec"), group.alias("grp"),
-                       F.pmod(F.xxhash64("id"), F.lit(a)).cast("int").alias("qb"),
+                       other.alias("own"), F.pmod(F.xxhash64("id"), F.lit(a)).cast("int").alias("qb"),
                        F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("cb"))
     c = corpus.select(F.col("id").alias("doc"), F.col("vec").cast("array<double>").alias("vec"), group.alias("grp"),
-                      F.pmod(F.xxhash64("id"), F.lit(b)).cast("int").alias("cb"),
+                      other.alias("own"), F.pmod(F.xxhash64("id"), F.lit(b)).cast("int").alias("cb"),
                       F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("qb"))
     schema = T.StructType([T.StructField("query", queries.schema["id"].dataType), T.StructField("doc", corpus.schema["id"].dataType),
                            T.StructField("score", T.DoubleType())])
@@ -140,9 +107,11 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, floor: float | No
             return pd.DataFrame({"query": [], "doc": [], "score": []}).astype({"score": "float64"})
         right = right.sort_values("doc", kind="stable")
         m = np.stack(left["qvec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
-        docs, out = right["doc"].to_numpy(), []
-        for i, qid in enumerate(left["qid"].to_numpy()):
+        docs, owner, out = right["doc"].to_numpy(), right["own"].to_numpy(), []
+        for i, (qid, own) in enumerate(zip(left["qid"].to_numpy(), left["own"].to_numpy())):
             row = np.round(m[i], 9)
+            if apart:
+                row[owner == own] = -np.inf
             if floor is not None:
                 keep = np.flatnonzero(row >= floor)
             elif len(row) > k:
@@ -150,6 +119,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, floor: float | No
                 keep = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
             else:
                 keep = np.arange(len(row))
+            keep = keep[row[keep] > -np.inf]
             keep = keep[np.argsort(-row[keep], kind="stable")][:k]
             out.append(pd.DataFrame({"query": qid, "doc": docs[keep], "score": row[keep]}))
         return pd.concat(out, ignore_index=True)
@@ -166,23 +136,26 @@ def rrf(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     return every.groupBy("query", "doc").agg(F.sum(1.0 / (k + F.col("rank") + 1)).alias("score"))
 
 
-def hybrid(docs: DataFrame, dkey: str, dtext: str, queries: DataFrame, qkey: str, qtext: str, depth: int = 200) -> DataFrame:
-    """query, doc, score: BM25 and hashed-vector rankings of `depth`, fused."""
-    scores = bm25_scores(bm25_index(docs, dkey, dtext), queries, qkey, qtext)
-    words = top_ranks(pad_unmatched(scores, queries, qkey, docs, dkey, depth), depth)
+def hybrid(docs: DataFrame, dkey: str, dtext: str, queries: DataFrame, qkey: str, qtext: str, depth: int, db: str | None = None,
+           index: lexical.Index | None = None) -> DataFrame:
+    """query, doc, score: BM25 and hashed-vector rankings of `depth`, fused.
+
+    A document counts in a list only within its first `depth` ranks, so the fused order is that of the whole lists for
+    documents inside both. Documents of the query's own `db` enter neither list.
+    """
+    index = index or lexical.build(docs, dkey, dtext, db)
+    scores = lexical.top_k(index, queries, qkey, qtext, depth, db)
+    words = top_ranks(pad_unmatched(scores, queries, qkey, docs, dkey, depth, db), depth)
+    vec = lambda d, key, text: embed(d, key, text).join(d.select(F.col(key).alias("id"), (F.col(db) if db else F.lit("")).alias("db")), "id")
     # Every text has a trigram, so the counts of the inputs are those of the vectors.
-    vectors = vector_topk(embed(queries, qkey, qtext), embed(docs, dkey, dtext), depth, sizes=(queries.count(), docs.count()))
-    return rrf([words, vectors])
+    near = vector_topk(vec(queries, qkey, qtext), vec(docs, dkey, dtext), depth, sizes=(queries.count(), docs.count()), apart="db" if db else None)
+    return rrf([words, near])
 
 
-def search(docs: DataFrame, dkey: str, dtext: str, queries: DataFrame, qkey: str, qtext: str, k: int = 3,
-           db: str | None = None, depth: int = 200) -> DataFrame:
+def search(docs: DataFrame, dkey: str, dtext: str, queries: DataFrame, qkey: str, qtext: str, k: int, depth: int, db: str | None = None,
+           index: lexical.Index | None = None) -> DataFrame:
     """The k best documents per query, never from the query's own database."""
-    fused = hybrid(docs, dkey, dtext, queries, qkey, qtext, depth)
-    if db:
-        d = docs.select(F.col(dkey).alias("doc"), F.col(db).alias("_db"))
-        own = queries.select(F.col(qkey).alias("query"), F.col(db).alias("_own"))
-        fused = fused.join(d, "doc").join(own, "query").where(~F.col("_db").eqNullSafe(F.col("_own")))
+    fused = hybrid(docs, dkey, dtext, queries, qkey, qtext, depth, db, index)
     return top_ranks(fused, k).select("query", "doc", "rank", "score")
 
 
@@ -203,11 +176,18 @@ def guard_memory(items: DataFrame, key: str) -> DataFrame:
     return items.withColumn(key, F.when(hit, fail).otherwise(F.col(key)))
 
 
-def nearest_cached(questions: DataFrame, cached: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """questions (id, text, version) against cached (id, text, version, cost_usd): best hit of the same version."""
+def nearest_cached(questions: DataFrame, cached: DataFrame, threshold: float = 0.95, exact: bool = False) -> DataFrame:
+    """questions (id, text, version) against cached (id, text, version, cost_usd): best hit of the same version.
+
+    The cache is searched through a vector index, which misses nothing at or above the threshold; `exact` compares with
+    every cached question of the version.
+    """
+    from tallyglass.operators import vectors
     vec = lambda d: embed(d, "id", "text").join(d.select("id", "version"), "id")
-    sizes = (questions.count(), cached.count())
-    best = vector_topk(vec(questions), vec(cached), 1, floor=threshold, by="version", sizes=sizes)
+    if exact:
+        best = vector_topk(vec(questions), vec(cached), 1, floor=threshold, by="version", sizes=(questions.count(), cached.count()))
+    else:
+        best = vectors.search(vectors.build(vec(cached), by="version"), vec(questions), 1, floor=threshold, by="version")
     hit = best.select(F.col("query").alias("id"), F.col("doc").alias("cached_id"), F.col("score").alias("similarity"))
     cost = cached.select(F.col("id").alias("cached_id"), "cost_usd")
     return questions.select("id", "version").join(hit, "id", "left").join(cost, "cached_id", "left").select(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyglass.operators import metrics, profile, retrieval, values
+from tallyglass.operators import lexical, metrics, profile, retrieval, values, vectors
 from tallyglass.plans import sqltext as S
 from tallyglass.plans.common import money, ratio
 from tallyglass.plans.registry import query
@@ -31,14 +31,15 @@ def _vec_sql(name, table, key):
 
 @query("ret_1_bm25_index", f"WITH {_BM25} SELECT token, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf, (SELECT round(avgdl, 6) FROM sh) AS avgdl FROM idf")
 def _(t):
-    ix = retrieval.bm25_index(t.documents, "doc_id", "text")
+    ix = lexical.build(t.documents, "doc_id", "text")
     return ix.terms.select("token", "df", ratio("idf").alias("idf"), ratio("avgdl").alias("avgdl"))
 
 
-@query("ret_2_bm25_scores", f"WITH {_BM25} SELECT query, doc, round(score, 6) AS score FROM bm")
+@query("ret_2_bm25_scores", f"""WITH {_BM25}, r AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) - 1 AS rank FROM bm)
+SELECT query, doc, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 10""")
 def _(t):
-    ix = retrieval.bm25_index(t.documents, "doc_id", "text")
-    return retrieval.bm25_scores(ix, t.benchmark, "item_id", "text").select("query", "doc", ratio("score").alias("score"))
+    ix = lexical.build(t.documents, "doc_id", "text")
+    return lexical.top_k(ix, t.benchmark, "item_id", "text", 10).select("query", "doc", ratio("score").alias("score"), "rank")
 
 
 @query("ret_3_hashing_embedding", f"WITH {_vec_sql('v', 'documents', 'doc_id')} SELECT id, dim, round(weight, 6) AS weight FROM v")
@@ -66,6 +67,22 @@ def _(t):
     return top.select("query", "doc", ratio("score").alias("score"), "rank")
 
 
+def vector_index(t):
+    return vectors.build(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
+
+
+@query("ret_4_index_content", """
+SELECT CAST(count(*) AS BIGINT) AS n_vectors, CAST(count(DISTINCT vec_id) AS BIGINT) AS n_ids, round(sum(embedding[1]::DOUBLE), 6) AS first_sum FROM embeddings WHERE embedding IS NOT NULL""")
+def _(t):
+    return vector_index(t).rows.agg(F.count("*").alias("n_vectors"), F.count_distinct("id").alias("n_ids"), ratio(F.sum(F.col("vec")[0])).alias("first_sum"))
+
+
+@query("ret_4_index_recall")
+def _(t):
+    asked = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return vectors.recall_report(vector_index(t), asked, 10).select("n_queries", "n_true", "lists", "probes", ratio("recall").alias("recall"))
+
+
 @query("ret_5_rank_fusion", """
 WITH a AS (SELECT p_brand AS query, p_partkey AS doc, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) - 1 AS rank FROM part),
 b AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) - 1 FROM part)
@@ -80,17 +97,16 @@ def _(t):
 
 @query("ret_6_hybrid_search", f"""
 WITH {_BM25}, {_vec_sql('dv', 'documents', 'doc_id')}, {_vec_sql('qv', 'benchmark', 'item_id')},
-every AS (SELECT item_id AS query, doc_id AS doc FROM benchmark, documents),
+every AS (SELECT item_id AS query, doc_id AS doc FROM benchmark, documents WHERE source IS DISTINCT FROM 'src' || item_id % 20),
 r1 AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(coalesce(score, 0), 9) DESC, doc) - 1 AS rank FROM every LEFT JOIN bm USING (query, doc)),
 dot AS (SELECT qv.id AS query, dv.id AS doc, sum(qv.weight * dv.weight) AS score FROM qv JOIN dv USING (dim) GROUP BY 1, 2),
 r2 AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(coalesce(score, 0), 9) DESC, doc) - 1 AS rank FROM every LEFT JOIN dot USING (query, doc)),
 f AS (SELECT query, doc, sum(1.0 / (61 + rank)) AS score FROM (SELECT * FROM r1 WHERE rank < 200 UNION ALL SELECT * FROM r2 WHERE rank < 200) GROUP BY 1, 2),
-x AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) - 1 AS rank FROM f JOIN documents ON doc = doc_id
- WHERE source <> 'src' || query % 20)
+x AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) - 1 AS rank FROM f)
 SELECT query, doc, CAST(rank AS INTEGER) AS rank, round(score, 9) AS score FROM x WHERE rank < 3""")
 def _(t):
     q = t.benchmark.withColumn("source", F.concat(F.lit("src"), F.col("item_id") % 20))
-    r = retrieval.search(t.documents, "doc_id", "text", q, "item_id", "text", 3, "source")
+    r = retrieval.search(t.documents, "doc_id", "text", q, "item_id", "text", 3, 200, "source")
     return r.select("query", "doc", "rank", F.round("score", 9).alias("score"))
 
 

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.functions import tails
-from tallyglass.operators import (anomaly, charts, claims, cluster, compare, evaluate, forecast, history, logs, metrics, paired, pareto, router,
-                                  privacy, profile, quality, retrieval, sampling, stats, summary, ties, values)
+from tallyglass.operators import (anomaly, charts, claims, cluster, compare, evaluate, forecast, history, lexical, logs, metrics, paired, pareto, router,
+                                  privacy, profile, quality, retrieval, sampling, stats, summary, ties, values, vectors)
 from tallyglass.session import cut
 
 
@@ -129,7 +129,7 @@ def test_hybrid_search_and_leaks(spark):
                                  "id int, text string, db string")
     q = spark.createDataFrame([(1, "How many singers exist?", "none"), (2, "How many singers exist?", "concert")], "id int, text string, db string")
     got = {}
-    for r in retrieval.search(docs, "id", "text", q, "id", "text", 2, "db").orderBy("rank").collect():
+    for r in retrieval.search(docs, "id", "text", q, "id", "text", 2, 50, "db").orderBy("rank").collect():
         got.setdefault(r["query"], []).append(r["doc"])
     assert set(got[1]) == {1, 3} and got[2][0] == 3
     ids = spark.createDataFrame([("spider-dev-12",), ("bird-minidev-3",), ("chk_001",), ("user-1",)], "id string")
@@ -142,7 +142,7 @@ def test_bm25_matches_the_formula(spark):
     docs = {1: "red bolt red", 2: "blue gear", 3: "red gear gear wheel"}
     d = spark.createDataFrame(list(docs.items()), "id int, text string")
     q = spark.createDataFrame([(7, "red gear red")], "id int, text string")
-    got = {r["doc"]: r["score"] for r in retrieval.bm25_scores(retrieval.bm25_index(d, "id", "text"), q, "id", "text").collect()}
+    got = {r["doc"]: r["score"] for r in lexical.top_k(lexical.build(d, "id", "text", shard_docs=1), q, "id", "text", 5).collect()}
     toks = {k: v.split() for k, v in docs.items()}
     avg = sum(map(len, toks.values())) / 3
     for k, ws in toks.items():
@@ -154,6 +154,70 @@ def test_bm25_matches_the_formula(spark):
         assert got.get(k, 0.0) == pytest.approx(s)
 
 
+def test_lexical_top_k_over_shards_and_groups(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 60), p=np.arange(40, 0, -1) / 820)), f"g{i % 4}" if i % 5 else None) for i in range(300)]
+    rows += [(300 + i, rows[7][1], "g1") for i in range(5)] + [(400, None, "g1"), (None, "w1 w2", "g1")]
+    asked = [(i, " ".join(rng.choice(words, 6)), f"g{i % 4}" if i % 3 else None) for i in range(20)] + [(20, None, "g1"), (21, "unknown", "g1")]
+    d, q = spark.createDataFrame(rows, "id long, text string, db string"), spark.createDataFrame(asked, "id int, text string, db string")
+    docs = {i: ((t or "").split(), g) for i, t, g in rows if i is not None}
+    n, avg = len(docs), sum(len(w) for w, _ in docs.values()) / len(docs)
+    df = {w: sum(w in x for x, _ in docs.values()) for w in words}
+    for own in (None, "db"):
+        got = {}
+        for r in lexical.top_k(lexical.build(d, "id", "text", own, shard_docs=40), q, "id", "text", 7, own).collect():
+            got.setdefault(r["query"], []).append((r["rank"], r["doc"]))
+        want = {}
+        for i, text, g in asked:
+            score = {}
+            for k, (ws, dg) in docs.items():
+                if own and dg == g:
+                    continue
+                s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / avg)) for w in (text or "").split() if w in ws)
+                if s:
+                    score[k] = s
+            if score:
+                want[i] = list(enumerate(sorted(score, key=lambda k: (-round(score[k], 9), k))[:7]))
+        assert {k: sorted(v) for k, v in got.items()} == want
+    plan = lexical.top_k(lexical.build(d, "id", "text"), q, "id", "text", 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("FlatMapCoGroupsInPandas") > plan.index("Window") and "sum(" not in plan.split("FlatMapCoGroupsInPandas")[0]
+
+
+def test_blocks_that_cannot_reach_the_best_are_not_read():
+    n = 4096
+    tf = np.ones(n, "<i4")
+    tf[:64] = 50
+    norm = np.full(n, 1.5)
+    block = lambda a, b, t: (a, b - 1, float(t[a:b].max()) * 2.5 / (t[a:b].max() + 1.5), np.arange(a, b, dtype="<i4").tobytes(), t[a:b].tobytes())
+    lists = [(1.0, [block(i, i + 64, tf) for i in range(0, n, 64)]), (2.0, [block(0, 64, tf)])]
+    at, score, read = lexical.best_of_shard(lists, norm, 5, np.ones(n, bool))
+    assert set(at) == set(range(64)) and read == 2 and score[0] == pytest.approx(3 * 50 * 2.5 / 51.5)
+    assert lexical.best_of_shard(lists, norm, n, np.ones(n, bool))[2] == 65
+
+
+def test_vector_index_keeps_its_recall(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(30, 16))
+    x = base[rng.integers(0, 30, 3000)] + 0.4 * rng.normal(size=(3000, 16))
+    rows = [(i, r.tolist(), i % 2) for i, r in enumerate(x)] + [(3000, None, 0), (3001, [0.0] * 16, 1), (None, [1.0] * 16, 1)]
+    c = spark.createDataFrame(rows, "id long, vec array<double>, side int")
+    ix = vectors.build(c, by="side", recall=0.95, k=10, sample=500)
+    assert ix.rows.count() == ix.rows.select("id").distinct().count() == 3001
+    q = c.where("id % 50 = 0 AND vec IS NOT NULL")
+    assert vectors.recall_report(ix, q, 10, by="side").first()["recall"] >= 0.9 and ix.probes < len(ix.centroids)
+    got = vectors.search(ix, q, 10, by="side", probes=len(ix.centroids)).collect()
+    assert all(r["query"] % 2 == r["doc"] % 2 for r in got)
+    for i in range(0, 3000, 500):
+        own = np.arange(i % 2, 3000, 2)
+        assert {r["doc"] for r in got if r["query"] == i} == set(own[np.argsort(-(x[own] @ x[i]))[:10]].tolist())
+    assert vectors.search(ix, q, 3, floor=1e9, by="side").count() == 0
+    high = vectors.search(ix, q, 5000, floor=20.0, by="side").collect()
+    assert {(r["query"], r["doc"]) for r in high} == {(i, int(j)) for i in range(0, 3000, 50) for j in np.flatnonzero((np.round(x @ x[i], 9) >= 20) & (np.arange(3000) % 2 == i % 2))}
+    none = vectors.build(c.limit(0), by="side")
+    assert vectors.search(none, q, 3, by="side").count() == 0
+
+
 def test_vector_top_k_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
     monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 20)
