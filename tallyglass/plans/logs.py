@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallyglass import fixed
 from tallyglass.operators import logs
 from tallyglass.operators.profile import union
+from tallyglass.plans import sqltext as S
 from tallyglass.plans.common import ratio
 from tallyglass.plans.registry import query
 
@@ -100,7 +101,17 @@ def _(t):
     return d.select("service", "window_runs", "baseline_runs", *[ratio(c).alias(c) for c in num], "slow", "dear")
 
 
-@query("log_6_drift_alerts")
+@query("log_6_drift_alerts", f"""WITH {_DRIFT},
+g AS (SELECT service, count(*) FILTER (WHERE w = 'cur') AS cn, count(*) FILTER (WHERE w = 'base') AS bn, count(*) FILTER (WHERE w = 'cur' AND passed) AS ck,
+ avg(passed::INT) FILTER (WHERE w = 'base') AS bp, quantile_cont(latency_s, .95) FILTER (WHERE w = 'cur') AS c95, quantile_cont(latency_s, .95) FILTER (WHERE w = 'base') AS b95,
+ avg(cost_usd) FILTER (WHERE w = 'cur') AS cc, avg(cost_usd) FILTER (WHERE w = 'base') AS bc FROM w WHERE w IS NOT NULL GROUP BY 1),
+h AS (SELECT service, cn AS n, ck AS k FROM g WHERE cn > 0), e AS ({S.rate_ends('h', 'service')}),
+j AS (SELECT *, cn >= 3 AND bn >= 3 AS enough FROM g LEFT JOIN e USING (service)),
+a AS (SELECT *, concat_ws('; ', CASE WHEN enough AND hi < bp THEN printf('pass rate dropped: %.1f%% [%.1f%%, %.1f%%] vs baseline %.1f%%', ck / cn * 100, lo * 100, hi * 100, bp * 100) END,
+ CASE WHEN enough AND c95 > 1.5 * b95 THEN printf('p95 latency %.1fs vs baseline %.1fs', c95, b95) END,
+ CASE WHEN enough AND bc > 0 AND cc > 1.5 * bc THEN printf('cost per question $%.5f vs baseline $%.5f', cc, bc) END) AS alerts FROM j)
+SELECT service, CAST(cn AS BIGINT) AS window_runs, CAST(bn AS BIGINT) AS baseline_runs, round(hi, 6) AS cur_hi, alerts,
+ CASE WHEN NOT enough THEN 'insufficient data' WHEN alerts <> '' THEN 'alert' ELSE 'ok' END AS status FROM a""")
 def _(t):
     d = logs.drift(live_runs(t), ["service"], min_runs=3)
     return d.select("service", "window_runs", "baseline_runs", ratio("cur_hi").alias("cur_hi"), F.array_join("alerts", "; ").alias("alerts"), "status")

@@ -34,3 +34,18 @@ def trigrams(c: str) -> str:
 
 def plain_decimal(v: str) -> str:
     return f"regexp_replace(CAST(CAST(round({v}, 4) AS DECIMAL(38, 4)) AS VARCHAR), '\\.?0+$', '')"
+
+
+def rate_ends(rel: str, keys: str) -> str:
+    """keys, lo, hi of relation `rel` (keys, n, k): quantiles of Binomial(n, k/n)/n by summing its probabilities."""
+    return (f"SELECT {keys}, min(i) FILTER (WHERE c >= 0.025 - 1e-12) / any_value(n) AS lo, min(i) FILTER (WHERE c >= 0.975 - 1e-12) / any_value(n) AS hi FROM ("
+            f"SELECT {keys}, n, i, sum(m) OVER (PARTITION BY {keys} ORDER BY i) AS c FROM ("
+            f"SELECT {keys}, n, i, CASE WHEN k = 0 THEN (i = 0)::INT WHEN k = n THEN (i = n)::INT ELSE "
+            f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(k / n) + (n - i) * ln(1 - k / n)) END AS m "
+            f"FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM {rel}))) GROUP BY {keys}")
+
+
+def integral(rel: str, keys: str, f: str, panels: int = 2000) -> str:
+    """keys, area of relation `rel` (keys, top, parameters): Simpson's rule for f, an expression of x, from 0 to top."""
+    return (f"SELECT {keys}, any_value(top) / {6 * panels} * sum((CASE WHEN j = 0 OR j = {2 * panels} THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * {f}) AS area "
+            f"FROM (SELECT *, j * top / {2 * panels} AS x FROM (SELECT *, unnest(range(0, {2 * panels + 1})) AS j FROM {rel})) GROUP BY {keys}")

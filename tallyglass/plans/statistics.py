@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyglass.operators import paired, stats
+from tallyglass.plans import sqltext as S
 from tallyglass.plans.common import ratio
 from tallyglass.plans.registry import query
 
@@ -37,7 +38,15 @@ def _(t):
     return stats.skewness(e).select("column", "n", "skew", "verdict")
 
 
-@query("st_2_skew_test")
+@query("st_2_skew_test", f"""
+WITH m AS ({_each(LINE_MEASURES, """SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n, skewness({c}) AS sk FROM lineitem""")}),
+g AS (SELECT *, n::DOUBLE AS d, sk * (n - 2) / sqrt(n::DOUBLE * (n - 1)) * sqrt((n + 1.0::DOUBLE) * (n + 3) / (6 * (n - 2.0::DOUBLE))) AS y FROM m),
+b AS (SELECT *, 3 * (d * d + 27 * d - 70) * (d + 1) * (d + 3) / ((d - 2) * (d + 5) * (d + 7) * (d + 9)) AS beta FROM g),
+z AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2 FROM b),
+e AS (SELECT "column", n, sk, least(40, abs(asinh(CASE WHEN y = 0 THEN 1 ELSE y END / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)))) AS top FROM z),
+a AS ({S.integral('e', '"column"', 'exp(-x * x / 2) * sqrt(2 / pi())')})
+SELECT "column", n, round(sk, 4) AS skew, abs(round(1 - area, 6)) AS p_value,
+ CASE WHEN abs(sk) < 0.5 THEN 'symmetric' WHEN abs(sk) < 1 THEN 'moderate' ELSE 'high' END AS verdict FROM e JOIN a USING ("column")""")
 def _(t):
     return stats.skewness(t.lineitem, LINE_MEASURES).select("column", "n", "skew", ratio("p_value").alias("p_value"), "verdict")
 
@@ -54,7 +63,17 @@ def _(t):
     return stats.effect_size(t.lineitem, "l_returnflag", "l_extendedprice", "A", "R", ["l_linestatus"])
 
 
-@query("st_4_correlation_test")
+_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS r, CAST(count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS BIGINT) AS n FROM lineitem"
+                           for a, b in stats.pairs(LINE_MEASURES))
+
+
+@query("st_4_correlation_test", f"""
+WITH c AS ({_PAIRS}), t AS (SELECT *, n - 2.0::DOUBLE AS v, least(60, abs(r) * sqrt((n - 2) / (1 - r * r))) AS top FROM c),
+a AS ({S.integral('t', 'column_a, column_b', '2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2) - (v + 1) / 2 * ln(1 + x * x / v)) / sqrt(v * pi())')}),
+p AS (SELECT *, greatest(0, 1 - area) AS p FROM t JOIN a USING (column_a, column_b))
+SELECT column_a, column_b, round(r, 4) AS r, round(p, 6) AS p_value, n,
+ CASE WHEN abs(r) < 0.1 THEN 'negligible' WHEN abs(r) < 0.3 THEN 'weak' WHEN abs(r) < 0.6 THEN 'moderate' ELSE 'strong' END AS verdict,
+ p < 0.05 AND abs(r) >= 0.1 AS significant FROM p""")
 def _(t):
     return stats.correlation_test(t.lineitem, LINE_MEASURES)
 
@@ -78,7 +97,12 @@ def outcomes(t):
     return t.events.withColumn("passed", F.col("event_type") != "error")
 
 
-@query("st_6_bootstrap_rate")
+_OUTCOMES = "o AS (SELECT user_id, event_type <> 'error' AS passed, strftime(ts, '%Y-%m-%d') AS day FROM events)"
+
+
+@query("st_6_bootstrap_rate", f"""
+WITH {_OUTCOMES}, g AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE passed) AS k FROM o GROUP BY 1), e AS ({S.rate_ends('g', 'user_id')})
+SELECT user_id, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS passes, round(k / n, 6) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi FROM g JOIN e USING (user_id)""")
 def _(t):
     r = paired.rates(outcomes(t), ["user_id"], "passed")
     return r.select("user_id", "n", "passes", *[ratio(c).alias(c) for c in ("point", "lo", "hi")])
@@ -91,7 +115,16 @@ def labelled(t):
     return paired.paired(q, x, ["doc_id"], "passed")
 
 
-@query("st_7_paired_delta")
+# All ways in which n steps can fall into worse, same and better, with their probabilities.
+@query("st_7_paired_delta", """
+WITH g AS (SELECT count(*) AS n, count(*) FILTER (WHERE quality = 1 AND toxic <> 1) / count(*) AS w, count(*) FILTER (WHERE quality <> 1 AND toxic = 1) / count(*) AS b FROM labels),
+s AS (SELECT *, unnest(range(0, n + 1)) AS nb FROM g), c AS (SELECT *, unnest(range(0, n - nb + 1)) AS nw FROM s),
+m AS (SELECT n, nb - nw AS d, sum(exp(lgamma(n + 1) - lgamma(nb + 1) - lgamma(nw + 1) - lgamma(n - nb - nw + 1) + CASE WHEN nb = 0 THEN 0 ELSE nb * ln(b) END
+  + CASE WHEN nw = 0 THEN 0 ELSE nw * ln(w) END + CASE WHEN nb + nw = n THEN 0 ELSE (n - nb - nw) * ln(1 - b - w) END)) AS m FROM c
+  WHERE (b > 0 OR nb = 0) AND (w > 0 OR nw = 0) AND (b + w < 1 OR nb + nw = n) GROUP BY 1, 2),
+q AS (SELECT n, d, sum(m) OVER (ORDER BY d) AS c FROM m)
+SELECT CAST(any_value(q.n) AS BIGINT) AS n_paired, round(any_value(b - w), 6) AS delta, round(min(d) FILTER (WHERE c >= 0.025 - 1e-12) / any_value(q.n), 6) AS delta_lo,
+ round(min(d) FILTER (WHERE c >= 0.975 - 1e-12) / any_value(q.n), 6) AS delta_hi FROM q, g""")
 def _(t):
     p = paired.paired_test(labelled(t))
     return p.select("n_paired", *[ratio(c).alias(c) for c in ("delta", "delta_lo", "delta_hi")])
@@ -105,7 +138,11 @@ def _(t):
     return pairs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
 
 
-@query("st_8_mcnemar_by_source")
+@query("st_8_mcnemar_by_source", """
+WITH g AS (SELECT lang, count(*) AS n_paired, count(*) FILTER (WHERE quality = 1 AND toxic <> 1) AS x, count(*) FILTER (WHERE quality <> 1 AND toxic = 1) AS y FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+i AS (SELECT *, unnest(range(0, least(x, y) + 1)) AS i FROM g)
+SELECT lang, CAST(any_value(n_paired) AS BIGINT) AS n_paired, CAST(any_value(x) AS BIGINT) AS only_base, CAST(any_value(y) AS BIGINT) AS only_this,
+ round(least(1.0::DOUBLE, 2 * sum(exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2)))), 9) AS mcnemar_p FROM i GROUP BY lang""")
 def _(t):
     pairs = labelled(t).join(t.documents.select("doc_id", "lang"), "doc_id")
     p = paired.paired_test(pairs, ["lang"])
@@ -119,7 +156,11 @@ def _(t):
         "event_type", ratio("p50").alias("p50"), ratio("p95").alias("p95"))
 
 
-@query("st_10_gate")
+@query("st_10_gate", f"""
+WITH {_OUTCOMES}, g AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE passed) AS k FROM o WHERE day >= '2024-01-24' GROUP BY 1), e AS ({S.rate_ends('g', 'user_id')}),
+b AS (SELECT user_id, avg(passed::INT) AS baseline FROM o WHERE day < '2024-01-24' GROUP BY 1)
+SELECT user_id, CAST(n AS BIGINT) AS n, round(k / n, 6) AS point, round(hi, 6) AS hi, round(baseline, 6) AS baseline,
+ CASE WHEN baseline IS NULL THEN 'SKIPPED' WHEN hi >= baseline THEN 'PASS' ELSE 'FAIL' END AS verdict FROM g JOIN e USING (user_id) LEFT JOIN b USING (user_id)""")
 def _(t):
     day = F.date_format("ts", "yyyy-MM-dd")
     o = outcomes(t).withColumn("day", day)

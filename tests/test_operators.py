@@ -1,6 +1,7 @@
 """Operators against brute force and hand-computed cases."""
 
 import math
+from fractions import Fraction
 import random
 
 import numpy as np
@@ -154,6 +155,25 @@ def test_bm25_matches_the_formula(spark):
         assert got.get(k, 0.0) == pytest.approx(s)
 
 
+def test_interval_ends_equal_plain_sums():
+    ends = lambda dist: tuple(next(v for v, c in zip(sorted(dist), np.cumsum([float(dist[k]) for k in sorted(dist)])) if c >= q - 1e-12) for q in (0.025, 0.975))
+    for n in (1, 2, 7, 40):
+        for k in range(n + 1):
+            p = Fraction(k, n)
+            assert tails.binomial_ends(n, k) == pytest.approx(ends({i / n: math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)}))
+    for w, s, b in ((1, 0, 0), (0, 3, 0), (2, 3, 4), (0, 5, 6), (9, 0, 9), (1, 30, 2)):
+        n, dist = w + s + b, {0: Fraction(1)}
+        for _ in range(n):
+            new = {}
+            for d, m in dist.items():
+                for step, c in ((-1, w), (0, s), (1, b)):
+                    new[d + step] = new.get(d + step, 0) + m * Fraction(c, n)
+            dist = {d: m for d, m in new.items() if m}
+        assert tails.difference_ends(w, s, b) == pytest.approx(ends({d / n: m for d, m in dist.items()}))
+    lo, hi = tails.binomial_ends(10**8, 30_000_000)
+    assert lo == pytest.approx(0.3 - 1.95996 * math.sqrt(0.21 / 10**8), abs=2e-8) and hi == pytest.approx(0.3 + 1.95996 * math.sqrt(0.21 / 10**8), abs=2e-8)
+
+
 def test_lexical_top_k_over_shards_and_groups(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(40)]
