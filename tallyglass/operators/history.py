@@ -1,7 +1,7 @@
 """Per-key history: gaps, last turns, rolling counts.
 
-A key may hold a third of all rows, so nothing here sorts a whole key in one
-task: keys are cut into time slices and neighbouring slices are stitched.
+A key may hold a third of all rows, and a day of it as many, so nothing here sorts a whole key in one task: rows are cut
+into slices of equal depth, in order of key and time, and neighbouring slices of a key are stitched by one row each.
 """
 
 from __future__ import annotations
@@ -9,29 +9,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyglass.operators.summary import exact_quantiles
+from tallyglass.session import cut
 
 DAY_US = 86_400_000_000
+#: Rows that one slice is meant to hold.
+SLICE_ROWS = 1_000_000
 
 
 def micros(col: str):
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
-def gaps(df: DataFrame, keys: list[str], ts: str, slice_us: int = DAY_US, weight: str | None = None) -> DataFrame:
+def sliced(df: DataFrame, order: list[str], per_slice: int | None = None) -> DataFrame:
+    """The rows with `_slice`, which grows with `order`: slices of about `per_slice` rows, however the keys are spread.
+
+    Spark's range partitioning samples the splitters; their number follows the number of rows. Rows of equal order share a
+    slice, so callers fold them first. The result is written once, as every reader must see the same slices.
+    """
+    kept = cut(df)
+    n = max(1, -(-kept.count() // (per_slice or SLICE_ROWS)))
+    return cut(kept.repartitionByRange(n, *order).withColumn("_slice", F.spark_partition_id()))
+
+
+def before(df: DataFrame, keys: list[str], value) -> DataFrame:
+    """keys, _slice, _before: an aggregate of the slices before each slice of a key, from one row per slice."""
+    return df.select(*keys, "_slice", value.over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+
+
+def _same(a: DataFrame, b: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """A null-safe join on equally named columns; b's are dropped."""
+    c = b.withColumnsRenamed({x: f"_r_{x}" for x in cols})
+    on = F.lit(True)
+    for x in cols:
+        on = on & a[x].eqNullSafe(c[f"_r_{x}"])
+    return a.join(c, on, how).drop(*[f"_r_{x}" for x in cols])
+
+
+def gaps(df: DataFrame, keys: list[str], ts: str, weight: str | None = None, per_slice: int | None = None) -> DataFrame:
     """(keys, gap_us, copies): the consecutive differences of the sorted times.
 
-    Equal times give gaps of zero, counted and not listed. Each time slice is
-    sorted on its own; the gap between slices comes from their edges alone.
+    Equal times give gaps of zero, counted and not listed. Each slice is sorted on its own; the gap between slices comes
+    from their edges alone.
     """
     n = F.col(weight) if weight else F.lit(1)
     t = df.where(F.col(ts).isNotNull()).select(*keys, micros(ts).alias("_t"), n.alias("_w"))
-    seen = t.groupBy(*keys, "_t").agg(F.sum("_w").alias("_n"))
-    seen = seen.withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_us)))
+    seen = sliced(t.groupBy(*keys, "_t").agg(F.sum("_w").alias("_n")), [*keys, "_t"], per_slice)
     w = Window.partitionBy(*keys, "_slice").orderBy("_t")
     inner = seen.select(*keys, (F.col("_t") - F.lag("_t").over(w)).alias("gap_us")).where("gap_us IS NOT NULL")
     edges = seen.groupBy(*keys, "_slice").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    # One row per key and day that has data: bounded by the calendar, not by the rows.
+    # One row per key and slice that it has rows in.
     we = Window.partitionBy(*keys).orderBy("_slice")
     outer = edges.select(*keys, (F.col("_lo") - F.lag("_hi").over(we)).alias("gap_us")).where("gap_us IS NOT NULL")
     zeros = seen.where("_n > 1").groupBy(*keys).agg(F.sum(F.col("_n") - 1).alias("copies"))
@@ -40,30 +66,25 @@ def gaps(df: DataFrame, keys: list[str], ts: str, slice_us: int = DAY_US, weight
     return moved.unionByName(zeros)
 
 
-def median_gap(df: DataFrame, keys: list[str], ts: str, weight: str | None = None) -> DataFrame:
+def median_gap(df: DataFrame, keys: list[str], ts: str, weight: str | None = None, per_slice: int | None = None) -> DataFrame:
     """The median gap in seconds per key, exact."""
-    g = gaps(df, keys, ts, weight=weight)
-    q = weighted_median(g, keys, "gap_us", "copies")
+    g = gaps(df, keys, ts, weight, per_slice)
+    q = weighted_median(g, keys, "gap_us", "copies", per_slice)
     return q.select(*keys, (F.col("median") / 1e6).alias("median_gap_s"))
 
 
-def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, per_slice: int | None = None) -> DataFrame:
     """Median of values that stand for `weight` equal copies each.
 
-    Values are ranked inside equal-depth buckets; only the bucket totals of a
-    key are summed in one window.
+    Values are ranked inside slices of equal depth; only the totals of a key's slices are summed in one window.
     """
-    v = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(weight).alias("_c"))
-    cuts = v.groupBy(*keys).agg(F.percentile_approx("_v", [i / 64 for i in range(1, 64)], 1000).alias("_cuts"),
-                                F.sum("_c").alias("_n"))
-    b = v.join(cuts, list(keys)) if keys else v.crossJoin(cuts)
-    b = b.withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))))
-    totals = b.groupBy(*keys, "_b").agg(F.sum("_c").alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
-    j = b.join(starts, [*keys, "_b"])
-    w = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    j = j.withColumn("_end", F.col("_start") + F.sum("_c").over(w))
+    v = sliced(df.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(weight).alias("_c")), [*keys, "_v"], per_slice)
+    totals = v.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_t"))
+    starts = before(totals, keys, F.sum("_t"))
+    sizes = totals.groupBy(*keys).agg(F.sum("_t").alias("_n"))
+    j = _same(_same(v, starts, [*keys, "_slice"]), sizes, keys)
+    w = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("_end", F.coalesce("_before", F.lit(0)) + F.sum("_c").over(w))
     half = (F.col("_n") - 1) / 2
     at = lambda r: F.min(F.when(F.col("_end") > r, F.col("_v")))
     return j.groupBy(*keys).agg(at(F.floor(half)).alias("_a"), at(F.ceil(half)).alias("_z")).select(
@@ -93,16 +114,23 @@ def last_turns(df: DataFrame, conv: str, turn: str, text: str, k: int = 3, per_s
     return rows.select(*df.columns, numbered.alias("context"))
 
 
-def rolling_count(df: DataFrame, key: str, ts: str, uid: str, window_us: int = DAY_US) -> DataFrame:
-    """Rows of the same key in the window that ends at each row (now - t < window).
+def rolling_count(df: DataFrame, key: str, ts: str, uid: str, window_us: int = DAY_US, per_slice: int | None = None) -> DataFrame:
+    """Rows of the same key in the window that ends at each row (now - t < window); rows of one instant see each other.
 
-    The key is cut into slices one window long. A row sees its own slice plus
-    the tail of the slice before it, so a slice is sorted with a copy of its
-    predecessor and a hot key spreads over as many tasks as it has slices.
-    Rows of one instant see each other.
+    The count is a difference of two ranks: the rows up to the instant, less those up to one window before it. Ranks are
+    running counts inside slices plus the totals of the slices before. For the second, the moments asked about are merged
+    among the instants, in order, and each takes the rank of the last instant at or before it. Only folded instants are
+    sorted; whole rows are joined to their count once. Rows without a time are left out.
     """
-    t = df.withColumn("_t", micros(ts))
-    home = F.floor(F.col("_t") / F.lit(window_us))
-    both = t.withColumn("_slice", F.explode(F.array(home, home + 1))).withColumn("_own", F.col("_slice") == home)
-    w = Window.partitionBy(key, "_slice").orderBy("_t").rangeBetween(-(window_us - 1), 0)
-    return both.withColumn("used", F.count("*").over(w)).where("_own").select(*df.columns, "used")
+    t = df.withColumn("_t", micros(ts)).where("_t IS NOT NULL")
+    seen = sliced(t.groupBy(F.col(key).alias("_k"), "_t").agg(F.count("*").alias("_n")), ["_k", "_t"], per_slice)
+    starts = before(seen.groupBy("_k", "_slice").agg(F.sum("_n").alias("_s")), ["_k"], F.sum("_s"))
+    up_to = Window.partitionBy("_k", "_slice").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    ranks = _same(seen, starts, ["_k", "_slice"]).select("_k", "_t", (F.coalesce("_before", F.lit(0)) + F.sum("_n").over(up_to)).alias("_rank"))
+    none = F.lit(None).cast("long")
+    asked = ranks.select("_k", (F.col("_t") - window_us).alias("_t"), none.alias("_rank"), F.col("_rank").alias("_now"), F.col("_t").alias("_of"))
+    merged = sliced(ranks.select("_k", "_t", "_rank", none.alias("_now"), none.alias("_of")).unionByName(asked), ["_k", "_t"], per_slice)
+    carried = before(merged.groupBy("_k", "_slice").agg(F.max("_rank").alias("_m")), ["_k"], F.max("_m"))
+    past = F.coalesce(F.max("_rank").over(up_to), "_before", F.lit(0))
+    found = _same(merged, carried, ["_k", "_slice"]).withColumn("used", F.col("_now") - past).where("_of IS NOT NULL").select("_k", "_of", "used")
+    return t.join(found, t[key].eqNullSafe(found["_k"]) & (F.col("_t") == F.col("_of"))).select(*df.columns, "used")

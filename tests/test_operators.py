@@ -155,6 +155,23 @@ def test_bm25_matches_the_formula(spark):
         assert got.get(k, 0.0) == pytest.approx(s)
 
 
+def test_one_day_of_one_key_is_spread_over_slices(spark):
+    r = random.Random(8)
+    rows = [(i, "hot" if i % 10 else r.choice(["a", "b", None]), 1_700_000_000_000_000 + (r.randrange(3600) * 1_000_000 if i % 10 else r.randrange(10**12))) for i in range(3000)]
+    d = spark.createDataFrame(rows, "u long, k string, us long").withColumn("ts", F.timestamp_micros("us"))
+    per = {}
+    for _, k, us in rows:
+        per.setdefault(k, []).append(us)
+    got = {x["k"]: x["median_gap_s"] for x in history.median_gap(d, ["k"], "ts", per_slice=100).collect()}
+    assert got == pytest.approx({k: float(np.median(np.diff(sorted(v)))) / 1e6 for k, v in per.items()})
+    day = 600_000_000
+    got = {x["u"]: x["used"] for x in history.rolling_count(d, "k", "ts", "u", day, per_slice=100).collect()}
+    assert got == {u: sum(us - day < o <= us for o in per[k]) for u, k, us in rows}
+    depth = history.sliced(d.select("k", "us").distinct(), ["k", "us"], 100).groupBy("_slice").count().agg(F.max("count")).first()[0]
+    assert depth < 400
+    assert history.rolling_count(d.limit(0), "k", "ts", "u").count() == history.median_gap(d.limit(0), ["k"], "ts").count() == 0
+
+
 def test_interval_ends_equal_plain_sums():
     ends = lambda dist: tuple(next(v for v, c in zip(sorted(dist), np.cumsum([float(dist[k]) for k in sorted(dist)])) if c >= q - 1e-12) for q in (0.025, 0.975))
     for n in (1, 2, 7, 40):
