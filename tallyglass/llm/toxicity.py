@@ -15,10 +15,14 @@ NAME = "op3_toxicity"
 BUCKETS = 1 << 20
 #: At most about so many labelled rows train the model, picked by a hash of the doc_id.
 TRAINING_ROWS = 30_000
-#: Terms that the model takes: those whose share of toxic documents is farthest from the average.
+#: Terms that the model takes for their own sake: those whose share of toxic documents is farthest from the average.
 MAX_TERMS = 1 << 15
 MIN_DOCUMENTS = 5
 MIN_DEVIATION = 3.0
+#: Of the terms in most documents so many are tried in pairs; a pair enters whose share of toxic documents is so many
+#: deviations off what its two terms tell apart.
+PAIR_TERMS = 1024
+PAIR_DEVIATION = 5.0
 FACTORS = 4
 EPOCHS = 25
 BATCH = 128
@@ -69,8 +73,8 @@ def held_out(col):
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def pick_terms(rows: DataFrame) -> np.ndarray:
-    """Cells whose documents are toxic more often, or more rarely, than chance would have it."""
+def pick_terms(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Cells whose documents are toxic more often, or more rarely, than chance would have it; and those in most documents."""
     def fold(batches):
         seen, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
         n = bad = 0
@@ -86,11 +90,35 @@ def pick_terms(rows: DataFrame) -> np.ndarray:
     folded = rows.select("text", "toxic").mapInArrow(fold, "cell int, seen long, toxic long").groupBy("cell").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
     total = folded.filter("cell = -1").collect()
     if not total or not total[0].seen:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     base = total[0].toxic / total[0].seen
     off = F.abs(F.col("toxic") - base * F.col("seen")) / F.sqrt(F.col("seen") * F.lit(max(base * (1 - base), 1e-9)) + 1)
     best = folded.filter((F.col("cell") >= 0) & (F.col("seen") >= MIN_DOCUMENTS) & (off >= MIN_DEVIATION)).orderBy(off.desc(), "cell").limit(MAX_TERMS)
-    return np.array(sorted(r.cell for r in best.select("cell").collect()), np.int64)  # MAX_TERMS at most
+    often = folded.filter((F.col("cell") >= 0) & (F.col("seen") >= MIN_DOCUMENTS)).orderBy(F.desc("seen"), "cell").limit(PAIR_TERMS)
+    cells = lambda d: np.array(sorted(r.cell for r in d.select("cell").collect()), np.int64)
+    return cells(best), cells(often)  # MAX_TERMS and PAIR_TERMS at most
+
+
+def interacting(lists: list[np.ndarray], labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """The terms (numbers below n_terms) of pairs that tell more, or something else, than their terms one by one.
+
+    For terms a and b that tell nothing about each other the pair's share of toxic documents would be share(a) +
+    share(b) - average. Pairs are counted by matrix products over blocks of documents.
+    """
+    seen, toxic = np.zeros((n_terms, n_terms), np.float32), np.zeros((n_terms, n_terms), np.float32)
+    for i in range(0, len(lists), 2048):
+        own = lists[i : i + 2048]
+        x = np.zeros((len(own), n_terms), np.float32)
+        x[np.repeat(np.arange(len(own)), [len(o) for o in own]), np.concatenate(own)] = 1
+        seen += x.T @ x
+        bad = x[labels[i : i + 2048] == 1]
+        toxic += bad.T @ bad
+    n, base = np.diag(seen).astype(np.float64), labels.mean() if len(labels) else 0.0
+    share = np.divide(np.diag(toxic), n, out=np.full(n_terms, base), where=n > 0)
+    told = np.clip(share[:, None] + share[None] - base, 0, 1)
+    off = np.abs(toxic - seen * told) / np.sqrt(seen * max(base * (1 - base), 1e-9) + 1)
+    np.fill_diagonal(off, 0)
+    return np.flatnonzero(((off >= PAIR_DEVIATION) & (seen >= MIN_DOCUMENTS)).any(axis=1))
 
 
 def _narrow(cells, first, picked):
@@ -101,6 +129,13 @@ def _narrow(cells, first, picked):
     return at[keep], c[first]
 
 
+def _among(at: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """The sorted numbers `at` that are among the sorted `kept`, as places there."""
+    place = np.searchsorted(kept, at)
+    ok = kept[np.minimum(place, len(kept) - 1)] == at if len(kept) else np.zeros(len(at), bool)
+    return place[ok]
+
+
 def _sum(values, first):
     """Sums of the rows of `values` that belong to each text."""
     c = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)])
@@ -147,11 +182,16 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, n_terms: int) -> dict:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """A model on at most about TRAINING_ROWS documents. Their picked terms, some dozens a text, are fitted in one task."""
+    """A model on at most about TRAINING_ROWS documents. Their picked terms are fitted in one task.
+
+    Terms are picked that deviate alone, and those of pairs that deviate together: the machine can learn a pair only from
+    texts in which it sees both of its terms.
+    """
     spark = docs.sparkSession
     rows = training_rows(docs, labels)
-    picked = pick_terms(rows)
-    shared = spark.sparkContext.broadcast(picked)
+    picked, often = pick_terms(rows)
+    every = np.union1d(picked, often)
+    shared = spark.sparkContext.broadcast(every)  # MAX_TERMS + PAIR_TERMS at most
 
     def narrow(batches):
         for batch in batches:
@@ -166,20 +206,25 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
             flat, offs = np.asarray(batch.column(2).flatten()), np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
             lists += [flat[offs[i] : offs[i + 1]] for i in range(len(offs) - 1)]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], labelled[i], len(lists[i])))
-        m = fit([lists[i] for i in order], np.array([labelled[i] for i in order], np.int64), len(shared.value))
-        yield pa.RecordBatch.from_arrays([pa.array([m["w0"]]), pa.array([m["w"].tobytes()], pa.binary()), pa.array([m["v"].tobytes()], pa.binary())], ["w0", "w", "v"])
+        lists, toxic = [lists[i] for i in order], np.array([labelled[i] for i in order], np.int64)
+        tried = np.searchsorted(shared.value, often)
+        pairs = tried[interacting([_among(x, tried) for x in lists], toxic, len(tried))]
+        kept = np.union1d(np.searchsorted(shared.value, picked), pairs)
+        m = fit([_among(x, kept) for x in lists], toxic, len(kept))
+        cut = [pa.array([x.tobytes()], pa.binary()) for x in (shared.value[kept].astype("<i8"), m["w"], m["v"])]
+        yield pa.RecordBatch.from_arrays([pa.array([m["w0"]]), *cut], ["w0", "picked", "w", "v"])
 
     narrowed = rows.mapInArrow(narrow, "doc_id string, toxic int, terms array<int>")
-    got = narrowed.repartition(1).mapInArrow(learn, "w0 double, w binary, v binary").collect()  # one task: bounded rows
+    got = narrowed.repartition(1).mapInArrow(learn, "w0 double, picked binary, w binary, v binary").collect()  # one task: bounded rows
     if not got:
         return {"picked": np.zeros(0, np.int64), "w0": 0.0, "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
-    return {"picked": picked, "w0": got[0].w0, "w": np.frombuffer(got[0].w), "v": np.frombuffer(got[0].v).reshape(-1, FACTORS)}
+    return {"picked": np.frombuffer(got[0].picked, "<i8"), "w0": got[0].w0, "w": np.frombuffer(got[0].w), "v": np.frombuffer(got[0].v).reshape(-1, FACTORS)}
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document row: doc_id, held_out, score, predicted.
 
-    The machine learns a weight for each picked term and, through its factors, one for each pair of terms that stand in
+    The machine learns a weight for each picked term (see `train`) and, through its factors, one for each pair of terms that stand in
     the same text. Rows whose crc32 of the doc_id is a multiple of 5 are never learned from; labels, language, source
     and doc_id are no inputs of a score.
 

@@ -354,3 +354,36 @@ def test_pairs_in_linear_time():
     x = [0, 3, 4, 8]
     want = 0.3 + m["w"][x].sum() + sum(m["v"][a] @ m["v"][b] for a in x for b in x if a < b)
     assert toxicity.raw_score(m, np.array(x), np.array([0, 4]))[0][0] == pytest.approx(want)
+
+
+def test_toxicity_learns_pairs_whose_words_tell_nothing_alone(spark, make):
+    """Toxic if exactly one of two words stands in a text: each word is as frequent in toxic texts as in others."""
+    rng = np.random.default_rng(4)
+    filler = [f"filler{i}" for i in range(60)]
+    rows, labels, plain = [], [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join([*rng.choice(filler, 12), *["redish"] * a, *["bluish"] * b])))
+        labels.append((i, 1, int(a != b)))
+        plain.append((a, b))
+    got = {r.doc_id: r for r in toxicity.score(make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = [i for i in got if got[i].held_out]
+    assert np.mean([got[i].predicted == labels[i][2] for i in held]) >= 0.95
+    # no weights of single words do it
+    x = np.column_stack([np.array(plain, float), np.ones(3000)])
+    w, *_ = np.linalg.lstsq(x, np.array([t for _, _, t in labels], float), rcond=None)
+    assert np.mean([(x[i] @ w >= 0.5) == labels[i][2] for i in held]) < 0.65
+
+
+def test_interacting_terms_equal_a_plain_count():
+    rng = np.random.default_rng(9)
+    lists = [np.flatnonzero(rng.random(8) < 0.4) for _ in range(400)]
+    labels = np.array([int((0 in x) != (1 in x)) if rng.random() < 0.9 else 0 for x in lists])
+    base, want = labels.mean(), set()
+    share = [np.mean([t for x, t in zip(lists, labels, strict=True) if a in x]) for a in range(8)]
+    for a in range(8):
+        for b in range(8):
+            both = [t for x, t in zip(lists, labels, strict=True) if a in x and b in x]
+            if a != b and len(both) >= 5 and abs(sum(both) - len(both) * min(1, max(0, share[a] + share[b] - base))) / (len(both) * base * (1 - base) + 1) ** 0.5 >= 5:
+                want |= {a, b}
+    assert set(toxicity.interacting(lists, labels, 8).tolist()) == want >= {0, 1}
