@@ -46,6 +46,17 @@ def fanout(spark: SparkSession) -> int:
     return max(256, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def dealt(work: DataFrame, *cols: str) -> DataFrame:
+    """Rows that each stand for much work (a file, a range), in as many partitions: AQE merges none of a given number."""
+    most = 64 * int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return work.repartition(max(1, min(work.count(), most)), *cols)
+
+
+def row_id(id_col: str = "doc_id", text: str = "text"):
+    """The doc_id as text; where there is none, one made of the row's text, so that such rows are spread like others."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("n"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+
+
 def rows_of(docs: DataFrame) -> DataFrame:
     """The rows as one struct column `_row`, so that no column of theirs can clash; `select("_row.*")` gives them back."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
@@ -64,7 +75,8 @@ def source_key(col="source"):
 
 def unit(seed: int, *cols):
     """A seeded md5 of the columns as hex text, and its leading 32 bits as a number in [0, 1)."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
+    cols = [F.col(c) if isinstance(c, str) else c for c in cols]
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]))
     return h, F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 

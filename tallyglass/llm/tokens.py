@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import keep, scratch, table
+from tallyglass.llm.common import dealt, keep, scratch, table
 from tallyglass.llm.files import Output, Ranges
 
 NAME = "op9_tokens"
@@ -265,7 +265,7 @@ def read(files: DataFrame) -> DataFrame:
                     i = j
                 r.file.close()
 
-    return listed.repartition("uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt(listed, "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import keep, scratch, table
+from tallyglass.llm.common import dealt, keep, scratch, table
 from tallyglass.llm.files import Output, Ranges
 
 NAME = "op4_warc"
@@ -235,7 +235,7 @@ def locate(archives: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, pa.schema([("uri", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("parts", pa.list_(pa.int64()))]))
 
-    return archives.repartition("uri").mapInArrow(run, "uri string, offset long, length long, parts array<long>")
+    return dealt(archives, "uri").mapInArrow(run, "uri string, offset long, length long, parts array<long>")
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def read(archives: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    spread = locate(archives).repartition("uri", "offset")
+    spread = dealt(keep(locate(archives), "ranges"), "uri", "offset")
     return spread.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
