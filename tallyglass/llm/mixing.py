@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import fanout, keep, rows_of, running, source_key, table, unit
+from tallyglass.llm.common import fanout, keep, row_id, row_key, rows_of, running, source_key, table, unit
 
 NAME = "op2_mixing"
 SEED = 7
@@ -89,16 +89,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, schedule
     target, rounded. `copies` counts the copies taken at least in part; `position` is the first one's time, null if
     there is none, and rows are range-sorted by it.
 
-    Null and empty texts have size 0 and are never taken; a null source is one source, after the others; repeated rows
-    are documents of their own; an empty table gives no rows.
+    Null and empty texts have size 0 and are never taken; a null source is one source, after the others; a null doc_id is
+    hashed as its text; repeated rows are documents of their own; an empty table gives no rows. The numbering of sources
+    uses windows over one row per source: meant for thousands of sources, not for a source per host.
     """
+    return _planned(docs, weights, max_epochs, schedules, seed).drop("_key")
+
+
+def _planned(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, schedules=SCHEDULES, seed: int = SEED) -> DataFrame:
+    """The rows of `mix` with `_key`, which rows of one doc_id and text share."""
     if len(weights) != len(schedules):
         raise ValueError("one schedule per weight")
-    h, u = unit(seed, "doc_id")
-    rows = docs.select("doc_id", source_key().alias("_src"), count_words().alias("size"), h.alias("_h"), F.floor(u * fanout(docs.sparkSession)).alias("_k"))
+    h, u = unit(seed, row_id())
+    rows = docs.select("doc_id", row_key().alias("_key"), source_key().alias("_src"), count_words().alias("size"), h.alias("_h"), F.floor(u * fanout(docs.sparkSession)).alias("_k"))
     rows = keep(rows, "sizes")
     goal = targets(rows.groupBy("_src").agg(F.sum("size").alias("source_size")), weights, max_epochs)
-    placed = running(rows, ["_src"], "_k", ["_h", "doc_id", "size"], "size", "_c").join(goal, "_src")
+    placed = running(rows, ["_src"], "_k", ["_h", "doc_id", "size", "_key"], "size", "_c").join(goal, "_src")
     words = F.round("target").cast("long")
     starts = [F.col("_c") + e * F.col("source_size") for e in range(max_epochs)]
     parts = [F.least(F.greatest(words - s, F.lit(0)), F.col("size")) for s in starts]
@@ -106,7 +112,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, schedule
     copies = sum([F.when(p > 0, 1).otherwise(0) for p in parts[1:]], F.when(parts[0] > 0, 1).otherwise(0))
     share = F.col("_c") / F.col("target")
     out = placed.select(
-        "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"),
+        "doc_id", "_key", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"),
         F.when((F.col("target") > 0) & (parts[0] > 0), F.round(position(share, F.col("_turn"), schedules), 9)).alias("position"),
     )
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
@@ -114,12 +120,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, schedule
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: each row as often as its copies, whole (the copy that crosses a target included);
-    columns as before. Rows that share a doc_id are told apart by size."""
-    plan = mix(docs, **options).filter("copies > 0")
-    plan = plan.groupBy("doc_id", "size").agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
-    own = rows_of(docs).withColumns({"_id": F.col("_row.doc_id"), "_words": count_words("_row.text")})
-    numbered = own.withColumn("_i", F.row_number().over(Window.partitionBy("_id", "_words").orderBy(F.lit(0))))
-    kept = numbered.join(plan, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_words") == F.col("size"))).filter(F.col("_i") <= F.size("_copies"))
+    columns as before.
+
+    Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, are taken each as its own; equal
+    rows take the numbers of copies of such rows in any order. Null and empty texts are never taken; an empty table gives
+    no rows. Reruns agree, whatever the partitioning.
+    """
+    plan = _planned(docs, **options).filter("copies > 0")
+    plan = plan.groupBy("_key").agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))  # repeated rows of one text
+    own = rows_of(docs).withColumn("_own", F.xxhash64("_row.doc_id", "_row.text"))
+    numbered = own.withColumn("_i", F.row_number().over(Window.partitionBy("_own").orderBy(F.xxhash64("_row"))))
+    kept = numbered.join(plan, F.col("_own") == F.col("_key")).filter(F.col("_i") <= F.size("_copies"))
     times = F.element_at("_copies", F.col("_i"))
     return kept.withColumn("_e", F.explode(F.sequence(F.lit(1), times))).select("_row.*")
 
@@ -146,7 +157,7 @@ SQL = f"""
 WITH base AS (
     SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
            len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-           md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+           md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'n' || md5(coalesce(text, '')))) AS h FROM documents),
 sources AS (
     SELECT src, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY src) - 1) % {len(WEIGHTS)} AS turn FROM base GROUP BY src),
 caps AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import fanout, keep, rows_of, running, source_key, table, unit
+from tallyglass.llm.common import fanout, keep, row_id, row_key, rows_of, running, source_key, table, unit
 
 NAME = "op6_shards"
 N_SHARDS = 16
@@ -23,17 +23,26 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataF
     first, and a window orders only the rows of one slice.
 
     Null texts have size 1 and the checksum of the empty text; null sources are one source, after the others; a null
-    doc_id is hashed as an empty one; repeated rows each get a slot of their own; an empty table gives no rows. Other
-    columns are ignored, whatever their names.
+    doc_id is hashed as its text; repeated rows each get a slot of their own, and three of them stand a third of the
+    sequence apart; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
+    return _placed(docs, n_shards, seed).drop("_key")
+
+
+def _placed(docs: DataFrame, n_shards: int, seed: int) -> DataFrame:
+    """The rows of `assign` with `_key`, which rows of one doc_id and text share."""
     spark = docs.sparkSession
     slices = fanout(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
-    h, u = unit(seed, "doc_id")
+    h, u = unit(seed, row_id())
     rows = docs.select(
-        "doc_id", source_key().alias("_src"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), h.alias("_h"), F.floor(u * slices).alias("_k"), F.lit(1).cast("long").alias("_one"),
+        "doc_id", row_key().alias("_key"), source_key().alias("_src"), (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), h.alias("_h"), u.alias("_u"), F.lit(1).cast("long").alias("_one"),
     )
+    # further copies of a row (some epochs of it, as a rule) begin a third of the sequence on, and two thirds
+    copy = F.row_number().over(Window.partitionBy("_key").orderBy("_src")) - 1
+    on = F.col("_u") + copy / 3 + F.floor(copy / 3) * 0.1
+    rows = rows.withColumn("_k", F.floor((on - F.floor(on)) * slices)).drop("_u")
     rows = keep(rows, "sizes")
     counts = rows.groupBy("_src").agg(F.count("*").alias("_n"))
     ranked = running(rows, ["_src"], "_k", ["_h", "doc_id", "text_crc32"], "_one", "_r").join(counts, "_src")
@@ -47,24 +56,23 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataF
         .withColumn("shard", F.expr(f"_g * {n_shards} div _total").cast("int"))
         .withColumn("slot", F.expr(f"_g - {first}"))
         .select(
-            "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+            "doc_id", "_key", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
             F.lit(None).cast("int").alias("grown_shard"), F.col("_r").alias("source_rank"),
         )
     )
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
-    """The documents with their shard and slot. Whole texts are shuffled once, by doc_id.
+    """The documents with their shard and slot. Whole texts are shuffled once, by doc_id and text.
 
-    Rows that share a doc_id take the slots of that doc_id in the order of their texts' checksums. `shard` and `slot`
-    replace columns of those names.
+    Null, empty and repeated values are treated as in `assign`; rows of one doc_id and text take the slots of such rows in
+    any order, rows that share a doc_id only take each their own. `shard` and `slot` replace columns of those names.
     """
-    places = assign(docs, n_shards, seed).select("doc_id", F.struct("text_crc32", "shard", "slot").alias("_p"))
-    places = places.groupBy("doc_id").agg(F.sort_array(F.collect_list("_p")).alias("_ps"))  # copies of one id
-    crc = F.crc32(F.coalesce(F.col("_row.text"), F.lit("")).cast("binary"))
-    own = rows_of(docs.drop("shard", "slot")).withColumn("_id", F.col("_row.doc_id"))
-    numbered = own.withColumn("_i", F.row_number().over(Window.partitionBy("_id").orderBy(crc)))
-    joined = numbered.join(places, F.col("_id").eqNullSafe(F.col("doc_id")))
+    places = _placed(docs, n_shards, seed).select("_key", F.struct("shard", "slot").alias("_p"))
+    places = places.groupBy("_key").agg(F.sort_array(F.collect_list("_p")).alias("_ps"))  # copies of one row
+    own = rows_of(docs.drop("shard", "slot")).withColumn("_own", F.xxhash64("_row.doc_id", "_row.text"))
+    numbered = own.withColumn("_i", F.row_number().over(Window.partitionBy("_own").orderBy(F.xxhash64("_row"))))
+    joined = numbered.join(places, F.col("_own") == F.col("_key"))
     place = F.element_at("_ps", F.col("_i"))
     return joined.select("_row.*", place["shard"].alias("shard"), place["slot"].alias("slot"))
 
@@ -82,7 +90,7 @@ WITH step AS (SELECT list(v ORDER BY i) AS t FROM (
 base AS (
     SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
            strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS hx,
-           md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+           md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'n' || md5(coalesce(text, '')))) AS h FROM documents),
 sums AS (
     SELECT b.* EXCLUDE (hx), xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(range(1, 2 * (size - 1), 2), lambda p:
                (instr('0123456789ABCDEF', hx[p]) - 1) * 16 + instr('0123456789ABCDEF', hx[p + 1]) - 1),

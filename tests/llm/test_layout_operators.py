@@ -238,3 +238,23 @@ def test_components(spark):
     got = {r.u: r.v for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 200: 100, 300: 100, 401: 400, **{600 + k: 500 for k in range(50)}}
     assert components(spark.createDataFrame([], "u long, v long")).isEmpty()
+
+
+def test_copies_stand_apart_and_reruns_agree(spark, make):
+    rng = np.random.default_rng(2)
+    rows = [(int(i) if rng.random() < 0.8 else None, f"text {rng.integers(0, 400)} " + "w " * int(rng.integers(1, 9)), f"s{rng.integers(0, 3)}") for i in rng.integers(0, 300, 900)]
+    rows += rows[:40]
+    first, again = (Counter((r.doc_id, r.text, r.source) for r in mixing.mixed_documents(make(rows, n)).collect()) for n in (3, 7))
+    assert first == again and max(first.values()) > 1
+    slots = Counter()
+    for n in (2, 5):
+        got = shards.shard_documents(make(rows, n)).collect()
+        assert Counter((r.doc_id, r.text) for r in got) == Counter((r[0], r[1]) for r in rows)
+        slots[frozenset((r.doc_id, r.text, r.shard, r.slot) for r in got)] += 1
+    assert len(slots) == 1
+    thrice = [(i, f"document {i}", "s") for i in range(500) for _ in range(3)]
+    got = shards.shard_documents(make(thrice)).collect()
+    place = {}
+    for r in got:
+        place.setdefault(r.doc_id, []).append(r.shard * 1500 // 16 + r.slot)
+    assert min(b - a for v in place.values() for a, b in zip(sorted(v), sorted(v)[1:])) > 1500 / 4
