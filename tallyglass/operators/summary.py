@@ -2,8 +2,8 @@
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one
 task. Here a mergeable sketch first brackets each quantile; one more pass counts
-the rows below the bracket and keeps only the values inside it, so the window
-that picks the exact ranks sees a vanishing share of the rows.
+the rows below the bracket and keeps only the values inside it and their two
+neighbours, so the window that picks the exact ranks sees a vanishing share of the rows.
 """
 
 from __future__ import annotations
@@ -28,26 +28,23 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
     names = list(probs)
     eps = 2.0 / accuracy
     edges = [max(0.0, probs[n] - eps) for n in names] + [min(1.0, probs[n] + eps) for n in names]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, accuracy).alias("_e"))
-    # Small groups are ranked whole; above, the slack on each side (one sketch error) is at least four rows.
-    small = F.col("_n") < F.lit(4 * accuracy)
+    sketch = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"))
     spec = F.array(*[
-        F.struct(F.lit(i).alias("_q"),
-                 F.when(small, F.col("_min")).otherwise(F.col("_e")[i]).alias("_lo"),
-                 F.when(small, F.col("_max")).otherwise(F.col("_e")[len(names) + i]).alias("_hi"),
+        F.struct(F.lit(i).alias("_q"), F.col("_e")[i].alias("_lo"), F.col("_e")[len(names) + i].alias("_hi"),
                  (F.lit(float(probs[n])) * (F.col("_n") - 1)).alias("_h"))
         for i, n in enumerate(names)])
     brackets = sketch.select(*keys, F.explode(spec).alias("_s")).select(*keys, "_s.*")
     j = rows.join(brackets, list(keys)) if keys else rows.crossJoin(brackets)
-    j = j.where("_v <= _hi")
-    # All rows below a bracket fold into one counted row before the shuffle.
-    inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
-    counted = j.groupBy(*keys, "_q", "_h", inside.alias("_v")).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys, "_q").orderBy(F.col("_v").asc_nulls_first())
+    # The rows below a bracket fold into one counted row before the shuffle, and those above. The slack on each side is
+    # twice the sketch's error; as ranks are rounded, the wanted one may be the next beyond: the largest value below, or
+    # the smallest above.
+    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
+    inside = F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_v"))
+    counted = j.groupBy(*keys, "_q", "_h", side.alias("_side"), inside.alias("_in")).agg(F.count("*").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    counted = counted.withColumn("_v", F.when(F.col("_side") < 0, F.col("_most")).otherwise(F.col("_least")))
+    w = Window.partitionBy(*keys, "_q").orderBy("_v")
     ranked = counted.withColumn("_end", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    at = lambda r: F.min(F.when((F.col("_end") > r) & F.col("_v").isNotNull(), F.col("_v")))
+    at = lambda r: F.min(F.when(F.col("_end") > r, F.col("_v")))
     picked = ranked.groupBy(*keys, "_q").agg(
         at(F.floor("_h")).alias("_a"), at(F.ceil("_h")).alias("_b"), F.first("_h").alias("_h"))
     val = F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_b") - F.col("_a"))

@@ -172,6 +172,16 @@ def test_one_day_of_one_key_is_spread_over_slices(spark):
     assert history.rolling_count(d.limit(0), "k", "ts", "u").count() == history.median_gap(d.limit(0), ["k"], "ts").count() == 0
 
 
+@pytest.mark.parametrize("accuracy", [100, 50_000])
+def test_quantiles_of_groups_of_every_size(spark, accuracy):
+    rng = np.random.default_rng(accuracy)
+    groups = {n: np.round(rng.normal(size=n), rng.integers(0, 4)) for n in [*range(1, 40), 97, 250, 1001, 5000, 20_000]}
+    df = spark.createDataFrame([(n, float(x)) for n, v in groups.items() for x in v], "k int, v double").repartition(7)
+    probs = {"a": 0.0, "b": 0.05, "c": 0.25, "d": 0.5, "e": 0.75, "f": 0.95, "g": 1.0}
+    for r in summary.exact_quantiles(df, ["k"], "v", probs, accuracy).collect():
+        assert [r[c] for c in probs] == pytest.approx(np.quantile(groups[r["k"]], list(probs.values())).tolist()), r["k"]
+
+
 def test_interval_ends_equal_plain_sums():
     ends = lambda dist: tuple(next(v for v, c in zip(sorted(dist), np.cumsum([float(dist[k]) for k in sorted(dist)])) if c >= q - 1e-12) for q in (0.025, 0.975))
     for n in (1, 2, 7, 40):
