@@ -20,7 +20,7 @@ def micros(col: str):
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
-def sliced(df: DataFrame, order: list[str], per_slice: int | None = None) -> DataFrame:
+def sliced(df: DataFrame, order: list, per_slice: int | None = None) -> DataFrame:
     """The rows with `_slice`, which grows with `order`: slices of about `per_slice` rows, however the keys are spread.
 
     Spark's range partitioning samples the splitters; their number follows the number of rows. Rows of equal order share a
@@ -36,6 +36,15 @@ def before(df: DataFrame, keys: list[str], value) -> DataFrame:
     return df.select(*keys, "_slice", value.over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
 
 
+def numbered(df: DataFrame, keys: list[str], order: list, out: str, per_slice: int | None = None) -> DataFrame:
+    """The rows with their place (from 0) among those of their keys. `order` must leave no ties, as slices end between rows."""
+    s = sliced(df, [*keys, *order], per_slice)
+    starts = before(s.groupBy(*keys, "_slice").agg(F.count("*").alias("_n")), keys, F.sum("_n"))
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    return _same(s.withColumn("_i", F.row_number().over(w) - 1), starts, [*keys, "_slice"]).select(
+        *df.columns, (F.coalesce("_before", F.lit(0)) + F.col("_i")).cast("long").alias(out))
+
+
 def _same(a: DataFrame, b: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
     """A null-safe join on equally named columns; b's are dropped."""
     c = b.withColumnsRenamed({x: f"_r_{x}" for x in cols})

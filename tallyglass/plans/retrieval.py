@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyglass.operators import lexical, metrics, profile, retrieval, values, vectors
+from tallyglass.operators import history, lexical, metrics, profile, retrieval, values, vectors
 from tallyglass.plans import sqltext as S
 from tallyglass.plans.common import money, ratio
 from tallyglass.plans.registry import query
@@ -88,10 +88,8 @@ WITH a AS (SELECT p_brand AS query, p_partkey AS doc, row_number() OVER (PARTITI
 b AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) - 1 FROM part)
 SELECT query, doc, round(sum(1.0 / (61 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2""")
 def _(t):
-    from pyspark.sql import Window
     p = t.part.select(F.col("p_brand").alias("query"), F.col("p_partkey").alias("doc"), "p_size", "p_name")
-    lists = [p.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*o, "doc")) - 1)
-             for o in ([F.desc("p_size")], ["p_name"])]
+    lists = [history.numbered(p, ["query"], [*o, "doc"], "rank") for o in ([F.desc("p_size")], ["p_name"])]
     return retrieval.rrf(lists).select("query", "doc", F.round("score", 9).alias("score"))
 
 

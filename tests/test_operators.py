@@ -182,6 +182,16 @@ def test_quantiles_of_groups_of_every_size(spark, accuracy):
         assert [r[c] for c in probs] == pytest.approx(np.quantile(groups[r["k"]], list(probs.values())).tolist()), r["k"]
 
 
+def test_numbers_within_keys_over_slices(spark):
+    rows = [(i, "hot" if i % 9 else f"k{i % 4}", (i * 7919) % 101) for i in range(1500)]
+    d = spark.createDataFrame(rows, "u long, k string, size int")
+    got = {r["u"]: r["rank"] for r in history.numbered(d, ["k"], [F.desc("size"), "u"], "rank", 60).collect()}
+    per = {}
+    for u, k, size in sorted(rows, key=lambda r: (-r[2], r[0])):
+        per.setdefault(k, []).append(u)
+    assert got == {u: i for v in per.values() for i, u in enumerate(v)}
+
+
 def test_interval_ends_equal_plain_sums():
     ends = lambda dist: tuple(next(v for v, c in zip(sorted(dist), np.cumsum([float(dist[k]) for k in sorted(dist)])) if c >= q - 1e-12) for q in (0.025, 0.975))
     for n in (1, 2, 7, 40):
