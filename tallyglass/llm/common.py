@@ -41,6 +41,21 @@ def keep(df: DataFrame, kind: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_dealt(df: DataFrame, column: str, kind: str = "table") -> DataFrame:
+    """As `keep`, but in buckets of a column: joins on it move the other side only, however often they are made.
+
+    One bucket for each shuffle partition of the session. Such a join can't split a hot key, so join rows to it that
+    are distinct in the column. The table leaves the catalog at once, its files stay as those of `keep` do.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, kind)
+    name = f"{kind}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, column).saveAsTable(name, format="parquet")
+    read = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return read
+
+
 def fanout(spark: SparkSession) -> int:
     """Slices for two-level sums: follows the partitions that the cluster is set to."""
     return max(256, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))

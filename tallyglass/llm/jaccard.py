@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.llm import words as W
-from tallyglass.llm.common import keep, row_key, rows_of, table
+from tallyglass.llm.common import keep, keep_dealt, row_key, rows_of, table
 from tallyglass.llm.graph import components
 
 NAME = "op8_jaccard"
@@ -26,8 +26,8 @@ MAX_MATCHES = 12
 VERIFY_COST = 30.0
 #: Rounds in which each document tries one partner, before all that is left is tried.
 PROBES = 2
-#: The lists of shingles whose sets are in more components than this are hot: pivots thin their pairs out.
-HOT_ROOTS = 16
+#: Shingles beyond the pivot's that a pair must share within the part of them that is looked up, if it needs so many.
+REST_MATCHES = 4
 
 
 def shingle_sets(column):
@@ -87,6 +87,14 @@ def ranked_tokens(found: DataFrame) -> np.ndarray:
     return np.sort(out, order="token")
 
 
+def frequency(s: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The counts of shingles; 0 for those that are not ranked."""
+    if not len(known):
+        return np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(known["token"], s), len(known) - 1)
+    return np.where(known["token"][at] == s, known["seen"][at], 0)
+
+
 def prefix(s: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, int]:
     """The prefix of a set, rarest shingles first, and the number of shared shingles it asks for.
 
@@ -125,8 +133,7 @@ def postings(docs: DataFrame, ranked: np.ndarray, buckets: int) -> DataFrame:
                 if node is None or node in done:
                     continue
                 done.add(node)
-                at = np.minimum(np.searchsorted(known["token"], s), max(0, len(known) - 1))
-                seen = np.where(known["token"][at] == s, known["seen"][at], 0) if len(known) else np.zeros(len(s), np.int64)
+                seen = frequency(s, known)
                 p, take = prefix(s, seen)
                 t = s[p]
                 e = np.zeros(len(p), entry)
@@ -198,7 +205,22 @@ def promising(lists: DataFrame) -> DataFrame:
     return keep(left.join(two, "token"), "promising")
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+class Texts:
+    """One text for each set in the lists, dealt once into buckets: a step that asks for some moves these alone."""
+
+    def __init__(self, docs: DataFrame, found: DataFrame, lists: DataFrame):
+        # rows that share a doc_id have each their own text
+        first = found.filter("set is not null").groupBy(F.col("set").alias("node")).agg(F.min("key").alias("_wanted"))
+        self.names = keep(first.join(lists.select("node").distinct(), "node", "left_semi"), "names")
+        rows = docs.select(row_key().alias("_key"), "text").join(self.names, F.col("_key") == F.col("_wanted"), "left_semi")
+        self.rows = keep_dealt(rows.dropDuplicates(["_key"]), "_key", "texts")
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """(node, text) for a column of nodes, each once."""
+        return nodes.toDF("node").distinct().join(self.names, "node").join(self.rows, F.col("_wanted") == F.col("_key")).select("node", "text")
+
+
+def verify(pairs: DataFrame, texts: Texts) -> DataFrame:
     """Of pairs (u, v) of nodes those whose shingle sets link, by their whole texts."""
     def run(batches):
         for batch in batches:
@@ -206,9 +228,10 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             mask = pa.array(keep_at, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
-    a = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
-    b = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    pairs = keep(pairs.select("u", "v"), "pairs")
+    a = texts.of(pairs.select("u")).toDF("u", "a")
+    b = texts.of(pairs.select("v")).toDF("v", "b")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -242,32 +265,47 @@ def needed(nu, nv):
     return F.ceil((F.col(nu) + F.col(nv)) * PERCENT / (100 + PERCENT))
 
 
-def past_pivots(left: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Posting entries with `cap`, and the pairs (u, v) that caps leave out of hot lists but that may link.
+def past_pivots(left: DataFrame, texts: Texts, ranked: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Posting entries with `cap`, and the pairs (u, v) that caps leave out of the lists but that may link.
 
-    Large families hold many sets that fall just short of a link, too near for prefixes to tell. So each set x of a hot
-    list is held against one pivot c, the set with the largest shared part that it meets most often there. With any y it
-    shares at most what it shares with c, and what y has of x's other shingles. Where y is so large (beyond `cap`) that
-    the former can't be enough, y must have some of the latter: these few shingles, looked up among all shingles of the
-    sets in hot lists, find every such y, and the hot lists themselves need not pair the two.
+    Large families hold many sets that fall just short of a link, too near for prefixes to tell. So each set x is held
+    against one pivot c, of the sets with the largest shared part in its lists the one that it meets most often. With
+    any y it shares at most what it shares with c, and what y has of x's other shingles. Where y is so large (beyond
+    `cap`) that the former can't be enough, y must have some of the latter: these few shingles, looked up among all
+    shingles of the sets in lists, find every such y, and the lists themselves need not pair the two.
+
+    Of m other shingles a y of which k are needed has at least l among the first m - k + l, rarest first. k grows with
+    y's size, so each shingle is looked up for sizes up to its own `most` only, and the frequent ones for few.
     """
-    hot = left.groupBy("token").agg(F.count_distinct("root").alias("_k")).filter(F.col("_k") > HOT_ROOTS).select("token")
-    entries = keep(left.join(hot, "token").select("token", "node", "root", "n", "share"), "hot")
+    shared = left.sparkSession.sparkContext.broadcast(ranked)  # RANKED entries at most
+    entries = left.select("token", "node", "root", "n", "share")
     lead = entries.groupBy("token").agg(F.max(F.struct("share", "node")).alias("_l")).select("token", F.col("_l.node").alias("pivot"))
     met = entries.join(lead, "token").filter("node <> pivot").groupBy("node", "root", "n", "pivot").agg(F.count("*").alias("_c"))
     chosen = met.groupBy("node", "root", "n").agg(F.max(F.struct("_c", "pivot")).alias("_p")).select("node", "root", "n", F.col("_p.pivot").alias("pivot"))
 
     def rest(batches):
+        known = shared.value
         for batch in batches:
-            out = []
+            heads, tokens, most = [], [], []
             for (r, x), (_, c) in zip(shingle_sets(batch.column(3)), shingle_sets(batch.column(4)), strict=True):
-                other = np.setdiff1d(x, c, assume_unique=True).view(np.int64)
-                out.append(([batch.column(i)[r].as_py() for i in range(3)], len(x) - len(other), other))
-            if out:
-                k = [len(o) + 1 for _, _, o in out]  # one row without a shingle, for sets that have no others
-                own = [np.repeat([h[i] for h, _, _ in out], k) for i in range(3)]
-                tokens = pa.array([t for _, _, o in out for t in (None, *o.tolist())], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), pa.array(own[2].astype(np.int32)), pa.array(np.repeat([v for _, v, _ in out], k).astype(np.int32)), tokens], ["u", "ru", "nu", "both", "token"])
+                other = np.setdiff1d(x, c, assume_unique=True)
+                n, m = len(x), len(other)
+                other = other[np.lexsort((other, frequency(other, known)))]
+                # sizes of partners that need no more shingles than these, without the others and from each of them on
+                largest = (n - m + np.append(0, m - np.arange(m) + REST_MATCHES - 1)) * (100 + PERCENT) // PERCENT - n
+                asks = largest[1:] >= max(-(-PERCENT * n // 100), largest[0] + 1)
+                heads.append((r, n - m, largest[0], int(asks.sum())))
+                tokens.append(other[asks].view(np.int64))
+                most.append(largest[1:][asks])
+            if heads:
+                k = np.array([h[3] + 1 for h in heads])  # one row without a shingle for each set
+                row, both, cap = (np.repeat(np.array([h[i] for h in heads]), k) for i in range(3))
+                first = np.cumsum(k) - k
+                token, size = np.zeros(int(k.sum()), np.int64), np.zeros(int(k.sum()), np.int32)
+                place = np.ones(len(token), bool)
+                place[first] = False
+                token[place], size[place] = np.concatenate(tokens), np.concatenate(most)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(row)) for i in range(3)], pa.array(both.astype(np.int32)), pa.array(cap.astype(np.int32)), pa.array(size), pa.array(token, mask=~place)], ["u", "ru", "nu", "both", "cap", "most", "token"])
 
     def whole(batches):
         for batch in batches:
@@ -275,16 +313,17 @@ def past_pivots(left: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
                 n = len(s)
                 yield pa.RecordBatch.from_arrays([*[pa.repeat(batch.column(i)[r], n) for i in range(3)], pa.array(s.view(np.int64))], ["v", "rv", "nv", "token"])
 
-    pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("_t"))
-    probes = keep(chosen.join(texts, "node").join(pivots, "pivot").select("node", "root", "n", "text", "_t").mapInArrow(rest, "u long, ru long, nu int, both int, token long"), "probes")
-    index = entries.select("node", "root", "n").distinct().join(texts, "node").select("node", "root", "n", "text").mapInArrow(whole, "v long, rv long, nv int, token long")
+    chosen = keep(chosen, "chosen")
+    pivots = texts.of(chosen.select("pivot")).toDF("pivot", "_t")
+    probes = keep(chosen.join(texts.of(chosen.select("node")), "node").join(pivots, "pivot").select("node", "root", "n", "text", "_t").mapInArrow(rest, "u long, ru long, nu int, both int, cap int, most int, token long"), "probes")
+    index = entries.select("node", "root", "n").distinct().join(texts.of(entries.select("node")), "node").select("node", "root", "n", "text").mapInArrow(whole, "v long, rv long, nv int, token long")
     near = 100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")
-    pairs = probes.filter("token is not null").join(index, "token").filter((F.col("ru") != F.col("rv")) & near)
-    pairs = pairs.groupBy("u", "nu", "both", "v", "nv").agg(F.count("*").alias("_c")).filter(F.col("_c") + F.col("both") >= needed("nu", "nv")).select("u", "v")
+    pairs = probes.filter("token is not null").join(index, "token").filter((F.col("ru") != F.col("rv")) & near & (F.col("nv") > F.col("cap")) & (F.col("nv") <= F.col("most")))
+    enough = F.least(F.lit(REST_MATCHES), needed("nu", "nv") - F.col("both"))
+    pairs = pairs.groupBy("u", "nu", "both", "v", "nv").agg(F.count("*").alias("_c")).filter(F.col("_c") >= enough).select("u", "v")
     # the largest partner that the shingles shared with the pivot may be enough for
-    caps = probes.filter("token is null").select(F.col("u").alias("node"), (F.floor(F.col("both") * (100 + PERCENT) / PERCENT) - F.col("nu")).cast("int").alias("cap"))
-    listed = left.join(hot.withColumn("_hot", F.lit(True)), "token", "left").join(caps, "node", "left")
-    return listed.withColumn("cap", F.when(F.col("_hot"), F.col("cap"))).drop("_hot"), pairs
+    caps = probes.filter("token is null").select(F.col("u").alias("node"), "cap")
+    return left.join(caps, "node", "left"), pairs
 
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -298,12 +337,9 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = promising(postings(docs, ranked_tokens(found), buckets))
-    # one text for each set in the lists; rows that share a doc_id have each their own
-    first = found.filter("set is not null").groupBy(F.col("set").alias("node")).agg(F.min("key").alias("_wanted"))
-    wanted = first.join(lists.select("node").distinct(), "node", "left_semi")
-    texts = docs.select(row_key().alias("_key"), "text").join(wanted, F.col("_key") == F.col("_wanted"))
-    texts = keep(texts.dropDuplicates(["_key"]).select("node", "text"), "texts")
+    ranked = ranked_tokens(found)
+    lists = promising(postings(docs, ranked, buckets))
+    texts = Texts(docs, found, lists)
     near = 100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")
     links = spark.createDataFrame([], "u long, v long")
     labels = None
@@ -318,7 +354,7 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
         pairs = tries.groupBy("u").agg(F.max(F.struct("_c", "v")).alias("_b")).select("u", F.col("_b.v").alias("v"))
         links = keep(links.union(verify(pairs, texts)), "links")
         labels = components(links)
-    left, more = past_pivots(rivals(rivals(_labelled(lists, labels)).drop("size", "ok")), texts)
+    left, more = past_pivots(rivals(rivals(_labelled(lists, labels)).drop("size", "ok")), texts, ranked)
     ends = ("node", "root", "n", "matches", "size", "ok", "cap")
     a, b = (left.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ends]) for x in "uv")
     a, b = (d.withColumnsRenamed({f"node_{x}": x, f"n_{x}": f"n{x}", f"matches_{x}": f"m{x}"}) for d, x in ((a, "u"), (b, "v")))
