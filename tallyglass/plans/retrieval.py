@@ -117,8 +117,11 @@ def value_questions(t):
                                           F.lit(" segment?")).alias("question"))
 
 
-_TEXT_COLS = [("nation", "n_name"), ("region", "r_name"), ("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("customer", "c_mktsegment")]
-_VALUES_SQL = " UNION ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {c} AS value FROM {t}" for t, c in _TEXT_COLS)
+#: Every text column of every table.
+_TEXT_COLS = {"region": "r_name", "nation": "n_name", "customer": "c_name c_mktsegment", "supplier": "s_name", "part": "p_name p_brand p_type",
+              "orders": "o_orderstatus o_orderpriority", "lineitem": "l_returnflag l_linestatus", "events": "event_type props",
+              "documents": "text lang source", "pages": "url html", "benchmark": "text", "conversations": "role text"}
+_VALUES_SQL = " UNION ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {c} AS value FROM {t} WHERE length({c}) > 1" for t, cs in _TEXT_COLS.items() for c in cs.split())
 _JACCARD = "len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb)))"
 
 
@@ -131,19 +134,18 @@ s0 AS (SELECT question, pos, trim(array_to_string(p, ' '), '.,?') AS span FROM r
  UNION ALL SELECT question, 0, regexp_extract(text, '''([^'']+)''', 1) FROM cq),
 s AS (SELECT * FROM s0 WHERE length(span) > 2),
 v AS ({_VALUES_SQL}),
-vg AS (SELECT *, lower(value) AS low, {S.trigrams('value')} AS gb FROM v),
 sd AS (SELECT DISTINCT lower(span) AS low FROM s), sg AS (SELECT low, {S.trigrams('low')} AS ga FROM sd),
-hit AS (SELECT sg.low, vg."table", vg."column", vg.value, CASE WHEN sg.low = vg.low THEN 1.0 ELSE {_JACCARD} END AS score
- FROM sg, vg WHERE CASE WHEN sg.low IN (SELECT low FROM vg) THEN sg.low = vg.low ELSE {_JACCARD} >= 0.75 END),
+vd AS (SELECT DISTINCT lower(value) AS low FROM v), vg AS (SELECT * FROM (SELECT low, {S.trigrams('low')} AS gb FROM vd) WHERE len(gb) * .75 <= (SELECT max(len(ga)) FROM sg)),
+x1 AS (SELECT low, len(ga) AS na, unnest(ga) AS g FROM sg WHERE low NOT IN (SELECT low FROM vd)), y1 AS (SELECT low, len(gb) AS nb, unnest(gb) AS g FROM vg),
+near AS (SELECT x1.low AS l, y1.low AS r, count(*) / (any_value(na) + any_value(nb) - count(*)) AS score FROM x1 JOIN y1 USING (g) GROUP BY 1, 2),
+both_ AS (SELECT low AS l, low AS r, 1.0 AS score FROM sd WHERE low IN (SELECT low FROM vd) UNION ALL SELECT l, r, score FROM near WHERE score >= .75),
+hit AS (SELECT l AS low, "table", "column", value, score FROM both_ JOIN v ON lower(v.value) = both_.r),
 b AS (SELECT question, "table", "column", value, span, score, row_number() OVER (PARTITION BY question, "table", "column", value ORDER BY score DESC, pos) AS k
  FROM s JOIN hit ON lower(s.span) = hit.low),
 x AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(score, 3) DESC, length(span) DESC, "table", "column", value) AS rank FROM b WHERE k = 1)
 SELECT question, "table", "column", value, span, round(score, 3) AS score, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 8""")
 def _(t):
-    frames = {}
-    for name, col in _TEXT_COLS:
-        frames.setdefault(name, []).append(col)
-    ix = values.value_index({n: getattr(t, n).select(*c) for n, c in frames.items()})
+    ix = values.value_index(t.frames())
     return values.match_values(value_questions(t), "c_custkey", "question", ix)
 
 

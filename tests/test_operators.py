@@ -116,6 +116,35 @@ def test_similarity_join_finds_every_pair(spark):
     assert {(r["l"], r["r"]) for r in got.collect()} == want
 
 
+def test_similarity_join_spreads_a_gram_that_every_text_has(spark):
+    """20,000 texts of one template: all share its grams, almost none are similar."""
+    d = spark.range(20_000).select(F.concat(F.lit("item no. "), F.md5(F.col("id").cast("string"))).alias("w"))
+    a, b = values.postings(d.select(F.col("w").alias("l")), d.select(F.col("w").alias("r")), 0.2, block=500)
+    met = a.groupBy("key").agg(F.count("*").alias("l")).join(b.groupBy("key").agg(F.count("*").alias("r")), "key")
+    r = met.agg(F.max("l"), F.max("r"), F.count("*")).first()
+    # Blocks are dealt by a hash: no key holds twice its share, though some grams stand in thousands of prefixes.
+    assert r[0] <= 1000 and r[1] <= 1000
+    hot = b.select("key.gram", "key.class", "text").distinct().groupBy("gram", "class").count().agg(F.max("count")).first()[0]
+    assert hot > 1000
+
+
+@pytest.mark.parametrize("score", [0.2, 0.5, 0.75, 1.0])
+def test_similarity_join_is_whole_with_tiny_blocks(spark, monkeypatch, score):
+    rng = random.Random(int(score * 10))
+    words = sorted({"ab" + "".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(120)} | {"", "  ", "A B", "a b"})
+    d = spark.createDataFrame([(w,) for w in words], "w string")
+    whole = values.postings
+    monkeypatch.setattr(values, "postings", lambda left, right, s: whole(left, right, s, block=3))
+    rows = [tuple(r) for r in values.similar(d.select(F.col("w").alias("l")), d.select(F.col("w").alias("r")), score).collect()]
+
+    def grams(s):
+        p = f"  {s.lower().strip()} "
+        return {p[i:i + 3] for i in range(len(p) - 2)}
+
+    want = {(x, y) for x in words for y in words if grams(x) and grams(y) and len(grams(x) & grams(y)) / len(grams(x) | grams(y)) >= score}
+    assert len(rows) == len(set(rows)) and {(x, y) for x, y, _s in rows} == want
+
+
 def test_value_matching(spark):
     inv = spark.createDataFrame([("Germany",), ("France",)], "country string")
     art = spark.createDataFrame([("Led Zeppelin",), ("Queen",)], "name string")
