@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +29,53 @@ def _verdict(spark, value: bool) -> DataFrame:
     return spark.range(1).select(F.lit(value).alias("match"))
 
 
-def pairings(gold_sig: list, pred_sig: list) -> list[tuple[int, ...]]:
-    """Choices of a distinct predicted column for each gold column with the same values."""
+def _pair_signatures(df: DataFrame, cols: list[int]) -> tuple[dict, set]:
+    """Of each two columns: a multiset signature of their value pairs, and whether they are the same in every row."""
+    pairs = [(i, j) for i in cols for j in cols if i < j]
+    if not pairs:
+        return {}, set()
+    sig = lambda a, b: F.xxhash64(F.coalesce(a, F.lit("\0null")), F.coalesce(b, F.lit("\0null")))
+    out = []
+    for i, j in pairs:
+        x, y = F.col(f"c{i}"), F.col(f"c{j}")
+        out.append(F.struct(F.sum(sig(x, y).cast("decimal(38,0)")).alias("s"), F.sum(sig(y, x).cast("decimal(38,0)")).alias("t"),
+                            F.bool_and(x.eqNullSafe(y)).alias("same")).alias(f"p{i}_{j}"))
+    row = df.agg(*out).first()
+    signs = {}
+    for i, j in pairs:
+        r = row[f"p{i}_{j}"]
+        signs[i, j], signs[j, i] = r["s"], r["t"]
+    return signs, {(i, j) for i, j in pairs if row[f"p{i}_{j}"]["same"]}
+
+
+def pairings(gold_sig: list, pred_sig: list, gold_pairs=({}, set()), pred_pairs=({}, set())) -> list[tuple[int, ...]]:
+    """Choices of a distinct predicted column for each gold column with the same values.
+
+    Where several columns have the same values, those of every two must agree as well, and columns that are the same in every
+    row are taken in order, as swapping them changes nothing. So ten equal columns give one choice.
+    """
     options = [[j for j, p in enumerate(pred_sig) if p == g] for g in gold_sig]
-    return [p for p in product(*options) if len(set(p)) == len(p)]
+    (gp, _gold_same), (pp, pred_same) = gold_pairs, pred_pairs
+    out = []
+
+    def fits(chosen: list[int], j: int) -> bool:
+        i = len(chosen)
+        for a, b in enumerate(chosen):
+            if (a, i) in gp and (b, j) in pp and gp[a, i] != pp[b, j]:
+                return False
+        # Of columns alike in every row, the first that is free.
+        return all(k in chosen for k in options[i] if (k, j) in pred_same)
+
+    def grow(chosen: list[int]) -> None:
+        if len(chosen) == len(options):
+            out.append(tuple(chosen))
+            return
+        for j in options[len(chosen)]:
+            if j not in chosen and fits(chosen, j):
+                grow([*chosen, j])
+
+    grow([])
+    return out
 
 
 def same_rows(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -60,7 +101,9 @@ def results_equal(gold: DataFrame, pred: DataFrame, position: str | None = None,
     if ng != np_ or (len(gs) != len(ps) and not extra_columns) or len(ps) < len(gs):
         return _verdict(spark, False)
     out = None
-    for perm in pairings(gs, ps):
+    unclear = {p for p in ps if ps.count(p) > 1} & set(gs)
+    several = [_pair_signatures(d, [i for i, x in enumerate(sig) if x in unclear]) for d, sig in ((g, gs), (p, ps))]
+    for perm in pairings(gs, ps, *several):
         names = [f"c{i}" for i in range(len(perm))]
         if position:
             a = _placed(gold, position, lenient)

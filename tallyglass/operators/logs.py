@@ -94,6 +94,11 @@ def drift(records: DataFrame, keys: list[str], now: Column | None = None, window
     s = g.join(q, [*keys, "_w"])
     pick = lambda w, c: F.max(F.when(F.col("_w") == w, F.col(c)))
     m = s.groupBy(*keys).agg(*[pick(w, c).alias(w + c) for w in ("cur", "base") for c in ("_n", "_k", "_cost", "_p95")])
+    return judged(m, keys, min_runs, latency_ratio, cost_ratio)
+
+
+def judged(m: DataFrame, keys: list[str], min_runs: int = 20, latency_ratio: float = 1.5, cost_ratio: float = 1.5) -> DataFrame:
+    """Alerts of one row per key with the count _n, passes _k, mean cost _cost and latency _p95 of both windows (prefix cur and base)."""
     m = m.withColumn("window_runs", F.coalesce("cur_n", F.lit(0))).withColumn("baseline_runs", F.coalesce("base_n", F.lit(0)))
     enough = (F.col("window_runs") >= min_runs) & (F.col("baseline_runs") >= min_runs)
     m = m.withColumn("_ci", tails.rate_interval(F.col("cur_n").cast("double"), F.col("cur_k").cast("double")))

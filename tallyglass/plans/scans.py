@@ -110,6 +110,20 @@ def _(t):
     return estimates(t)
 
 
+@query("src_12_scan_cost_by_column")
+def _(t):
+    """Two columns of a table cost what their chunks take; all columns, nearly the files."""
+    d, _flat = lake_paths(t)
+    every = F.lit(True)
+    out = []
+    for tag, path, columns in (("events: value", d, ["value"]), ("events: all", d, t.events.columns),
+                               ("lineitem: price and ship date", t.file("lineitem"), ["l_extendedprice", "l_shipdate"]),
+                               ("lineitem: all", t.file("lineitem"), t.lineitem.columns), ("documents: text", t.file("documents"), ["text"]),
+                               ("documents: source", t.file("documents"), ["source"])):
+        out.append(layout.scan_estimate(t.spark, path, every, 200_000, 50_000_000_000, columns).select(F.lit(tag).alias("tag"), "*"))
+    return union(out)
+
+
 @query("log_10_partition_savings")
 def _(t):
     return layout.savings(estimates(t), "tag")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyglass.operators.profile import union
+from tallyglass.plans import sqltext as S
 from tallyglass.plans.common import ratio
 from tallyglass.plans.logs import feedback, live_runs
 from tallyglass.plans.registry import query
@@ -37,6 +38,28 @@ def _(t):
     return d.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "service", "runs", "passes", ratio("cost").alias("cost"))
 
 
+@query("str_1_drift_alerts", f"""
+WITH c AS (SELECT date_trunc('day', ts) AS day, event_id % 5 AS service, event_type <> 'error' AND event_id % 5 > 0 AND event_id % 7 > 0 AND event_id % 11 > 0 AS passed, value AS lat, value / 1000 AS cost FROM events),
+g AS (SELECT day, service, count(*) AS cn, count(*) FILTER (WHERE passed) AS ck, quantile_disc(lat, .95) AS c95, avg(cost) AS cc FROM c
+ WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL),
+b AS (SELECT g.day, g.service, count(*) AS bn, avg(passed::INT) AS bp, quantile_disc(lat, .95) AS b95, avg(cost) AS bc FROM g JOIN c ON c.service = g.service AND c.day < g.day AND c.day >= g.day - INTERVAL 7 DAY GROUP BY ALL),
+h AS (SELECT day, service, cn AS n, ck AS k FROM g), e AS ({S.rate_ends('h', 'day, service')}),
+j AS (SELECT *, cn >= 20 AND coalesce(bn, 0) >= 20 AS enough FROM g LEFT JOIN b USING (day, service) LEFT JOIN e USING (day, service)),
+a AS (SELECT *, concat_ws('; ', CASE WHEN enough AND hi < bp THEN printf('pass rate dropped: %.1f%% [%.1f%%, %.1f%%] vs baseline %.1f%%', ck / cn * 100, lo * 100, hi * 100, bp * 100) END,
+ CASE WHEN enough AND c95 > 1.5 * b95 THEN printf('p95 latency %.1fs vs baseline %.1fs', c95, b95) END,
+ CASE WHEN enough AND bc > 0 AND cc > 1.5 * bc THEN printf('cost per question $%.5f vs baseline $%.5f', cc, bc) END) AS alerts FROM j)
+SELECT strftime(day, '%Y-%m-%d') AS day, service, CAST(cn AS BIGINT) AS window_runs, CAST(coalesce(bn, 0) AS BIGINT) AS baseline_runs, round(c95, 6) AS cur_p95, round(b95, 6) AS base_p95,
+ round(ck / cn, 6) AS cur_pass, round(bp, 6) AS base_pass, round(cc, 12) AS cur_cost, round(bc, 12) AS base_cost, alerts,
+ CASE WHEN NOT enough THEN 'insufficient data' WHEN alerts <> '' THEN 'alert' ELSE 'ok' END AS status FROM a""")
+def _(t):
+    r = live_runs(t).withColumn("service", F.col("run_id") % 5).select("ts", "service", "passed", "cost_usd", "latency_s")
+    d = jobs.drift_alerts(stream(t, r, "drift-runs", ["ts"]), "service")
+    num = ("cur_p95", "base_p95", "cur_pass", "base_pass")
+    return d.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "service", "window_runs", "baseline_runs", *[ratio(c).alias(c) for c in num],
+                    *[F.round(c, 12).alias(c) for c in ("cur_cost", "base_cost")],
+                    F.array_join("alerts", "; ").alias("alerts"), "status")
+
+
 @query("str_2_rolling_budget", """
 SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM events""")
 def _(t):

@@ -30,13 +30,47 @@ def clean_dimension(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*cols).distinct()
 
 
-def scan_estimate(spark: SparkSession, path: str, predicate: Column, confirm_bytes: int | None = None, max_bytes: int | None = None) -> DataFrame:
-    """bytes, files, usd, text, verdict of reading the files that survive pruning by `predicate`.
+def column_chunks(paths: DataFrame) -> DataFrame:
+    """path, row_group, column, n_rows, stored_bytes, plain_bytes: one row per column chunk, from the footers of the files in `path`.
 
-    One row per file: names and sizes only, no content. The predicate must be on partition columns.
+    Each task reads the footers of its files and no data. Nested columns are told by their top name.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    one = listed.where(predicate).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
+    def read(batches):
+        import pandas as pd
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        names = ["path", "row_group", "column", "n_rows", "stored_bytes", "plain_bytes"]
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                where, name = fs.FileSystem.from_uri(path.replace("file:///", "/") if path.startswith("file:") else path)
+                with where.open_input_file(name) as f:
+                    meta = pq.ParquetFile(f).metadata
+                for g in range(meta.num_row_groups):
+                    group = meta.row_group(g)
+                    for c in range(group.num_columns):
+                        chunk = group.column(c)
+                        rows.append((path, g, chunk.path_in_schema.split(".")[0], group.num_rows, chunk.total_compressed_size, chunk.total_uncompressed_size))
+            yield pd.DataFrame(rows, columns=names)
+
+    return paths.select("path").mapInPandas(read, "path string, row_group int, column string, n_rows long, stored_bytes long, plain_bytes long")
+
+
+def scan_estimate(spark: SparkSession, path: str, predicate: Column, confirm_bytes: int | None = None, max_bytes: int | None = None,
+                  columns: list[str] | None = None) -> DataFrame:
+    """bytes, files, usd, text, verdict of reading `columns` (all, if None) of the files that survive pruning by `predicate`.
+
+    The predicate must be on partition columns. With `columns` the footers of the files say how many bytes these
+    columns take; without, the lengths of the files do. No content is read.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).where(predicate)
+    one = listed.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
+    if columns is not None:
+        # A footer is small: files are spread by number, as a scan task would take many of them by their listed length.
+        read = column_chunks(listed.select("path").repartition(spark.sparkContext.defaultParallelism, "path"))
+        sizes = read.agg(F.coalesce(F.sum(F.when(F.col("column").isin(list(columns)), F.col("stored_bytes"))), F.lit(0)).alias("bytes"))
+        one = sizes.crossJoin(one.select("files"))
     v = F.lit("run")
     if confirm_bytes is not None:
         v = F.when(F.col("bytes") > confirm_bytes, "confirm").otherwise(v)

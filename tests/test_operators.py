@@ -12,6 +12,7 @@ from tallyglass.functions import tails
 from tallyglass.operators import (anomaly, charts, claims, cluster, compare, evaluate, forecast, history, lexical, logs, metrics, paired, pareto, router,
                                   privacy, profile, quality, retrieval, sampling, stats, summary, ties, values, vectors)
 from tallyglass.session import cut
+from tallyglass.sources import layout
 
 
 def numbers_frame(spark, xs, parts=1):
@@ -465,3 +466,54 @@ def test_short_series_are_reported(spark):
 def test_shares_come_for_any_number_of_categories(spark):
     d = spark.range(12).select(F.col("id").alias("c"), F.lit(1.0).alias("v"))
     assert {(round(r["share"], 6), r["pie_ok"]) for r in charts.shares(d, "c", "v").collect()} == {(round(1 / 12, 6), False)}
+
+
+def test_ten_equal_columns_give_one_pairing(spark):
+    g = spark.range(50).select(F.col("id").alias("k"), *[(F.col("id") % 3).alias(f"v{i}") for i in range(10)])
+    p = g.select(*reversed(g.columns))
+    sg, sp = compare.spelled(g), compare.spelled(p)
+    gs, ps = compare._signatures(sg)[1], compare._signatures(sp)[1]
+    alike = [i for i, x in enumerate(gs) if gs.count(x) > 1], [i for i, x in enumerate(ps) if ps.count(x) > 1]
+    assert len(compare.pairings(gs, ps, compare._pair_signatures(sg, alike[0]), compare._pair_signatures(sp, alike[1]))) == 1
+    assert compare.results_equal(g, p).first()[0]
+
+
+def test_columns_with_the_same_values_are_told_apart_by_pairs(spark):
+    """Three columns hold 0..8 in other orders: only the pairing that keeps rows together is equal, and a broken row is found."""
+    rows = [(i, (i * 2) % 9, (i * 4) % 9) for i in range(9)]
+    g = spark.createDataFrame(rows, "a int, b int, c int")
+    assert compare.results_equal(g, spark.createDataFrame([(c, a, b) for a, b, c in rows], "x int, y int, z int")).first()[0]
+    swapped = [(a, b, rows[(i + 1) % 9][2]) for i, (a, b, _c) in enumerate(rows)]
+    assert not compare.results_equal(g, spark.createDataFrame(swapped, "x int, y int, z int")).first()[0]
+    wide = spark.createDataFrame([(7, c, a, a, b) for a, b, c in rows], "n int, x int, y int, y2 int, z int")
+    assert compare.results_equal(g, wide, extra_columns=True).first()[0]
+    assert not compare.results_equal(g, wide.drop("x"), extra_columns=True).first()[0]
+
+
+def test_pairs_agree_but_triples_do_not(spark):
+    """Every two columns agree as pairs, the rows do not: the verdict is on whole rows."""
+    even = [(a, b, (a + b) % 2) for a in (0, 1) for b in (0, 1)]
+    odd = [(a, b, (a + b + 1) % 2) for a in (0, 1) for b in (0, 1)]
+    g, p = spark.createDataFrame(even, "a int, b int, c int"), spark.createDataFrame(odd, "a int, b int, c int")
+    assert not compare.results_equal(g, p).first()[0] and compare.results_equal(g, g).first()[0]
+
+
+def test_scan_cost_follows_the_columns(spark, t, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+    d = spark.range(5000).select("id", F.md5(F.col("id").cast("string")).alias("long"), F.array(F.struct(F.col("id").alias("x"))).alias("nested"), (F.col("id") % 2).alias("half"))
+    path = str(tmp_path / "t")
+    d.repartition(3).write.partitionBy("half").parquet(path)
+    want = {}
+    for f in glob.glob(path + "/half=1/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                x = meta.row_group(g).column(c)
+                want[x.path_in_schema.split(".")[0]] = want.get(x.path_in_schema.split(".")[0], 0) + x.total_compressed_size
+    cost = lambda cols: layout.scan_estimate(spark, path, F.col("half") == 1, columns=cols).first()
+    assert {c: cost([c])["bytes"] for c in want} == want
+    every = cost(list(want))
+    assert every["bytes"] == sum(want.values()) < layout.scan_estimate(spark, path, F.col("half") == 1).first()["bytes"] and cost([])["bytes"] == 0
+    assert layout.scan_estimate(spark, path, F.col("half") == 5, columns=["id"]).first()["bytes"] == 0

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tallyglass.operators import history
+from tallyglass.operators import history, logs
 from tallyglass.plans import streams
 from tallyglass.sources import sinks
 from tallyglass.streaming import jobs
@@ -58,3 +58,35 @@ def test_a_table_is_streamed_in_order_and_in_parts(spark, t, monkeypatch):
     got, q = jobs.run(jobs.stateful(s, "user_id", "event_id", F.unix_micros("ts"), jobs.RollingCount(), "used long"), "t-ordered-budget")
     want = {r["event_id"]: r["used"] for r in history.rolling_count(e, "user_id", "ts", "event_id").collect()}
     assert {r["u"]: r["used"] for r in got.collect()} == want and len([p for p in q.recentProgress if p.numInputRows]) > 2
+
+
+def test_drift_alerts_equal_the_batch_report(spark, t):
+    """Days close over several batches; each day's row says what the batch report says with that day's end as now."""
+    e = t.events.select("ts", (F.col("event_id") % 2).alias("service"), (F.col("event_type") != "error").alias("passed"),
+                        (F.col("value") * F.when(F.dayofmonth("ts") == 20, 4).otherwise(1)).alias("latency_s"), (F.col("value") / 1000).alias("cost_usd"))
+    day = F.dayofmonth("ts")
+    parts = [e.where(day <= 10), e.where((day > 10) & (day <= 20)), e.where(day > 20)]
+    got = jobs.drift_alerts(stream(spark, staged(spark, parts, "t-drift"), e.schema), "service", min_runs=10).collect()
+    assert len({r["day"] for r in got}) >= 28 and len(got) == len({(r["day"], r["service"]) for r in got})
+    for d in (9, 20):
+        now = F.lit(f"2024-01-{d + 1:02d} 00:00:00").cast("timestamp") - F.expr("interval 1 microsecond")
+        want = {r["service"]: r for r in logs.drift(e, ["service"], now, window_us=jobs.DAY_US - 1, min_runs=10).collect()}
+        mine = {r["service"]: r for r in got if r["day"].day == d}
+        assert set(mine) == set(want) == {0, 1}
+        for s, w in want.items():
+            m = mine[s]
+            assert [m[c] for c in ("window_runs", "baseline_runs", "dear")] == [w[c] for c in ("window_runs", "baseline_runs", "dear")]
+            calm = lambda r: [a for a in r["alerts"] if "p95" not in a]
+            assert calm(m) == calm(w)
+            assert abs(m["cur_pass"] - w["cur_pass"]) < 1e-12 and abs(m["base_cost"] - w["base_cost"]) < 1e-12
+            of = e.where((F.col("service") == s) & (day <= d))
+            now_p, then_p = (of.where(c).select(F.expr("percentile_disc(0.95) within group (order by latency_s)")).first()[0]
+                             for c in (day == d, (day < d) & (day >= d - 7)))
+            assert (m["cur_p95"], m["base_p95"]) == (now_p, then_p) and m["slow"] == (now_p > 1.5 * then_p)
+            assert m["slow"] or d == 9
+
+
+def test_drift_alerts_without_a_closed_day(spark, t):
+    e = t.events.where("event_id < 0").select("ts", F.lit(1).alias("service"), F.lit(True).alias("passed"), F.col("value").alias("latency_s"), F.col("value").alias("cost_usd"))
+    got = jobs.drift_alerts(stream(spark, staged(spark, [e], "t-drift-empty"), e.schema), "service")
+    assert got.count() == 0 and {"day", "service", "alerts", "status"} <= set(got.columns)
