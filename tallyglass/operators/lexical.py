@@ -101,12 +101,12 @@ def build(docs: DataFrame, key: str, text: str, group: str | None = None, shard_
     return Index(spark.read.schema("shard int, " + cols).parquet(path), n, shards)
 
 
-def best_of_shard(terms: list[tuple[float, list[tuple]]], norm: np.ndarray, k: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def best_of_shard(terms: list[tuple[float, list[tuple]]], norm: np.ndarray, k: int | None, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Documents of a shard that may be among the k best, their full scores, and how many blocks were read.
 
     terms: (weight, blocks) with blocks (lo, hi, bound, docs, tfs). The best block of each term gives a first sum per
     document, and the k-th of them a threshold. What all blocks together can give a document is known from their
-    bounds, so documents below the threshold, and blocks that hold none but such, are passed over.
+    bounds, so documents below the threshold, and blocks that hold none but such, are passed over. Without a k all are read.
     """
     def add(acc, w, block):
         at, tf = np.frombuffer(block[3], "<i4"), np.frombuffer(block[4], "<i4").astype(np.float64)
@@ -118,7 +118,7 @@ def best_of_shard(terms: list[tuple[float, list[tuple]]], norm: np.ndarray, k: i
         for lo, hi, bound, *_ in blocks:
             most[lo : hi + 1] += w * bound
     sure = first[allowed & (first > 0)]
-    least = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) > k else 0.0
+    least = np.partition(sure, len(sure) - k)[len(sure) - k] if k is not None and len(sure) > k else 0.0
     alive = allowed & (most >= least - ROOM)
     score, read = np.zeros(len(norm)), 0
     for w, blocks in terms:
@@ -131,10 +131,16 @@ def best_of_shard(terms: list[tuple[float, list[tuple]]], norm: np.ndarray, k: i
 
 
 def top_k(index: Index, queries: DataFrame, key: str, text: str, k: int, own: str | None = None) -> DataFrame:
-    """query, doc, score, rank (from 0) of the k best matches per query; repeated query words count repeatedly.
+    """query, doc, score, rank (from 0) of the k best matches per query, by scores; ties to nine places are settled by doc."""
+    w = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "doc")
+    return scores(index, queries, key, text, k, own).withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+
 
-    Queries go to every shard with the blocks of their words; each shard gives k rows per query at most, and only those
-    are shuffled. Documents of the query's own group (`own`, as the index's group) are left out before anything is ranked.
+def scores(index: Index, queries: DataFrame, key: str, text: str, k: int | None = None, own: str | None = None) -> DataFrame:
+    """query, doc, score of every match, or of all that can be among the k best; repeated query words count repeatedly.
+
+    Queries go to every shard with the blocks of their words; each shard gives a row per match, or k rows per query at
+    most, and nothing else is shuffled. Documents of the query's own group (`own`, as the index's group) are left out before anything is ranked.
     Scores that agree to nine places are ties, settled by doc.
     """
     spark = queries.sparkSession
@@ -174,6 +180,4 @@ def top_k(index: Index, queries: DataFrame, key: str, text: str, k: int, own: st
                 out["score"] += score[o].tolist()
         return pd.DataFrame(out)
 
-    found = left.groupBy("shard", "qb").cogroup(right.groupBy("shard", "qb")).applyInPandas(evaluate, kinds)
-    w = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "doc")
-    return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return left.groupBy("shard", "qb").cogroup(right.groupBy("shard", "qb")).applyInPandas(evaluate, kinds)
