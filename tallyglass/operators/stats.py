@@ -21,7 +21,7 @@ def outliers(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -
     """Tukey report per numeric column with at least four values."""
     cols = cols or numeric_columns(df)
     # One row per column meets the cells: bounded by the schema, not by the data.
-    cells = long_form(df, cols).where("NOT isnan(value)").join(fences(df, cols, exact=exact), "column")
+    cells = long_form(df, cols).where("NOT isnan(value)").join(F.broadcast(fences(df, cols, exact=exact)), "column")
     flat = F.col("q1") == F.col("q3")
     out = F.count_if(~flat & ((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))))
     g = cells.groupBy("column", "lo", "hi").agg(F.count("*").alias("n"), out.alias("n_outliers")).where("n >= 4")

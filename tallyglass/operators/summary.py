@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyglass.session import beside
+
 SKETCH_ACCURACY = 50_000
 
 
@@ -33,7 +35,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
         F.struct(F.lit(i).alias("_q"), F.col("_e")[i].alias("_lo"), F.col("_e")[len(names) + i].alias("_hi"),
                  (F.lit(float(probs[n])) * (F.col("_n") - 1)).alias("_h"))
         for i, n in enumerate(names)])
-    brackets = sketch.select(*keys, F.explode(spec).alias("_s")).select(*keys, "_s.*")
+    brackets = (beside(sketch) if keys else sketch).select(*keys, F.explode(spec).alias("_s")).select(*keys, "_s.*")
     j = rows.join(brackets, list(keys)) if keys else rows.crossJoin(brackets)
     # The rows below a bracket fold into one counted row before the shuffle, and those above. The slack on each side is
     # twice the sketch's error; as ranks are rounded, the wanted one may be the next beyond: the largest value below, or
