@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyglass import fixed
 from tallyglass.operators import paired
 from tallyglass.operators.profile import union
+from tallyglass.session import beside
 
 
 def run_summary(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,7 +29,8 @@ def ablation(runs: DataFrame, items: DataFrame) -> DataFrame:
     first = runs.groupBy("benchmark").agg(F.min_by("run", "position").alias("_first"))
     plan = runs.join(first, "benchmark").select("benchmark", "run", F.coalesce("baseline", "_first").alias("baseline"))
     rates = paired.rates(items, ["benchmark", "run"], "match").withColumnRenamed("point", "ex")
-    todo = plan.where("run <> baseline")
+    # A row per benchmark and run; each may have a large share of the items.
+    todo = beside(plan.where("run <> baseline"))
     this = items.join(todo, ["benchmark", "run"]).select("benchmark", "run", "baseline", "item", F.col("match").alias("this"))
     base = items.select("benchmark", F.col("run").alias("baseline"), "item", F.col("match").alias("base"))
     tests = paired.paired_test(this.join(base, ["benchmark", "baseline", "item"]), ["benchmark", "run"])
