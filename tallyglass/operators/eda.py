@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.operators import profile, stats, summary
-from tallyglass.operators.present import numeric_columns, time_columns
+from tallyglass.operators.present import FLOATING, numeric_columns, time_columns
 
 
 def _rows(df: DataFrame, part: int, order, section: str, metric, value, detail) -> DataFrame:
@@ -20,10 +20,10 @@ def report(df: DataFrame) -> DataFrame:
     nums, times = numeric_columns(df), time_columns(df)
     cats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
     pos = lambda names: F.array_position(F.array(*[F.lit(c) for c in names]), F.col("column"))
-    freq = profile.frequencies(df)
-    facts = freq.groupBy("column").agg(
-        F.sum("n").alias("rows"), F.count("value").alias("unique"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"))
+    # One scan counts rows and missing cells; only the categorical columns' distinct values are shown, so only they are shuffled.
+    gone = lambda f: F.col(f"`{f.name}`").isNull() | (F.isnan(f"`{f.name}`") if isinstance(f.dataType, FLOATING) else F.lit(False))
+    counts = [F.struct(F.lit(f.name).alias("column"), F.count("*").alias("rows"), F.count_if(gone(f)).alias("missing")) for f in df.schema.fields]
+    facts = df.agg(F.array(*counts).alias("_f")).select(F.explode("_f").alias("_f")).select("_f.*").where("rows > 0")
     total = facts.agg(F.max("rows").alias("rows"), F.sum("missing").alias("missing"), F.sum("rows").alias("cells"))
     dups = (df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
             .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("copies"), F.sum("_n").alias("rows")))
@@ -50,10 +50,12 @@ def report(df: DataFrame) -> DataFrame:
                            F.format_string("%.3f (%s)", "skew", "verdict"),
                            F.when(F.col("p_value").isNull(), "n too small for test").otherwise(F.format_string("p-value=%.4f", "p_value"))))
     if cats:
-        top = profile.top_values(freq.where(F.col("column").isin(*cats)), 3)
+        freq = profile.frequencies(df.select(*[f"`{c}`" for c in cats]))
+        top = profile.top_values(freq, 3)
+        unique = freq.groupBy("column").agg(F.count("value").alias("unique"))
         shown = F.array_join(F.transform(F.arrays_zip("top_values", "top_counts"), lambda x: F.format_string(
             "%s (%d)", x["top_values"], x["top_counts"])), ", ")
-        c = facts.join(top, "column")
+        c = unique.join(top, "column")
         parts.append(_rows(c, 2, pos(cats), "Categorical Stats", F.col("column"), F.format_string("%d unique values", "unique"),
                            F.concat(F.lit("Top: "), shown)))
     if len(nums) >= 2:
