@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,7 +112,9 @@ def drift_alerts(events: DataFrame, key: str, late: str = "1 hour", baseline_day
 
 
 class _PerKey(StatefulProcessor):
-    """Rows of one key in time order within a batch."""
+    """Rows of one key in time order within a batch; with `buckets`, the rows of all keys of a bucket."""
+
+    buckets = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -129,24 +132,42 @@ class _PerKey(StatefulProcessor):
 class RollingCount(_PerKey):
     """How many hits of the key lie within the window that ends at each hit; hits of one instant see each other.
 
-    The state is the times of the last window, packed.
+    Keys are dealt into `buckets`, and a bucket's rows and state are worked off together, as a call and a state read per key
+    cost more than its few hits. The state is the keys and times of each key's last window, packed.
     """
 
+    buckets = 256
+
     def __init__(self, window_us: int = DAY_US):
         self.window_us = window_us
 
     def open(self):
-        self.hits = self.handle.getListState("hits", T.StructType([T.StructField("times", T.BinaryType())]))
+        self.hits = self.handle.getListState("hits", T.StructType([T.StructField("packed", T.BinaryType())]))
 
     def handleInputRows(self, key, rows, timerValues):
-        d = self.ordered(rows)
-        past = [np.frombuffer(h[0], np.int64) for h in self.hits.get()] if self.hits.exists() else []
-        t = d["t"].to_numpy(np.int64)
-        every = np.sort(np.concatenate([*past, t]), kind="stable")
-        used = np.searchsorted(every, t, "right") - np.searchsorted(every, t - self.window_us, "right")
-        live = every[np.searchsorted(every, every[-1] - self.window_us, "right") :]
-        self.hits.put([(live[i : i + PACKED].tobytes(),) for i in range(0, len(live), PACKED)])
-        yield pd.DataFrame({"k": key[0], "u": d["u"].to_numpy(), "used": used})
+        new = pa.concat_tables([pa.Table.from_pandas(r[["k", "u", "t"]], preserve_index=False) for r in rows], promote_options="permissive")
+        past = [pa.ipc.open_stream(h[0]).read_all() for h in self.hits.get()] if self.hits.exists() else []
+        n = new.num_rows
+        kept = pa.concat_tables([new.select(["k", "t"]), *past], promote_options="permissive")
+        code = kept["k"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        t = kept["t"].to_numpy().astype(np.int64)
+        # Places of (key, time) in one order: times become ranks, so that no product overflows.
+        moments = np.unique(t)
+        width = len(moments) + 1
+        every = np.sort(code * width + np.searchsorted(moments, t))
+        up_to = lambda c, x: np.searchsorted(every, c * width + np.searchsorted(moments, x, "right"))
+        used = up_to(code[:n], t[:n]) - up_to(code[:n], t[:n] - self.window_us)
+        last = np.full(code.max() + 1, np.iinfo(np.int64).min)
+        np.maximum.at(last, code, t)
+        live = kept.filter(pa.array(t > last[code] - self.window_us)).combine_chunks()
+        state = []
+        for i in range(0, live.num_rows, PACKED):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, live.schema) as w:
+                w.write_table(live.slice(i, PACKED))
+            state.append((out.getvalue().to_pybytes(),))
+        self.hits.put(state)
+        yield pd.DataFrame({"k": new["k"].to_pandas(), "u": new["u"].to_pandas(), "used": used})
 
 
 class Memory(_PerKey):
@@ -175,7 +196,9 @@ def stateful(events: DataFrame, key: str, uid: str, time_us, processor: _PerKey,
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     d = events.select(F.col(key).alias("k"), F.col(uid).alias("u"), time_us.alias("t"), *extra)
     schema = f"k {d.schema['k'].dataType.simpleString()}, u {d.schema['u'].dataType.simpleString()}, {out}"
-    return d.groupBy("k").transformWithStateInPandas(processor, schema, "Append", "None")
+    if processor.buckets:
+        d = d.withColumn("_bucket", F.when(F.col("k").isNull(), -1).otherwise(F.pmod(F.xxhash64("k"), F.lit(processor.buckets)).cast("int")))
+    return d.groupBy("_bucket" if processor.buckets else "k").transformWithStateInPandas(processor, schema, "Append", "None")
 
 
 def assemble_runs(spans: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
