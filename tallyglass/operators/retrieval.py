@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,35 +49,110 @@ def pad_unmatched(scores: DataFrame, queries: DataFrame, qkey: str, docs: DataFr
     return scores.select("query", "doc", "score").unionByName(zero).groupBy("query", "doc").agg(F.max("score").alias("score"))
 
 
-def hashed_weights(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """id, dim, weight: signed hashed words (each time) and trigrams (once), unit length."""
-    w = lexical.token_rows(df, [key], text).select(F.col(key).alias("id"), F.concat(F.lit("w:"), "token").alias("f"))
-    g = df.select(F.col(key).alias("id"), F.explode(tx.trigrams(F.col(text))).alias("_g")).select(
-        "id", F.concat(F.lit("c:"), "_g").alias("f"))
-    h = F.md5("f")
-    byte = lambda i: F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int")
-    # Little-endian: the low bits are in the first bytes, the top bit in the eighth.
-    slot = F.pmod(byte(0) + 256 * byte(1), F.lit(dim))
-    sign = F.when(byte(7) >= 128, 1.0).otherwise(-1.0)
-    s = w.unionByName(g).select("id", slot.alias("dim"), sign.alias("_s")).groupBy("id", "dim").agg(F.sum("_s").alias("_w"))
-    s = s.where("_w <> 0")
-    # At most `dim` rows share an id here.
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("id")))
-    return s.select("id", "dim", (F.col("_w") / norm).alias("weight"))
+#: Texts whose features a task holds at once, and features whose place a worker remembers.
+TEXTS, KNOWN = 1000, 1_000_000
+
+
+def _place(feature: str, dim: int) -> tuple[int, float]:
+    """Slot and sign of a feature: the low bits are in the first bytes, the top bit in the eighth."""
+    h = hashlib.md5(feature.encode()).digest()
+    return (h[0] + 256 * h[1]) % dim, 1.0 if h[7] >= 128 else -1.0
+
+
+def _grams(text: str | None) -> np.ndarray:
+    """The distinct trigrams of a padded text (none of a null), each as one number of three code points."""
+    x = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.unique(x[:-2] << 42 | x[1:-1] << 21 | x[2:])
+
+
+def _rows_of(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows are not zero throughout, and their offsets, slots and sums."""
+    row, slot = np.nonzero(w)
+    n = np.bincount(row, minlength=len(w))
+    return n > 0, np.concatenate([[0], np.cumsum(n[n > 0])]).astype(np.int32), slot.astype(np.int32), w[row, slot]
+
+
+def _listed(start, values, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(values, kind))
+
+
+def _hashed_sums(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
+    """id, _s: lists of (dims, sums) of its texts, added up per batch first, so that an id of many rows keeps few lists."""
+    d = df.select(F.col(key).alias("id"), tx.tokens(F.col(text)).alias("w"), tx.padded(F.col(text)).alias("c"))
+    known = {}
+
+    def sums(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS):
+                b = batch.slice(i, TEXTS)
+                ids = b.column("id").dictionary_encode(null_encoding="encode")
+                code, total = ids.indices.to_numpy(zero_copy_only=False), np.zeros(len(ids.dictionary) * dim)
+                words = b.column("w").flatten().dictionary_encode()
+                counts = b.column("w").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                grams = [_grams(x) for x in b.column("c").to_pylist()]
+                some, which = np.unique(np.concatenate(grams), return_inverse=True)
+                letters = np.stack([some >> 42, some >> 21, some], axis=1) & 0x1FFFFF
+                names = letters.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                for names, owner, which in (([f"w:{x}" for x in words.dictionary.to_pylist()], np.repeat(code, counts), words.indices.to_numpy(zero_copy_only=False)),
+                                            ([f"c:{names[j:j + 3]}" for j in range(0, len(names), 3)], np.repeat(code, [len(x) for x in grams]), which)):
+                    if len(known) > KNOWN:
+                        known.clear()
+                    known.update((x, _place(x, dim)) for x in names if x not in known)
+                    at = np.array([known[x] for x in names], float).reshape(-1, 2)
+                    total += np.bincount(owner * dim + at[which, 0].astype(np.int64), at[which, 1], len(total))
+                some, start, slot, w = _rows_of(total.reshape(-1, dim))
+                yield pa.RecordBatch.from_arrays([ids.dictionary.filter(pa.array(some)), _listed(start, slot, pa.int32()), _listed(start, w, pa.float64())], ["id", "dims", "sums"])
+
+    kind = d.schema["id"].dataType.simpleString()
+    s = d.mapInArrow(sums, f"id {kind}, dims array<int>, sums array<double>")
+    return s.groupBy("id").agg(F.collect_list(F.struct("dims", "sums")).alias("_s"))
+
+
+def _unit(sums: DataFrame, dim: int, dense: bool) -> DataFrame:
+    """The columns of `sums`, with _s replaced by dims and weights of unit length, or by vec of `dim` entries; none if all are zero."""
+    others = [c for c in sums.columns if c != "_s"]
+    flat = sums.select(*others, F.flatten(F.col("_s.dims")).alias("dims"), F.flatten(F.col("_s.sums")).alias("sums"))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS):
+                b = batch.slice(i, TEXTS)
+                row = np.repeat(np.arange(b.num_rows), b.column("dims").value_lengths().to_numpy(zero_copy_only=False))
+                slot, s = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("dims", "sums"))
+                w = np.bincount(row * dim + slot, s, b.num_rows * dim).reshape(-1, dim)
+                norm = np.sqrt((w * w).sum(axis=1, keepdims=True))
+                w = np.divide(w, norm, out=np.zeros_like(w), where=norm > 0)
+                if dense:
+                    some = norm[:, 0] > 0
+                    out = [_listed(np.arange(some.sum() + 1) * dim, w[some].reshape(-1), pa.float64())]
+                else:
+                    some, start, slot, w = _rows_of(w)
+                    out = [_listed(start, slot, pa.int32()), _listed(start, w, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).filter(pa.array(some)) for c in others), *out], [*others, *(["vec"] if dense else ["dims", "weights"])])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema.fields if f.name in others)
+    return flat.mapInArrow(run, shape + (", vec array<double>" if dense else ", dims array<int>, weights array<double>"))
 
 
-def dense(weights: DataFrame, dim: int = DIM) -> DataFrame:
-    """id, vec: the sparse rows of an id as one array of fixed length."""
-    m = weights.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("_m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-    return m.select("id", vec.alias("vec"))
+def hashed_weights(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """id, dim, weight: signed hashed words (each time) and trigrams (once), unit length.
+
+    Features are hashed where the texts lie, each distinct one once; a list of sums per text is all that is shuffled.
+    """
+    u = _unit(_hashed_sums(df, key, text, dim), dim, dense=False)
+    return u.select("id", F.explode(F.arrays_zip("dims", "weights")).alias("_w")).select("id", F.col("_w.dims").alias("dim"), F.col("_w.weights").alias("weight"))
 
 
-def embed(df: DataFrame, key: str, text: str) -> DataFrame:
-    return dense(hashed_weights(df, key, text))
+def embed(df: DataFrame, key: str, text: str, beside: Column | None = None) -> DataFrame:
+    """id, vec: the weights of an id as one array of DIM entries. `beside`, a named column of df, is joined on before vectors are made."""
+    s = _hashed_sums(df, key, text, DIM)
+    if beside is not None:
+        s = s.join(df.select(F.col(key).alias("id"), beside), "id")
+    return _unit(s, DIM, dense=True)
 
 
 QUERY_BLOCK = 2048
+QUERY_STEP = 64
 CORPUS_BLOCK = 20_000
 
 
@@ -106,10 +184,11 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, floor: float | No
         if not len(left) or not len(right):
             return pd.DataFrame({"query": [], "doc": [], "score": []}).astype({"score": "float64"})
         right = right.sort_values("doc", kind="stable")
-        m = np.stack(left["qvec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
-        docs, owner, out = right["doc"].to_numpy(), right["own"].to_numpy(), []
+        docs, owner, out, y = right["doc"].to_numpy(), right["own"].to_numpy(), [], np.stack(right["vec"].to_numpy())
         for i, (qid, own) in enumerate(zip(left["qid"].to_numpy(), left["own"].to_numpy())):
-            row = np.round(m[i], 9)
+            if i % QUERY_STEP == 0:  # a few MB of products at a time
+                m = np.stack(left["qvec"].iloc[i : i + QUERY_STEP].to_numpy()) @ y.T
+            row = np.round(m[i % QUERY_STEP], 9)
             if apart:
                 row[owner == own] = -np.inf
             if floor is not None:
@@ -146,7 +225,7 @@ def hybrid(docs: DataFrame, dkey: str, dtext: str, queries: DataFrame, qkey: str
     index = index or lexical.build(docs, dkey, dtext, db)
     scores = lexical.top_k(index, queries, qkey, qtext, depth, db)
     words = top_ranks(pad_unmatched(scores, queries, qkey, docs, dkey, depth, db), depth)
-    vec = lambda d, key, text: embed(d, key, text).join(d.select(F.col(key).alias("id"), (F.col(db) if db else F.lit("")).alias("db")), "id")
+    vec = lambda d, key, text: embed(d, key, text, (F.col(db) if db else F.lit("")).alias("db"))
     # Every text has a trigram, so the counts of the inputs are those of the vectors.
     near = vector_topk(vec(queries, qkey, qtext), vec(docs, dkey, dtext), depth, sizes=(queries.count(), docs.count()), apart="db" if db else None)
     return rrf([words, near])
@@ -183,7 +262,7 @@ def nearest_cached(questions: DataFrame, cached: DataFrame, threshold: float = 0
     every cached question of the version.
     """
     from tallyglass.operators import vectors
-    vec = lambda d: embed(d, "id", "text").join(d.select("id", "version"), "id")
+    vec = lambda d: embed(d, "id", "text", F.col("version"))
     if exact:
         best = vector_topk(vec(questions), vec(cached), 1, floor=threshold, by="version", sizes=(questions.count(), cached.count()))
     else:
