@@ -18,6 +18,10 @@ SAMPLE = 50_000
 TRIALS = 256
 #: Lists at most; below that, the square root of the number of vectors.
 LISTS = 4096
+#: Angles that a task holds at once.
+ANGLES = 1 << 18
+#: Vectors of an index that may be sent to every task; no more than centroids are.
+SENT = LISTS
 #: Vectors of a list that one task scores.
 CHUNK = 20_000
 
@@ -67,9 +71,13 @@ def _nearest(vecs: DataFrame, centroids: np.ndarray, probes: int, near=None) ->
     """
     shared = vecs.sparkSession.sparkContext.broadcast(centroids)  # LISTS rows at most
 
+    # A block's angles to all lists stay within a few MB, however many lists there are.
+    step = max(1, ANGLES // len(centroids))
+
     def run(batches):
-        for p in batches:
-            if len(p):
+        for batch in batches:
+            for i in range(0, len(batch), step):
+                p = batch.iloc[i : i + step]
                 x = np.stack(p["vec"].to_numpy())
                 size = np.sqrt((x * x).sum(axis=1))
                 away = np.arccos(np.clip(_direction(x) @ shared.value.T, -1, 1))
@@ -131,6 +139,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, floor: float | None =
     with k rows at most. With `by`, both sides must agree in it (as the index was built).
     """
     probes = probes or index.probes
+    kinds = f"query {queries.schema['id'].dataType.simpleString()}, doc {index.rows.schema['id'].dataType.simpleString()}, score double"
     sizes = index.rows.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_c"))  # LISTS rows at most
     radius, largest, near = index.radius, index.largest, None
     if floor is not None and floor > 0:
@@ -138,10 +147,12 @@ def search(index: VectorIndex, queries: DataFrame, k: int, floor: float | None =
             cosine = floor / np.maximum(size[:, None] * largest[None], 1e-300)
             return (cosine <= 1 + 1e-9) & (away <= np.arccos(np.minimum(cosine, 1)) + radius[None] + 1e-6)
 
-    q = _nearest(_plain(queries, by), index.centroids, probes, near).join(sizes, "list")
+    asked = _plain(queries, by)
+    if index.rows.limit(SENT + 1).count() <= SENT:
+        return top_ranks(_search_sent(index, asked, k, floor, probes, near, kinds), k)
+    q = _nearest(asked, index.centroids, probes, near).join(sizes, "list")
     q = q.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), "by", "list", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)).alias("chunk"))
     c = index.rows.select("id", "vec", "by", "list").join(sizes, "list").withColumn("chunk", F.pmod(F.xxhash64("id"), "_c").cast("int")).select("id", "vec", "by", "list", "chunk")
-    kinds = f"query {queries.schema['id'].dataType.simpleString()}, doc {index.rows.schema['id'].dataType.simpleString()}, score double"
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query": [], "doc": [], "score": []})]
@@ -151,16 +162,61 @@ def search(index: VectorIndex, queries: DataFrame, k: int, floor: float | None =
             for i in range(0, len(left), 1024):
                 x = left.iloc[i : i + 1024]
                 m = np.round(np.stack(x["qvec"].to_numpy()) @ y.T, 9)
-                for row, qid in zip(m, x["qid"].to_numpy(), strict=True):
-                    at = np.flatnonzero(row >= floor) if floor is not None else np.arange(len(row))
-                    at = at[np.argsort(-row[at], kind="stable")[:k]]
-                    out.append(pd.DataFrame({"query": qid, "doc": docs[at], "score": row[at]}))
+                out.append(_first(m, x["qid"].to_numpy(), docs, k, floor))
         return pd.concat(out, ignore_index=True) if len(out) == 1 else pd.concat(out[1:], ignore_index=True)
 
     pairs = q.groupBy("list", "chunk", "by").cogroup(c.groupBy("list", "chunk", "by")).applyInPandas(best, kinds)
     return top_ranks(pairs, k)
 
 
+def _first(m: np.ndarray, asked: np.ndarray, docs: np.ndarray, k: int, floor: float | None) -> pd.DataFrame:
+    """query, doc, score of the k largest of each row, ties by the order of docs; nothing below the floor, no score of -inf."""
+    low = -np.inf if floor is None else floor
+    if k == 1:
+        at = m.argmax(axis=1)[:, None]
+    else:
+        at = np.argsort(-m, axis=1, kind="stable")[:, :k]
+    score = np.take_along_axis(m, at, axis=1)
+    row, place = np.nonzero((score >= low) & (score > -np.inf))
+    return pd.DataFrame({"query": asked[row], "doc": docs[at[row, place]], "score": score[row, place]})
+
+
+def _search_sent(index: VectorIndex, asked: DataFrame, k: int, floor: float | None, probes: int, near, kinds: str) -> DataFrame:
+    """The search over an index of at most SENT vectors: every task gets it, so no query is shuffled.
+
+    As in a larger index, a query meets the vectors of its lists only.
+    """
+    held = index.rows.select("id", "vec", "by", "list").toPandas().sort_values("id", kind="stable")  # SENT rows at most
+    group = held["by"].to_numpy()
+    parts = {}
+    for g in pd.unique(group[pd.notna(group)]):
+        of = held[group == g]
+        parts[g] = (of["id"].to_numpy(), np.stack(of["vec"].to_numpy()), of["list"].to_numpy())
+    shared = asked.sparkSession.sparkContext.broadcast((index.centroids, parts))
+    step = max(1, ANGLES // max(1, len(held), len(index.centroids)))
+
+    def run(batches):
+        centroids, parts = shared.value
+        for batch in batches:
+            for g, of in batch.groupby("by"):
+                if g not in parts:
+                    continue
+                docs, y, lists = parts[g]
+                for i in range(0, len(of), step):
+                    p = of.iloc[i : i + step]
+                    x = np.stack(p["vec"].to_numpy())
+                    away = np.arccos(np.clip(_direction(x) @ centroids.T, -1, 1))
+                    if near is None:
+                        wanted = np.zeros(away.shape, bool)
+                        np.put_along_axis(wanted, np.argsort(away, axis=1, kind="stable")[:, :probes], True, axis=1)
+                    else:
+                        wanted = near(np.sqrt((x * x).sum(axis=1)), away)
+                    m = np.where(wanted[:, lists], np.round(x @ y.T, 9), -np.inf)
+                    yield _first(m, p["id"].to_numpy(), docs, k, floor)
+
+    return asked.select("id", "vec", "by").mapInPandas(run, kinds)
+
+
 def recall_report(index: VectorIndex, queries: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """One row: queries, lists, probes, and the share of the exact k best that the index finds."""
     both = lambda d: _plain(d, by)
