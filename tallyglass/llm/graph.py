@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tallyglass.llm.common import keep
 
 
-def _mark(edges: DataFrame):
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r.n, r.h
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and none of these is a u itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    each = ends.groupBy("x").agg(F.sum("up").alias("n"), F.min("up").alias("least"))
+    return not each.agg(F.max((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("least") == 0)))).first()[0]
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,12 +33,11 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Links (u, v) to (u, v) with v the smallest node of u's component; smallest nodes have no row.
 
-    Alternates two star steps until nothing changes; the number of rounds grows with the logarithm of the longest
-    chain. A node with many links is folded map-side and joined, never gathered.
+    Alternates two star steps until all that is left is stars around smallest nodes; the number of rounds grows with the
+    logarithm of the longest chain. A node with many links is folded map-side and joined, never gathered.
     """
     edges = keep(edges.filter("u <> v").select("u", "v"), "links")
-    before = None
-    while (now := _mark(edges)) != before and now[0]:
-        before = now
+    while True:
         edges = keep(_small(_large(edges)), "links")
-    return edges
+        if _stars(edges):
+            return edges
