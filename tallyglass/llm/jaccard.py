@@ -116,6 +116,8 @@ def prefix(s: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, int]:
 def postings(docs: DataFrame, ranked: np.ndarray, buckets: int) -> DataFrame:
     """(token, node, n, matches) for all prefix shingles that stand in two sets or more, or are ranked as frequent.
 
+    lo, hi and least are the smallest and largest n and the smallest matches of a shingle's list; 0 for ranked ones.
+
     Entries travel packed by bucket of the shingle, with half of its hash (the bucket adds bits of the other half; two
     shingles that fall together only let a pair through to be verified). A bucket drops what one set alone has. Ranked
     shingles need no such test: their entries are dealt by set, so no bucket fills up with one shingle.
@@ -168,11 +170,17 @@ def postings(docs: DataFrame, ranked: np.ndarray, buckets: int) -> DataFrame:
                 same = t[1:] == t[:-1]
                 some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
                 t, d, a = t[some], d[some], a[some]
-            out.append(pd.DataFrame({"token": t, "node": d, "n": (a // 16).astype(np.int32), "matches": (a % 16).astype(np.int32)}))
+            n, m = (a // 16).astype(np.int32), (a % 16).astype(np.int32)
+            bounds = np.zeros((3, len(t)), np.int32)
+            if not kind and len(t):  # the whole list is here
+                edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+                k = np.diff(np.append(edge, len(t)))
+                bounds[:] = [np.repeat(f.reduceat(x, edge), k) for f, x in ((np.minimum, n), (np.maximum, n), (np.minimum, m))]
+            out.append(pd.DataFrame({"token": t, "node": d, "n": n, "matches": m, "lo": bounds[0], "hi": bounds[1], "least": bounds[2]}))
         return pd.concat(out)
 
     packed = docs.select("text").mapInArrow(run, "bucket int, hot boolean, tokens binary, nodes binary, asks binary, parts binary")
-    lists = packed.groupBy("bucket").applyInPandas(lambda k, p: shared_only(int(k[0]), p), "token long, node long, n int, matches int")
+    lists = packed.groupBy("bucket").applyInPandas(lambda k, p: shared_only(int(k[0]), p), "token long, node long, n int, matches int, lo int, hi int, least int")
     return keep(lists, "postings")
 
 
@@ -195,43 +203,75 @@ def promising(lists: DataFrame) -> DataFrame:
     `asked` asks for rises up to equal sizes and falls from there, so its least value is at the ends of that range; a set
     that has fewer entries in all can't reach it with anyone. (Rounding moves the ends by less than two.)
     """
-    of_token = lists.groupBy("token").agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"), F.min("matches").alias("_m"))
-    each = lists.join(of_token, "token")
+    hot, lists = lists.filter("hi = 0").drop("lo", "hi", "least"), lists.withColumnsRenamed({"lo": "_lo", "hi": "_hi", "least": "_m"})
+    of_token = hot.groupBy("token").agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"), F.min("matches").alias("_m"))
+    each = lists.filter("_hi > 0").unionByName(hot.join(of_token, "token"))
     each = each.withColumn("_lo", F.greatest("_lo", F.ceil(F.col("n") * PERCENT / 100).cast("int"))).withColumn("_hi", F.least("_hi", F.floor(F.col("n") * 100 / PERCENT).cast("int")))
     need = F.least(asked("n", "matches", "_lo", "_m"), asked("n", "matches", "_hi", "_m")) - 2
     sets = each.groupBy("node").agg(F.count("*").alias("_has"), F.min(need).alias("_need"), F.min("n").alias("_n")).filter("_has >= _need")
     left = lists.join(sets.select("node", (F.col("_has") / F.col("_n")).alias("share")), "node")
-    two = left.groupBy("token").agg(F.count("*").alias("_k")).filter("_k > 1").select("token")
-    return keep(left.join(two, "token"), "promising")
+    return keep(left.select("token", "node", "n", "matches", "share"), "promising")
+
+
+def squeezed(column):
+    """Texts as zstd frames behind their length, as binary values; a null one is empty."""
+    codec = pa.Codec("zstd")
+    for i, buf, offs in W.blocks(column):
+        cut = [buf[offs[r] : offs[r + 1]].tobytes() for r in range(len(offs) - 1)]
+        yield pa.array([len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in cut], pa.binary())
+
+
+def squeezed_sets(column):
+    """As `shingle_sets`, of squeezed texts; a few MB of them are open at a time."""
+    codec, first, cut, size = pa.Codec("zstd"), 0, [], 0
+    for r, x in enumerate(column):
+        x = x.as_py()
+        n = int.from_bytes(x[:8], "little")
+        if cut and size + n > W.BLOCK_BYTES:
+            yield from ((first + i, s) for i, s in shingle_sets(pa.array(cut, pa.binary())))
+            first, cut, size = r, [], 0
+        cut.append(codec.decompress(x[8:], n, asbytes=True))
+        size += n
+    if cut:
+        yield from ((first + i, s) for i, s in shingle_sets(pa.array(cut, pa.binary())))
 
 
 class Texts:
-    """One text for each set in the lists, dealt once into buckets: a step that asks for some moves these alone."""
+    """One text for each set in the lists, squeezed and dealt once into buckets: a step that asks for some moves ids alone."""
 
     def __init__(self, docs: DataFrame, found: DataFrame, lists: DataFrame):
+        def run(batches):
+            for batch in batches:
+                texts = pa.chunked_array(squeezed(batch.column(1)), pa.binary()).combine_chunks()
+                yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["_key", "text"])
+
         # rows that share a doc_id have each their own text
         first = found.filter("set is not null").groupBy(F.col("set").alias("node")).agg(F.min("key").alias("_wanted"))
         self.names = keep(first.join(lists.select("node").distinct(), "node", "left_semi"), "names")
-        rows = docs.select(row_key().alias("_key"), "text").join(self.names, F.col("_key") == F.col("_wanted"), "left_semi")
+        rows = docs.select(row_key().alias("_key"), "text").mapInArrow(run, "_key long, text binary")
+        rows = rows.join(self.names, F.col("_key") == F.col("_wanted"), "left_semi")
         self.rows = keep_dealt(rows.dropDuplicates(["_key"]), "_key", "texts")
 
     def of(self, nodes: DataFrame) -> DataFrame:
-        """(node, text) for a column of nodes, each once."""
-        return nodes.toDF("node").distinct().join(self.names, "node").join(self.rows, F.col("_wanted") == F.col("_key")).select("node", "text")
+        """Rows of distinct nodes, whatever else they have, with `text`."""
+        return nodes.join(self.names, "node").join(self.rows, F.col("_wanted") == F.col("_key")).select(*nodes.columns, "text")
 
 
-def verify(pairs: DataFrame, texts: Texts) -> DataFrame:
-    """Of pairs (u, v) of nodes those whose shingle sets link, by their whole texts."""
+def verify(pairs: DataFrame, texts: Texts, once: bool = False) -> DataFrame:
+    """Of pairs (u, v) of nodes those whose shingle sets link, by their whole texts. `once`: no u stands in two pairs."""
     def run(batches):
         for batch in batches:
-            keep_at = [100 * m >= PERCENT * (len(a) + len(b) - m) for (_, a), (_, b) in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True) for m in [len(np.intersect1d(a, b, assume_unique=True))]]
+            keep_at = [100 * m >= PERCENT * (len(a) + len(b) - m) for (_, a), (_, b) in zip(squeezed_sets(batch.column(2)), squeezed_sets(batch.column(3)), strict=True) for m in [len(np.intersect1d(a, b, assume_unique=True))]]
             mask = pa.array(keep_at, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
     pairs = keep(pairs.select("u", "v"), "pairs")
-    a = texts.of(pairs.select("u")).toDF("u", "a")
-    b = texts.of(pairs.select("v")).toDF("v", "b")
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    if once:
+        a = texts.of(pairs.select(F.col("u").alias("node"), "v")).toDF("u", "v", "a")
+    else:
+        a = pairs.join(texts.of(pairs.select("u").distinct().toDF("node")).toDF("u", "a"), "u")
+    b = texts.of(pairs.select("v").distinct().toDF("node")).toDF("v", "b")
+    return a.join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -287,7 +327,7 @@ def past_pivots(left: DataFrame, texts: Texts, ranked: np.ndarray) -> tuple[Data
         known = shared.value
         for batch in batches:
             heads, tokens, most = [], [], []
-            for (r, x), (_, c) in zip(shingle_sets(batch.column(3)), shingle_sets(batch.column(4)), strict=True):
+            for (r, x), (_, c) in zip(squeezed_sets(batch.column(3)), squeezed_sets(batch.column(4)), strict=True):
                 other = np.setdiff1d(x, c, assume_unique=True)
                 n, m = len(x), len(other)
                 other = other[np.lexsort((other, frequency(other, known)))]
@@ -309,14 +349,14 @@ def past_pivots(left: DataFrame, texts: Texts, ranked: np.ndarray) -> tuple[Data
 
     def whole(batches):
         for batch in batches:
-            for r, s in shingle_sets(batch.column(3)):
+            for r, s in squeezed_sets(batch.column(3)):
                 n = len(s)
                 yield pa.RecordBatch.from_arrays([*[pa.repeat(batch.column(i)[r], n) for i in range(3)], pa.array(s.view(np.int64))], ["v", "rv", "nv", "token"])
 
     chosen = keep(chosen, "chosen")
-    pivots = texts.of(chosen.select("pivot")).toDF("pivot", "_t")
-    probes = keep(chosen.join(texts.of(chosen.select("node")), "node").join(pivots, "pivot").select("node", "root", "n", "text", "_t").mapInArrow(rest, "u long, ru long, nu int, both int, cap int, most int, token long"), "probes")
-    index = entries.select("node", "root", "n").distinct().join(texts.of(entries.select("node")), "node").select("node", "root", "n", "text").mapInArrow(whole, "v long, rv long, nv int, token long")
+    pivots = texts.of(chosen.select("pivot").distinct().toDF("node")).toDF("pivot", "_t")
+    probes = keep(texts.of(chosen).join(pivots, "pivot").select("node", "root", "n", "text", "_t").mapInArrow(rest, "u long, ru long, nu int, both int, cap int, most int, token long"), "probes")
+    index = texts.of(entries.select("node", "root", "n").distinct()).mapInArrow(whole, "v long, rv long, nv int, token long")
     near = 100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")
     pairs = probes.filter("token is not null").join(index, "token").filter((F.col("ru") != F.col("rv")) & near & (F.col("nv") > F.col("cap")) & (F.col("nv") <= F.col("most")))
     enough = F.least(F.lit(REST_MATCHES), needed("nu", "nv") - F.col("both"))
@@ -341,7 +381,6 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     lists = promising(postings(docs, ranked, buckets))
     texts = Texts(docs, found, lists)
     near = 100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")
-    links = spark.createDataFrame([], "u long, v long")
     labels = None
     for round_ in range(PROBES):
         open_ = _labelled(lists, labels)
@@ -352,8 +391,8 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
         tries = tries.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("matches").alias("mu"), F.col("_l.node").alias("v"), F.col("_l.n").alias("nv"), F.col("_l.matches").alias("mv")).filter(near)
         tries = tries.groupBy("u", "nu", "mu", "v", "nv", "mv").agg(F.count("*").alias("_c")).filter(2 * F.col("_c") >= asked("nu", "mu", "nv", "mv"))
         pairs = tries.groupBy("u").agg(F.max(F.struct("_c", "v")).alias("_b")).select("u", F.col("_b.v").alias("v"))
-        links = keep(links.union(verify(pairs, texts)), "links")
-        labels = components(links)
+        new = verify(pairs, texts, once=True)
+        labels = components(new if labels is None else labels.union(new))  # labels hold all that earlier links reached
     left, more = past_pivots(rivals(rivals(_labelled(lists, labels)).drop("size", "ok")), texts, ranked)
     ends = ("node", "root", "n", "matches", "size", "ok", "cap")
     a, b = (left.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ends]) for x in "uv")
@@ -363,7 +402,8 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = a.join(b, "token").filter((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & near & may)
     pairs = pairs.groupBy("u", "nu", "mu", "v", "nv", "mv").agg(F.count("*").alias("_c")).filter(F.col("_c") >= asked("nu", "mu", "nv", "mv")).select("u", "v")
     both = pairs.union(more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
-    return components(links.union(verify(both, texts)))
+    new = verify(both, texts)
+    return components(new if labels is None else labels.union(new))
 
 
 def join(docs: DataFrame) -> DataFrame:
