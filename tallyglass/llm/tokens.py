@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import dealt, keep, scratch, table
+from tallyglass.llm.common import keep, scratch, table
 from tallyglass.llm.files import Output, Ranges
 
 NAME = "op9_tokens"
@@ -22,14 +22,16 @@ END_ID = 1
 BLOCK = 1 << 12
 #: A file is closed after so many ids.
 FILE_IDS = 1 << 26
-#: Words whose ids a Python worker remembers.
+#: Words whose ids a Python worker remembers, in two halves.
 CACHE_WORDS = 600_000
+#: Unknown words that are encoded in one string; longer strings cost more for each word.
+JOINED = 16
 CHUNK_CHARS = 1 << 20
 _MAGIC = b"BITPACK1"
 _SENTINEL = "\x01"
 _FIELDS = "<8sIIQQQQQ"
-#: A stop or comma before a blank that doesn't follow a letter or digit.
-_GLUED = re.compile(r"(?:[^a-z0-9\xdf-\xf6\xf8-\xff]|^)[.,] ")
+#: A stop or comma before a blank that doesn't follow a letter or digit. It begins with what is rare, so most is skipped.
+_GLUED = re.compile(r"[.,](?<![a-z0-9\xdf-\xf6\xf8-\xff][.,]) ")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -61,7 +63,7 @@ class Encoder:
         self.bits = max(1, (max(self.tokenizer.get_vocab_size(), END_ID + 1) - 1).bit_length())
         self.dtype = "<u2" if self.bits <= 16 else "<u4"
         self.end = np.array([END_ID], self.dtype).tobytes()
-        self.cache = {"": b""}
+        self.cache, self.older = {"": b""}, {}
         self.sentinel = self._ids(_SENTINEL)
 
     def _ids(self, text: str) -> list[int]:
@@ -74,7 +76,7 @@ class Encoder:
         alone = [w for w in words if _SENTINEL in w]
         words = [w for w in words if _SENTINEL not in w]
         out |= {w: np.array(self._ids(w), self.dtype).tobytes() for w in alone}
-        parts = [words[i : i + 256] for i in range(0, len(words), 256)]
+        parts = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast([f" {_SENTINEL} ".join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
             cuts = np.flatnonzero(ids == self.sentinel[0])
@@ -89,11 +91,14 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, the end id last."""
         split = [plain(t).split(" ") for t in texts]
+        new = set().union(*split).difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_WORDS // 2:  # the older half is forgotten, but for its words that are met again
+            self.cache, self.older = {"": b""}, self.cache
+            new = set().union(*split).difference(self.cache)
         known = self.cache
-        new = {w for ws in split for w in ws if w not in known}
-        if len(known) + len(new) > CACHE_WORDS:  # start again: the words of these texts are learned at once
-            self.cache = known = {"": b""}
-            new = {w for ws in split for w in ws if w}
+        met = self.older.keys() & new
+        known.update({w: self.older[w] for w in met})
+        new -= met
         if new:
             known.update(self._encode(sorted(new)))
         get = known.__getitem__
@@ -265,7 +270,9 @@ def read(files: DataFrame) -> DataFrame:
                     i = j
                 r.file.close()
 
-    return dealt(listed, "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # evenly, a few files to a task: one task and one output file for each would start many processes at local file systems
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import re
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -156,6 +157,34 @@ def test_tokens_equal_the_library(make, monkeypatch):
     assert sorted(tuple(r) for r in got) == want
 
 
+def test_words_met_again_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 60)
+    enc, seen = tokens.Encoder(PATH), []
+    whole = enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda ws: seen.extend(ws) or whole(ws))
+    for k in range(20):  # ten words stand in every text, ten in this one alone
+        got = enc.encode([" ".join([f"often{i}" for i in range(10)] + [f"once{k}x{i}" for i in range(10)])])[0]
+        alone = [enc._ids(f"often{i}") for i in range(10)] + [enc._ids(f"once{k}x{i}") for i in range(10)]
+        assert np.frombuffer(got, enc.dtype).tolist() == [*sum(alone, []), tokens.END_ID]
+        assert len(enc.cache) + len(enc.older) <= 60
+    assert sorted(w for w in seen if w.startswith("often")) == [f"often{i}" for i in range(10)] and len(seen) == 210
+
+
+def test_a_stop_or_comma_is_glued_unless_a_letter_or_digit_is_before_it():
+    plainly = re.compile(r"(?:[^a-z0-9\xdf-\xf6\xf8-\xff]|^)[.,] ")
+    for c in map(chr, range(256)):
+        for t in (f"{c}. b", f"a{c}, b", f"{c}.b", f"a. {c}, b", f"{c}"):
+            assert bool(tokens._GLUED.search(t)) == bool(plainly.search(t))
+
+
+def test_token_files_are_read_by_a_task_for_each_shuffle_partition(make):
+    n = int(make([]).sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = tokens.write(make([(i, f"a {i}") for i in range(40 * n)]), PATH)
+    got = tokens.read(files)
+    assert files.count() > n and got.rdd.getNumPartitions() == n
+    assert sorted(r.doc_id for r in got.collect()) == list(range(40 * n))
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
 
