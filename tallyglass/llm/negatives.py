@@ -269,7 +269,8 @@ def mine(vecs: DataFrame, per_pack: int = PACK, per_slice: int = SLICE, lists: i
                 shape = (len(own), 1)
                 t = object if big else kind
                 row, _, cand, score = walk(own, where, POSITIVES, np.full(shape, -(1 << 200) if big else _NONE, t), np.full(shape, 1 << 200 if big else -_NONE, t), True)
-                yield pd.DataFrame({"anchor": [own[i]["anchor"] for i in row], "positive_id": cand, "score": [str(int(s)) for s in score]})
+                if len(row):  # empty columns have no type of their own
+                    yield pd.DataFrame({"anchor": [own[i]["anchor"] for i in row], "positive_id": cand, "score": [str(int(s)) for s in score]})
 
     number = F.col("score").cast("decimal(38,0)")
     first = units(packs(found, [], per_pack), places, lists)
@@ -290,7 +291,8 @@ def mine(vecs: DataFrame, per_pack: int = PACK, per_slice: int = SLICE, lists: i
                         a[s["p"] - 1], b[s["p"] - 1] = -(-LOW * int(s["score"]) // 100), HIGH * int(s["score"]) // 100
                 t = object if big else kind
                 row, band, cand, score = walk(own, where, NEGATIVES, np.array(lo, t), np.array(hi, t), False)
-                yield pd.DataFrame({"anchor": [own[i]["anchor"] for i in row], "p": band + 1, "negative_id": cand, "score": [str(int(s)) for s in score]})
+                if len(row):
+                    yield pd.DataFrame({"anchor": [own[i]["anchor"] for i in row], "p": band + 1, "negative_id": cand, "score": [str(int(s)) for s in score]})
 
     scored = found.join(chosen.groupBy("anchor").agg(F.collect_list(F.struct("p", "score")).alias("scores")), "anchor")  # POSITIVES each
     second = units(packs(scored, ["scores"], per_pack), places, lists)
