@@ -31,13 +31,22 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """The rows in fewer partitions, put together without a shuffle, for what is written next: a file for each of them.
+
+    Four for each core, and an eighth of the session's shuffle partitions where that is more, so they grow with the input.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def keep(df: DataFrame, kind: str = "table") -> DataFrame:
     """Writes a result that several jobs read as Parquet into the shared folder and reads it back.
 
     That cuts the lineage: retries after a lost executor read the files, and nothing is computed twice.
     """
     path = scratch(df.sparkSession, kind)
-    df.write.option("compression", "zstd").parquet(path)
+    merged(df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.llm import words as W
-from tallyglass.llm.common import keep, scratch, table
+from tallyglass.llm.common import keep, merged, scratch, table
 from tallyglass.llm.files import Output, Ranges
 
 NAME = "op1_suffixes"
@@ -467,7 +467,7 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed_bytes(table(spark, sf_dir, "documents")).drop("kept")
+    return merged(removed_bytes(table(spark, sf_dir, "documents")).drop("kept"))
 
 
 # Texts as hex digits, two a byte: a string of SPAN bytes is 2 * SPAN of them.
