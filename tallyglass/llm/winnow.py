@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.llm import words as W
-from tallyglass.llm.common import row_key, rows_of, table
+from tallyglass.llm.common import merged, row_key, rows_of, table
 
 NAME = "op5_winnow"
 #: Words of a window; a shorter item is one window.
@@ -197,7 +197,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return got.drop("items")
+    return merged(got.drop("items"))
 
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
