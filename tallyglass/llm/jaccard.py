@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.llm import words as W
-from tallyglass.llm.common import keep, keep_dealt, row_key, rows_of, table
+from tallyglass.llm.common import keep, keep_dealt, merged, row_key, rows_of, table
 from tallyglass.llm.graph import components
 
 NAME = "op8_jaccard"
@@ -447,4 +447,4 @@ def one_per_component(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return merged(join(table(spark, sf_dir, "documents")))
